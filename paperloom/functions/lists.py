@@ -20,9 +20,14 @@ def parse_list(text: Column) -> Column:
     return F.when(whole, F.get(pair, F.lit(0)))
 
 
-def list_column(df: DataFrame, name: str) -> Column:
-    """The column as ``array<string>``, whether it is held as a list or as JSON text."""
-    return F.col(name) if isinstance(df.schema[name].dataType, T.ArrayType) else parse_list(F.col(name))
+def list_column(df: DataFrame, name: str, given: Column | None = None) -> Column:
+    """The column as ``array<string>``, whether it is held as a list or as JSON text.
+
+    ``given`` makes it null where a condition fails. The condition goes around the cell, not around
+    the parse: Spark evaluates a repeated expression once, but not inside a conditional branch.
+    """
+    cell = F.col(name) if given is None else F.when(given, F.col(name))
+    return cell if isinstance(df.schema[name].dataType, T.ArrayType) else parse_list(cell)
 
 
 def list_text(items: Column) -> Column:
@@ -31,5 +36,6 @@ def list_text(items: Column) -> Column:
 
 def sorted_combination(items: Column) -> Column:
     """Sorted list of two or more labels, duplicates kept; null for shorter lists and lists with a null."""
-    usable = (F.size(items) > 1) & ~F.exists(items, lambda x: x.isNull())
-    return F.when(usable, F.array_sort(items))
+    # sort_array is compiled, array_sort calls a comparator per pair. Nulls come first.
+    ordered = F.sort_array(items)
+    return F.when((F.size(items) > 1) & F.get(ordered, F.lit(0)).isNotNull(), ordered)

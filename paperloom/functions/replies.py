@@ -60,7 +60,8 @@ MATERIAL_REPLY = ReplyFormat(
 def unfence(reply: Column, strip_inside: bool = False) -> Column:
     """Text inside the first code fence if the reply starts with one, without a leading ``json`` tag."""
     text = strip_space(reply)
-    inside = F.regexp_replace(F.split_part(text, F.lit(_FENCE), F.lit(2)), "^json", "")
+    inside = F.split_part(text, F.lit(_FENCE), F.lit(2))
+    inside = F.when(inside.startswith("json"), F.substring(inside, F.lit(5), F.length(inside))).otherwise(inside)
     if strip_inside:
         inside = strip_space(inside)
     return F.when(text.startswith(_FENCE), inside).otherwise(text)

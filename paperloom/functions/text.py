@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separator characters.
-_SPACE = r"[\s\x1c-\x1f]+"
+# The characters Unicode counts as white space, with the four ASCII separators.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_space(text: Column) -> Column:
-    """Drop white space of any kind at both ends (``trim`` drops blanks only)."""
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}|{_SPACE}$", "")
+    """Drop white space of any kind at both ends (plain ``trim`` drops blanks only)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def to_int(text: Column) -> Column:

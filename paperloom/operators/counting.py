@@ -85,7 +85,8 @@ def mentions(df: DataFrame, lists: str, classified: str) -> DataFrame:
 
     A label listed twice by one paper counts twice, so shares of papers may pass 100 %.
     """
-    rows = df.where(F.col(classified).isNotNull()).select(F.posexplode_outer(list_column(df, lists)).alias("pos", "key"))
+    parsed = df.where(F.col(classified).isNotNull()).select(list_column(df, lists).alias("items"))
+    rows = parsed.select(F.posexplode_outer("items").alias("pos", "key"))
     # A paper adds one row per label, or one row without a label: its first row stands for the paper.
     first = F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0)
     counts = rows.groupBy("key").agg(F.count("key").alias("n"), first.alias("n_first"))
@@ -107,17 +108,19 @@ def frequent_labels(
     top: int = taxonomy.TOP_MODELS_REPORT, min_support: int = taxonomy.MIN_SUPPORT,
 ) -> DataFrame:
     """The ``top`` labels of a list column, of these the ones with at least ``min_support`` mentions."""
-    labels = df.where(F.col(classified).isNotNull()).select(F.explode(list_column(df, lists)).alias("key"))
-    return top_values(labels, "key", top).where(F.col("n") >= min_support)
+    parsed = df.where(F.col(classified).isNotNull()).select(list_column(df, lists).alias("items"))
+    counts = parsed.select(F.explode_outer("items").alias("key")).groupBy("key").agg(F.count("key").alias("n"))
+    return counts.orderBy(F.desc("n"), "key").limit(top).where(F.col("n") >= max(min_support, 1))
 
 
 def labels_per_paper(df: DataFrame, lists: str = "material_categories") -> DataFrame:
     """Papers per list length, with their share of the papers whose list is readable."""
-    # size() of a null list differs between ANSI settings; array_size() is null.
-    counts = df.groupBy(F.array_size(list_column(df, lists)).alias("n_labels")).agg(F.count("*").alias("n"))
-    counts = counts.where(F.col("n_labels").isNotNull())
+    sizes = df.select(F.array_size(list_column(df, lists)).alias("n_labels"))
+    # Unreadable lists form a group of count 0. A null test would be pushed down and parse every list twice.
+    counts = sizes.groupBy("n_labels").agg(F.count("n_labels").alias("n"))
     return (
         with_totals(counts, ["n"], {"total": F.sum("n")})
+        .where("n > 0")
         .select("n_labels", "n", percent(F.col("n"), F.col("total")).alias("pct"))
         .orderBy("n_labels")
     )
@@ -133,10 +136,9 @@ def label_combinations(
     """Sorted combinations of two or more labels that occur at least ``min_support`` times."""
     return (
         df.select(sorted_combination(list_column(df, lists)).alias("labels"))
-        .where(F.col("labels").isNotNull())
         .groupBy("labels")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_support)
+        .agg(F.count("labels").alias("n"))
+        .where(F.col("n") >= max(min_support, 1))
         .select(F.array_join("labels", " + ").alias("combination"), "n")
         .orderBy(F.desc("n"), "combination")
     )
@@ -212,8 +214,10 @@ def crosstab(
     heads = col_margin.agg(F.collect_list(F.struct("col", "col_total")).alias("heads")).select("heads").scalar()
     grid = row_margin.withColumn("head", F.explode(heads)).select("row", "row_total", "head.col", "head.col_total")
     # The limits bound both margins, so they may be broadcast.
-    cells = pairs.join(F.broadcast(row_margin.select("row")), "row", "left_semi").join(
-        F.broadcast(col_margin.select("col")), "col", "left_semi"
+    cells = (
+        pairs.select(*[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("row", "col")], "n")
+        .join(F.broadcast(row_margin.select("row")), "row", "left_semi")
+        .join(F.broadcast(col_margin.select("col")), "col", "left_semi")
     )
     return (
         grid.join(cells, ["row", "col"], "left")

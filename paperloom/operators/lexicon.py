@@ -89,18 +89,25 @@ def classify_materials_by_words(df: DataFrame) -> DataFrame:
 
 def classify_methods_by_words(df: DataFrame) -> DataFrame:
     """Fills the four method columns: category and confidence from method words, models and tags as found."""
-    text = topic_text(df, TOPIC_FIELDS)
     names = [w for words in taxonomy.METHOD_WORDS.values() for w in words if not _is_plain(w)]
     # Longest name first, so that a name is not taken for a shorter one it starts with.
     names.sort(key=len, reverse=True)
-    tags = [F.when(F.lower(text).contains(tag), tag) for tag in taxonomy.METHOD_TAGS]
-    df = df.withColumns(
-        {
-            "model_specific_models": F.array_distinct(
-                F.regexp_extract_all(text, F.lit(rf"(?<!{WORD})({'|'.join(re.escape(n) for n in names)})s?(?!{WORD})"), F.lit(1))
-            ),
-            "model_secondary_tags": F.array_compact(F.array(*tags)),
-        }
+    pattern = rf"(?<!{WORD})({'|'.join(re.escape(n) for n in names)})s?(?!{WORD})"
+    text, lowered = F.col("_all"), F.col("_all_lower")
+    models = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    tags = [F.when(lowered.contains(tag), tag) for tag in taxonomy.METHOD_TAGS]
+    df = (
+        df.withColumn("_all", topic_text(df, TOPIC_FIELDS))
+        .withColumn("_all_lower", F.lower("_all"))
+        .withColumns(
+            {
+                "model_specific_models": F.when(_possible(text, lowered, names), models).otherwise(
+                    F.array().cast("array<string>")
+                ),
+                "model_secondary_tags": F.array_compact(F.array(*tags)),
+            }
+        )
+        .drop("_all", "_all_lower")
     )
     tagged = tag_with_lexicon(df, taxonomy.METHOD_WORDS, taxonomy.METHOD_FALLBACK)
     return tagged.drop("labels").withColumnsRenamed(

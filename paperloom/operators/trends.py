@@ -26,7 +26,8 @@ def yearly_growth(df: DataFrame, series: str | None = None) -> DataFrame:
 
 
 def _recent(last_year: Column, years: int) -> Column:
-    return F.col("year") >= last_year - (years - 1)
+    """Test on yearly counts. Reading n keeps it above the counting, next to the last year it compares with."""
+    return F.when(F.col("n") > 0, F.col("year")) >= last_year - (years - 1)
 
 
 def recent_share(df: DataFrame, years: int = taxonomy.RECENT_YEARS) -> DataFrame:

@@ -34,4 +34,4 @@ def write_reports(papers: DataFrame, folder: str) -> None:
     """The material, method and summary reports as text."""
     write_report(material_lines(material_report(papers)), f"{folder}/material_statistics")
     write_report(method_lines(method_report(papers)), f"{folder}/method_statistics")
-    write_report(summary_lines(summary_report(in_year_range(papers))), f"{folder}/summary_statistics")
+    write_report(summary_lines(summary_report(in_year_range(papers)), papers.columns), f"{folder}/summary_statistics")

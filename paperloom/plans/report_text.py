@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,30 +37,24 @@ SUMMARY_SECTIONS = {
     "material_confidence": "",
 }
 
+METHOD_COLUMN, MATERIAL_COLUMN = "model_primary_category", "primary_material_category"
 
-def _lines(table: DataFrame, title: str, sections: dict[str, str], line: Column, order: Column) -> DataFrame:
-    """Lines with a sortable position: title, sections in order, within a section heading before items.
 
-    Headings and items alike come from the report table: the first item of a section is not known
-    without a sort, so every section with items gets its heading from a small aggregate.
-    """
+def _lines(table: DataFrame, title: str, sections: dict[str, str], line: Column, order: Column) -> DataFrame:
+    """Lines with a sortable position: title and totals, then the sections, each with its heading first."""
     number = F.coalesce(*[F.when(F.col("section") == s, F.lit(i)) for i, s in enumerate(sections, start=2)], F.lit(1))
-    placed = table.withColumn("number", number)
-    items = placed.select(
-        F.struct("number", F.lit(1).alias("part"), order.alias("rank"), F.col("item").alias("item")).alias("position"),
+    items = table.select(
+        F.struct(number.alias("number"), order.alias("rank"), F.col("item").alias("item")).alias("position"),
         line.alias("line"),
     )
-    heading = F.coalesce(*[F.when(F.col("section") == s, F.lit(h)) for s, h in sections.items()], F.lit(title))
-    headings = (
-        placed.groupBy("number", heading.alias("line"))
-        .agg(F.count("*").alias("n"))
-        .where("line != ''")
-        .select(
-            F.struct("number", F.lit(0).alias("part"), F.lit(0.0).alias("rank"), F.lit("").alias("item")).alias("position"),
-            "line",
-        )
-    )
-    return headings.unionByName(items).orderBy("position")
+    headings = [(1, title)] + [(i, h) for i, h in enumerate(sections.values(), start=2) if h]
+    before_all = F.lit(float("-inf")).alias("rank")
+    structs = [
+        F.struct(F.struct(F.lit(i).alias("number"), before_all, F.lit("").alias("item")).alias("position"), F.lit(h).alias("line"))
+        for i, h in headings
+    ]
+    heads = table.sparkSession.range(1).select(F.inline(F.array(*structs)))
+    return heads.unionByName(items).orderBy("position")
 
 
 def _count(width: int = 4) -> Column:
@@ -100,7 +96,13 @@ def method_lines(table: DataFrame) -> DataFrame:
     return _lines(table, METHOD_TITLE, METHOD_SECTIONS, line, -F.col("n").cast("double"))
 
 
-def summary_lines(table: DataFrame) -> DataFrame:
+def summary_lines(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` are those of the paper table: sections without their column have no heading."""
+    needed = {
+        "method": METHOD_COLUMN, "llm_papers": METHOD_COLUMN, "material": MATERIAL_COLUMN,
+        "method_confidence": "model_confidence", "material_confidence": "material_confidence",
+    }
+    sections = {s: h for s, h in SUMMARY_SECTIONS.items() if s not in needed or needed[s] in columns}
     pct = show_percent(F.col("pct"))
     share = F.concat(F.format_string("%d (", F.col("n").cast("long")), F.trim(pct), F.lit("%)"))
     whole = F.format_string("%d", F.col("n").cast("long"))
@@ -123,4 +125,4 @@ def summary_lines(table: DataFrame) -> DataFrame:
         .when(_is("year"), -F.col("item").try_cast("double"))
         .otherwise(-F.col("n"))
     )
-    return _lines(table, SUMMARY_TITLE, SUMMARY_SECTIONS, line, order)
+    return _lines(table, SUMMARY_TITLE, sections, line, order)

@@ -19,20 +19,33 @@ from paperloom.operators.counting import with_totals
 PAPERS, CLASSIFIED = "papers", "classified"
 
 
-def _entry(section: str, item: Column | None = None) -> Column:
+def _entry(section: str, item: Column | None = None, given: Column | None = None) -> Column:
+    """One entry of a paper; it does not count where its item is null or ``given`` does not hold."""
     item = F.lit("") if item is None else item.cast("string")
-    return F.when(item.isNotNull(), F.struct(F.lit(section).alias("section"), item.alias("item")))
+    if given is not None:
+        item = F.when(given, item)
+    return F.struct(F.lit(section).alias("section"), item.alias("item"))
 
 
 def _entries(section: str, items: Column) -> Column:
-    made = F.transform(items, lambda item: _entry(section, item))
-    return F.coalesce(made, F.array().cast("array<struct<section: string, item: string>>"))
+    """An entry for every label of a list."""
+    sections = F.array_repeat(F.lit(section), F.array_size(items))
+    return F.arrays_zip(sections.alias("section"), items.alias("item"))
 
 
 def tally(df: DataFrame, single: Sequence[Column], lists: Sequence[Column] = ()) -> DataFrame:
-    """Counts of (section, item) entries over all papers, from one pass and one shuffle."""
-    entries = F.array_compact(F.concat(F.array(*single), *lists))
-    return df.select(F.inline(entries)).groupBy("section", "item").agg(F.count("*").alias("n"))
+    """Counts of (section, item) entries over all papers, from one pass and one shuffle.
+
+    Entries are built without lambda functions, so the whole pass is compiled code.
+    """
+    none = F.array().cast("array<struct<section: string, item: string>>")
+    entries = F.concat(F.array(*single), *[F.coalesce(entries, none) for entries in lists])
+    return (
+        df.select(F.inline(entries))
+        .where(F.col("item").isNotNull())
+        .groupBy("section", "item")
+        .agg(F.count("*").alias("n"))
+    )
 
 
 def _section_total(*sections: str) -> Column:
@@ -79,14 +92,14 @@ def material_report(df: DataFrame, min_support: int = taxonomy.MIN_SUPPORT) -> D
     Shares are of classified papers; labels per paper are of papers with a readable list;
     classified is of all papers. Mentions have a second share, of all mentions.
     """
-    labels = F.when(F.col("primary_material_category").isNotNull(), list_column(df, "material_categories"))
-    df = df.select("primary_material_category", "material_confidence", labels.alias("labels"))
     known = F.col("primary_material_category").isNotNull()
+    labels = list_column(df, "material_categories", known)
+    df = df.select("primary_material_category", "material_confidence", labels.alias("labels"))
     single = [
         _entry(PAPERS),
-        F.when(known, _entry(CLASSIFIED)),
+        _entry(CLASSIFIED, given=known),
         _entry("primary", F.col("primary_material_category")),
-        F.when(known, _entry("confidence", F.col("material_confidence"))),
+        _entry("confidence", F.col("material_confidence"), known),
         _entry("n_labels", F.array_size("labels")),
         _entry("combination", F.to_json(sorted_combination(F.col("labels")))),
     ]
@@ -116,14 +129,14 @@ def method_report(
     known = F.col("model_primary_category").isNotNull()
     df = df.select(
         "model_primary_category", "model_confidence",
-        F.when(known, list_column(df, "model_specific_models")).alias("models"),
-        F.when(known, list_column(df, "model_secondary_tags")).alias("tags"),
+        list_column(df, "model_specific_models", known).alias("models"),
+        list_column(df, "model_secondary_tags", known).alias("tags"),
     )
     single = [
         _entry(PAPERS),
-        F.when(known, _entry(CLASSIFIED)),
+        _entry(CLASSIFIED, given=known),
         _entry("primary", F.col("model_primary_category")),
-        F.when(known, _entry("confidence", F.col("model_confidence"))),
+        _entry("confidence", F.col("model_confidence"), known),
     ]
     counts = tally(df, single, [_entries("model", F.col("models")), _entries("tag", F.col("tags"))])
     totals = {"n_papers": _section_total(PAPERS), "n_classified": _section_total(CLASSIFIED)}
@@ -147,7 +160,7 @@ def summary_report(df: DataFrame, top: int = taxonomy.TOP_SUMMARY) -> DataFrame:
     if "model_primary_category" in columns:
         single.append(_entry("method", F.col("model_primary_category")))
         llm = names_language_model(F.col("model_primary_category"))
-        single.append(F.when(llm, _entry("llm_papers")))
+        single.append(_entry("llm_papers", given=llm))
     if "primary_material_category" in columns:
         single.append(_entry("material", F.col("primary_material_category")))
     if "model_confidence" in columns:
@@ -155,7 +168,7 @@ def summary_report(df: DataFrame, top: int = taxonomy.TOP_SUMMARY) -> DataFrame:
         if "material_confidence" in columns:
             single.append(_entry("material_confidence", F.col("material_confidence")))
     counts = tally(df, single)
-    year = F.when(F.col("section") == "year", F.col("item").try_cast("double"))
+    year = F.when((F.col("n") > 0) & (F.col("section") == "year"), F.col("item").try_cast("double"))
     totals = {
         "n_papers": _section_total("year"), "n_llm": F.coalesce(_section_total("llm_papers"), F.lit(0)),
         "first_year": F.min(year), "last_year": F.max(year),
