@@ -9,15 +9,36 @@ from pyspark.sql import types as T
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def well_formed(text: Column) -> Column:
+    """Whether the text is JSON throughout.
+
+    The JSON reader skips over damage inside a value and goes on, unless it has a column to report
+    the damage in.
+    """
+    checked = F.from_json(
+        F.concat(F.lit('{"_value":'), text, F.lit(',"_end":1}')),
+        "_value string, _end int, _damage string",
+        {**STRICT_JSON, "columnNameOfCorruptRecord": "_damage"},
+    )
+    return checked["_damage"].isNull() & (checked["_end"] == 1)
+
+
+def has_null(items: Column) -> Column:
+    # sort_array is compiled code and puts nulls first.
+    return (F.size(items) > 0) & F.get(F.sort_array(items), F.lit(0)).isNull()
+
+
 def parse_list(text: Column) -> Column:
     """JSON text to ``array<string>``; null where the text is not exactly one JSON list.
 
     ``from_json`` ignores whatever follows the first value. Parsing the cell as the first of
-    two elements makes trailing text an error.
+    two elements makes trailing text an error. A null element may stand for damage, so lists with
+    one are looked at again.
     """
     pair = F.from_json(F.concat(F.lit("["), text, F.lit(',["_end"]]')), "array<array<string>>", STRICT_JSON)
+    items = F.get(pair, F.lit(0))
     whole = (F.size(pair) == 2) & (F.get(pair, F.lit(1)) == F.array(F.lit("_end")))
-    return F.when(whole, F.get(pair, F.lit(0)))
+    return F.when(whole & (~has_null(items) | well_formed(text)), items)
 
 
 def list_column(df: DataFrame, name: str, given: Column | None = None) -> Column:
@@ -36,6 +57,5 @@ def list_text(items: Column) -> Column:
 
 def sorted_combination(items: Column) -> Column:
     """Sorted list of two or more labels, duplicates kept; null for shorter lists and lists with a null."""
-    # sort_array is compiled, array_sort calls a comparator per pair. Nulls come first.
-    ordered = F.sort_array(items)
-    return F.when((F.size(items) > 1) & F.get(ordered, F.lit(0)).isNotNull(), ordered)
+    # array_sort would call a comparator for every pair of labels.
+    return F.when((F.size(items) > 1) & ~has_null(items), F.sort_array(items))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import taxonomy
-from paperloom.functions.lists import STRICT_JSON
+from paperloom.functions.lists import STRICT_JSON, has_null, well_formed
 from paperloom.functions.text import strip_space
 
 TEXT, LIST = "string", "array<string>"
@@ -87,7 +87,14 @@ def reply_columns(reply: Column, fmt: ReplyFormat) -> list[Column]:
         F.concat(F.lit("["), body, F.lit(',{"_end": 1}]')), f"array<struct<{layout}, _end: int>>", STRICT_JSON
     )
     record = F.get(pair, F.lit(0))
-    readable = (F.size(pair) == 2) & record.isNotNull() & (F.get(pair, F.lit(1))["_end"] == 1)
+    one_object = (F.size(pair) == 2) & record.isNotNull() & (F.get(pair, F.lit(1))["_end"] == 1)
+    # The reader leaves a null where it skipped damage, so replies with a null are looked at again.
+    complete = F.lit(True)
+    for f in fmt.fields:
+        complete = complete & record[f.key].isNotNull()
+        if f.type == LIST:
+            complete = complete & ~has_null(record[f.key])
+    readable = one_object & (complete | well_formed(body))
     columns = []
     for f in fmt.fields:
         present = F.array_contains(F.json_object_keys(body), f.key)

@@ -224,7 +224,9 @@ def llm_flags(t: SampleTables) -> DataFrame:
 
 
 def trend_curve(t: SampleTables) -> DataFrame:
-    return curve.trend_curves(_dated(t), "journal")
+    """Curve points, rounded so that the order of floating-point steps does not show."""
+    points = curve.trend_curves(_dated(t), "journal")
+    return points.select("series", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 # --- reports ---------------------------------------------------------------------------------

@@ -351,6 +351,21 @@ SQL: dict[str, str] = {
         f"""SELECT paper_id, CASE WHEN {_llm("method")} THEN 'LLM' ELSE 'Non-LLM' END AS is_llm,
                CASE WHEN contains(method, 'Large Language') THEN 'LLM' ELSE 'Non-LLM' END AS is_llm_strict FROM papers"""
     ),
+    # Every journal has papers in five consecutive years; for five evenly spaced points the curve has
+    # this closed form in the second differences.
+    "trend_curve": _papers(
+        """, c AS (SELECT journal AS series, year, count(*) AS n FROM dated WHERE journal IS NOT NULL GROUP BY ALL),
+        w AS (SELECT series, min(year) AS y0, list(n::DOUBLE ORDER BY year) AS v FROM c GROUP BY series),
+        d AS (SELECT *, v[1] - 2 * v[2] + v[3] AS b1, v[2] - 2 * v[3] + v[4] AS c2, v[3] - 2 * v[4] + v[5] AS b3 FROM w),
+        b AS (SELECT *, (6 * c2 - b1 - b3) / 4 AS b2 FROM d),
+        m AS (SELECT series, y0, v, [2 * b1 - b2, b1, b2, b3, 2 * b3 - b2] AS bend FROM b),
+        g AS (SELECT m.*, range * 4::DOUBLE / 299 AS s FROM m, range(300)),
+        p AS (SELECT *, CAST(least(floor(s), 3) AS INTEGER) AS j FROM g),
+        q AS (SELECT *, s - j AS l, 1 - (s - j) AS r FROM p)
+        SELECT series, round(y0 + s, 6) AS x, round(greatest(
+            (bend[j + 1] * r * r * r + bend[j + 2] * l * l * l) / 6
+            + (v[j + 1] - bend[j + 1] / 6) * r + (v[j + 2] - bend[j + 2] / 6) * l, 0), 6) AS y FROM q"""
+    ),
     "summary_report": _papers(
         f""", t AS (SELECT count(*) AS c, min(year) AS y0, max(year) AS y1,
                     count(*) FILTER (WHERE {_llm("method")}) AS llm FROM dated)

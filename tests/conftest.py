@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from paperloom.session import configure  # noqa: E402
+from paperloom.session import configure, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,5 +20,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
