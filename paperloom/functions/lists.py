@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,15 @@ from pyspark.sql import types as T
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once per row, however often ``use`` reads it.
+
+    Spark shares repeated expressions in a projection, but not in a filter or a conditional branch,
+    where a repeated parse would run again.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def well_formed(text: Column) -> Column:
     """Whether the text is JSON throughout.
 
@@ -36,16 +47,19 @@ def parse_list(text: Column) -> Column:
     one are looked at again.
     """
     pair = F.from_json(F.concat(F.lit("["), text, F.lit(',["_end"]]')), "array<array<string>>", STRICT_JSON)
-    items = F.get(pair, F.lit(0))
-    whole = (F.size(pair) == 2) & (F.get(pair, F.lit(1)) == F.array(F.lit("_end")))
-    return F.when(whole & (~has_null(items) | well_formed(text)), items)
+
+    def first(parsed: Column) -> Column:
+        items = F.get(parsed, F.lit(0))
+        whole = (F.size(parsed) == 2) & (F.get(parsed, F.lit(1)) == F.array(F.lit("_end")))
+        return F.when(whole & (~has_null(items) | well_formed(text)), items)
+
+    return once(pair, first)
 
 
 def list_column(df: DataFrame, name: str, given: Column | None = None) -> Column:
     """The column as ``array<string>``, whether it is held as a list or as JSON text.
 
-    ``given`` makes it null where a condition fails. The condition goes around the cell, not around
-    the parse: Spark evaluates a repeated expression once, but not inside a conditional branch.
+    ``given`` makes it null where a condition fails.
     """
     cell = F.col(name) if given is None else F.when(given, F.col(name))
     return cell if isinstance(df.schema[name].dataType, T.ArrayType) else parse_list(cell)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import taxonomy
-from paperloom.functions.lists import STRICT_JSON, has_null, well_formed
+from paperloom.functions.lists import STRICT_JSON, has_null, once, well_formed
 from paperloom.functions.text import strip_space
 
 TEXT, LIST = "string", "array<string>"
@@ -80,12 +80,20 @@ def reply_columns(reply: Column, fmt: ReplyFormat) -> list[Column]:
     gives the default of that key; a key that is present but null, or not a list where a list is
     due, gives null.
     """
-    body = unfence(reply, fmt.strip_inside_fence)
     layout = ", ".join(f"{f.key}: {f.type}" for f in fmt.fields)
-    # The end mark is a second element: anything after the object breaks the pair.
-    pair = F.from_json(
-        F.concat(F.lit("["), body, F.lit(',{"_end": 1}]')), f"array<struct<{layout}, _end: int>>", STRICT_JSON
-    )
+
+    def record_of(body: Column) -> Column:
+        # The end mark is a second element: anything after the object breaks the pair.
+        pair = F.from_json(
+            F.concat(F.lit("["), body, F.lit(',{"_end": 1}]')), f"array<struct<{layout}, _end: int>>", STRICT_JSON
+        )
+        return once(pair, lambda parsed: _filled(parsed, body, fmt))
+
+    record = once(unfence(reply, fmt.strip_inside_fence), record_of)
+    return [record[f.column].alias(f.column) for f in fmt.fields]
+
+
+def _filled(pair: Column, body: Column, fmt: ReplyFormat) -> Column:
     record = F.get(pair, F.lit(0))
     one_object = (F.size(pair) == 2) & record.isNotNull() & (F.get(pair, F.lit(1))["_end"] == 1)
     # The reader leaves a null where it skipped damage, so replies with a null are looked at again.
@@ -95,10 +103,11 @@ def reply_columns(reply: Column, fmt: ReplyFormat) -> list[Column]:
         if f.type == LIST:
             complete = complete & ~has_null(record[f.key])
     readable = one_object & (complete | well_formed(body))
-    columns = []
-    for f in fmt.fields:
+
+    def value(f: Field) -> Column:
         present = F.array_contains(F.json_object_keys(body), f.key)
-        value = F.coalesce(record[f.key], F.when(~present, _literal(f.if_missing, f.type)))
-        default = _literal(f.if_unreadable, f.type)
-        columns.append(F.when(readable, value).otherwise(default).alias(f.column))
-    return columns
+        return F.coalesce(record[f.key], F.when(~present, _literal(f.if_missing, f.type)))
+
+    as_given = F.struct(*[value(f).alias(f.column) for f in fmt.fields])
+    default = F.struct(*[_literal(f.if_unreadable, f.type).alias(f.column) for f in fmt.fields])
+    return F.when(readable, as_given).otherwise(default)

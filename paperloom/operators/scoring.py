@@ -68,9 +68,13 @@ def per_paper(ask: Callable[[str], tuple[str, int | None]], guide: str = "", thr
 
 
 def pending_papers(papers: DataFrame, scores: DataFrame, retry_errors: bool = False) -> DataFrame:
-    """Papers without a score yet, one row per id. Errors count as scored unless they are to be retried."""
+    """Papers without a score yet, one row per id. Errors count as scored unless they are to be retried.
+
+    Copies go first: they are dropped before the shuffle, so a paper with very many copies does not
+    gather in one task, and the anti-join finds its left side partitioned already.
+    """
     done = scores.where(F.col("error").isNull()) if retry_errors else scores
-    return papers.join(done.select("paper_id"), "paper_id", "left_anti").dropDuplicates(["paper_id"])
+    return papers.dropDuplicates(["paper_id"]).join(done.select("paper_id"), "paper_id", "left_anti")
 
 
 def score(
@@ -96,9 +100,11 @@ def score(
 def scatter(papers: DataFrame, scores: DataFrame, task: Task) -> DataFrame:
     """All papers with the columns of the task filled from the scores; unscored papers get nulls.
 
-    Columns of the same name from an earlier run are replaced.
+    Columns of the same name from an earlier run are replaced. A paper may have very many copies:
+    Spark splits such a join partition only where both sides come straight from a shuffle of the
+    join, hence the step between the scores, which may be grouped by id already, and the join.
     """
-    filled = scores.select("paper_id", *task.columns(F.col("reply")))
+    filled = scores.hint("rebalance").select("paper_id", *task.columns(F.col("reply")))
     old = [c for c in filled.columns if c != "paper_id" and c in papers.columns]
     return papers.drop(*old).join(filled, "paper_id", "left")
 

@@ -12,13 +12,16 @@ from paperloom import taxonomy
 from paperloom.functions.lists import list_column
 
 
-def read_papers_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_papers_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
     """Paper export(s) as CSV with a header; every column is text unless a schema says otherwise.
 
-    Abstracts may hold line breaks, so each file is read by one task: give a folder of many
-    files, or convert once to Parquet with ``sinks.write_parquet``.
+    Abstracts may hold line breaks, so each file is read by one task: give a folder of many files,
+    convert once to Parquet with ``sinks.write_parquet``, or switch ``multi_line`` off for files
+    without such breaks, which Spark then splits.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+    reader = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"', encoding="UTF-8")
     if schema is not None:
         reader = reader.schema(schema)
     return normalise_missing(reader.csv(path))

@@ -9,6 +9,8 @@ from paperloom.operators import counting, scoring
 from paperloom.plans import catalog
 from paperloom.plans.sample_tables import SampleTables
 from paperloom.sources import papers as scans
+from paperloom.sources import sinks
+from paperloom.sources.scores import append_scores, read_scores
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -84,3 +86,55 @@ def test_scatter_is_an_equi_join(stored):
     scores = stored.papers.select("paper_id", F.lit("1").alias("reply"))
     plan = scoring.scatter(stored.papers, scores, scoring.RELEVANCE)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter, (paper_id" in plan
+
+
+def test_pending_papers_are_shuffled_once(spark, stored):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = stored.papers.where("is_relevant = 1").select("paper_id", F.lit(None).cast("string").alias("error"))
+        plan = executed(scoring.pending_papers(stored.papers, scores))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan, plan
+    # One shuffle for each side of the join, none for dropping copies.
+    assert len(re.findall(r"Exchange hashpartitioning\(paper_id", plan)) == 2
+    assert re.search(r"Aggregate\(keys?=\[paper_id[^]]*\], functions=\[partial_first", plan)
+
+
+def test_hot_category_is_split_over_files(spark, tmp_path):
+    """One category holds most rows: it is written by several tasks."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100KB")
+    try:
+        label = F.when(F.col("id") % 10 == 0, F.concat(F.lit("small"), F.col("id") % 3)).otherwise("hot")
+        df = spark.range(40000).select(F.col("id").alias("paper_id"), F.sha2(F.col("id").cast("string"), 256).alias("t"), F.array(label).alias("material_categories"))
+        sinks.export_by_category(df, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {d.name: len(list(d.glob("part-*"))) for d in (tmp_path / "out").iterdir() if d.is_dir()}
+    assert files["category_file=hot"] > 5
+    assert scans.read_papers_csv(spark, str(tmp_path / "out")).count() == 40000
+
+
+def test_hot_copies_are_filled_by_a_split_join(spark, tmp_path):
+    """A third of the rows carry one id: the join that fills them is split by size, nothing is lost."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        ids = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+        papers = spark.range(0, 60000, 1, 8).select(ids.alias("paper_id"), F.sha2(F.col("id").cast("string"), 256).alias("abstract"))
+        path = str(tmp_path / "scores")
+        one = [F.lit(v).cast(t).alias(c) for c, v, t in (("reply", "1", "string"), ("tokens", 1, "long"), ("error", None, "string"))]
+        append_scores(papers.select("paper_id").distinct().select("paper_id", *one), path)
+        filled = scoring.scatter(papers, read_scores(spark, path, papers.schema["paper_id"].dataType), scoring.RELEVANCE)
+        plan = executed(filled)
+        assert "skew=true" in plan
+        assert filled.where("is_relevant = 1").count() == 60000
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
