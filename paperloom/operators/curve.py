@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,45 +15,54 @@ from paperloom import taxonomy
 def smooth(x: np.ndarray, y: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray]:
     """Cubic through all points, third derivative continuous at the second and last-but-one point.
 
-    Needs more than three points; fewer are returned as they are. Values are cut off at 0.
+    ``y`` holds one row per series over the same ``x``. Needs more than three points; fewer are
+    returned as they are. Values are cut off at 0.
     """
     n = len(x)
     if n <= 3:
         return x, y
-    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    h = np.diff(x)
     inner = np.arange(1, n - 1)
-    system, right = np.zeros((n, n)), np.zeros(n)
+    system, right = np.zeros((n, n)), np.zeros_like(y)
     system[inner, inner - 1] = h[:-1]
     system[inner, inner] = 2 * (h[:-1] + h[1:])
     system[inner, inner + 1] = h[1:]
-    right[inner] = 6 * np.diff(slope)
+    right[:, inner] = 6 * np.diff(np.diff(y, axis=1) / h, axis=1)
     system[0, :3] = h[1], -(h[0] + h[1]), h[0]
     system[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    bend = np.linalg.solve(system, right)
+    bend = np.linalg.solve(system, right.T).T
     grid = np.linspace(x[0], x[-1], points)
     piece = np.clip(np.searchsorted(x, grid, side="right") - 1, 0, n - 2)
-    left, rest = grid - x[piece], x[piece + 1] - grid
-    step = h[piece]
+    left, rest, step = grid - x[piece], x[piece + 1] - grid, h[piece]
     value = (
-        (bend[piece] * rest**3 + bend[piece + 1] * left**3) / (6 * step)
-        + (y[piece] / step - bend[piece] * step / 6) * rest
-        + (y[piece + 1] / step - bend[piece + 1] * step / 6) * left
+        (bend[:, piece] * rest**3 + bend[:, piece + 1] * left**3) / (6 * step)
+        + (y[:, piece] / step - bend[:, piece] * step / 6) * rest
+        + (y[:, piece + 1] / step - bend[:, piece + 1] * step / 6) * left
     )
     return grid, np.maximum(value, 0)
 
 
 def trend_curves(df: DataFrame, series: str, points: int = taxonomy.TREND_POINTS) -> DataFrame:
-    """One curve per series. Papers are counted per series and year first, so a group holds one
-    row per year of one series, however many papers that series has."""
+    """One curve per series.
+
+    Papers are counted per series and year first, so a series becomes one short row of years and
+    counts, however many papers it has. Python sees batches of such rows and fits all series of a
+    batch that share their years at once.
+    """
     counts = (
         df.where(F.col(series).isNotNull() & F.col("year").isNotNull())
-        .groupBy(F.col(series).alias("series"), "year")
+        .groupBy(F.col(series).cast("string").alias("series"), "year")
         .agg(F.count("*").cast("double").alias("n"))
     )
+    rows = counts.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("year", "n"))).alias("p"))
 
-    def curve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("year")
-        x, y = smooth(group["year"].to_numpy(), group["n"].to_numpy(), points)
-        return pd.DataFrame({"series": group["series"].iloc[0], "x": x, "y": y})
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for years, group in batch.groupby(batch["x"].map(tuple)):
+                grid, values = smooth(np.array(years), np.stack(group["y"].to_numpy()), points)
+                yield pd.DataFrame({"series": group["series"].to_numpy(), "x": [grid] * len(group), "y": list(values)})
 
-    return counts.groupBy("series").applyInPandas(curve, "series string, x double, y double")
+    fitted = rows.select("series", F.col("p.year").alias("x"), F.col("p.n").alias("y")).mapInPandas(
+        fit, "series string, x array<double>, y array<double>"
+    )
+    return fitted.select("series", F.inline(F.arrays_zip("x", "y")))

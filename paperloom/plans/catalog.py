@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions import text, topic
 from paperloom.functions.lists import list_text
 from paperloom.functions.replies import MATERIAL_REPLY, METHOD_REPLY, ReplyFormat, reply_columns
-from paperloom.functions.text import binary_decision, language_model_label, to_int
-from paperloom.functions.topic import topic_filter
+from paperloom.functions.text import language_model_label, to_int
 from paperloom.operators import counting, curve, lexicon, prompts, scoring, trends
 from paperloom.plans import report_text, reports
 from paperloom.plans.sample_tables import SampleTables, papers_from_documents
@@ -255,7 +255,7 @@ def _parsed(t: SampleTables, fmt: ReplyFormat) -> DataFrame:
     return t.replies(fmt).select("paper_id", *reply_columns(F.col("reply"), fmt))
 
 
-def parse_material_replies(t: SampleTables) -> DataFrame:
+def parse_replies(t: SampleTables) -> DataFrame:
     return _list_texts(_parsed(t, MATERIAL_REPLY), "material_categories")
 
 
@@ -270,11 +270,11 @@ def parse_chat_turns(t: SampleTables) -> DataFrame:
     return _list_texts(parsed, "material_categories")
 
 
-def binary_decisions(t: SampleTables) -> DataFrame:
+def binary_decision(t: SampleTables) -> DataFrame:
     """The number inside ``props`` as a reply, padded and signed."""
     digits = F.regexp_extract("props", r"(\d+)", 1)
     reply = F.concat(F.when(F.col("event_type") == "click", " +").otherwise("\t"), digits, F.lit("\n"))
-    return t.table("events").select("event_id", to_int(reply).alias("number"), binary_decision(reply).alias("decision"))
+    return t.table("events").select("event_id", to_int(reply).alias("number"), text.binary_decision(reply).alias("decision"))
 
 
 def llm_share_from_replies(t: SampleTables) -> DataFrame:
@@ -305,8 +305,8 @@ def resume_merge(t: SampleTables) -> DataFrame:
     return scoring.merge_earlier(t.documents, _earlier(t)).select("paper_id", "is_relevant")
 
 
-def topic_search(t: SampleTables) -> DataFrame:
-    return topic_filter(t.documents, SAMPLE_TOPIC_ALL_OF, SAMPLE_TOPIC_NONE_OF).select("paper_id", "journal")
+def topic_filter(t: SampleTables) -> DataFrame:
+    return topic.topic_filter(t.documents, SAMPLE_TOPIC_ALL_OF, SAMPLE_TOPIC_NONE_OF).select("paper_id", "journal")
 
 
 def lexicon_tags(t: SampleTables) -> DataFrame:
@@ -393,8 +393,8 @@ QUERIES: dict[str, Callable[[SampleTables], DataFrame]] = {
         basic_stats, yearly_counts, yearly_growth, journal_growth, recent_share, recent_years, llm_by_year,
         llm_share_by_year, llm_flags, trend_curve,
         summary_report, material_report, method_report, material_report_text,
-        parse_material_replies, parse_method_replies, parse_chat_turns, binary_decisions, llm_share_from_replies,
-        scatter_results, resume_pending, resume_merge, topic_search, lexicon_tags, render_prompt,
+        parse_replies, parse_method_replies, parse_chat_turns, binary_decision, llm_share_from_replies,
+        scatter_results, resume_pending, resume_merge, topic_filter, lexicon_tags, render_prompt,
         score_batch, classify_batch, resumable_scoring, incremental_scoring,
     )
 }

@@ -417,13 +417,13 @@ SQL: dict[str, str] = {
           'ALL MATERIAL CATEGORIES (papers can have multiple)', 'CONFIDENCE DISTRIBUTION', 'MULTI-CATEGORY ANALYSIS',
           'COMMON CATEGORY COMBINATIONS (appearing 3+ times)'])"""
     ),
-    "parse_material_replies": f"WITH {_MATERIAL_REPLIES}{_SHAPES} SELECT paper_id, {_MATERIAL_RECORD} FROM parsed",
+    "parse_replies": f"WITH {_MATERIAL_REPLIES}{_SHAPES} SELECT paper_id, {_MATERIAL_RECORD} FROM parsed",
     "parse_method_replies": f"WITH {_METHOD_REPLIES}{_SHAPES} SELECT paper_id, {_METHOD_RECORD} FROM parsed",
     "parse_chat_turns": f"""WITH turns AS (SELECT conv_id, turn,
           CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN text END AS doc
         FROM conversations WHERE role = 'assistant')
         SELECT conv_id, turn, {_MATERIAL_RECORD} FROM turns""",
-    "binary_decisions": r"""SELECT event_id, number, CAST(CASE WHEN number = 1 THEN 1 ELSE 0 END AS INTEGER) AS decision
+    "binary_decision": r"""SELECT event_id, number, CAST(CASE WHEN number = 1 THEN 1 ELSE 0 END AS INTEGER) AS decision
         FROM (SELECT event_id, CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER) AS number FROM events)""",
     "llm_share_from_replies": f"""WITH {_METHOD_REPLIES}{_SHAPES},
         scored AS (SELECT paper_id, {_METHOD_RECORD} FROM parsed),
@@ -441,7 +441,7 @@ SQL: dict[str, str] = {
     "resume_merge": _docs(
         "SELECT paper_id, CAST(quality AS INTEGER) AS is_relevant FROM docs LEFT JOIN labels ON doc_id = paper_id"
     ),
-    "topic_search": _docs(
+    "topic_filter": _docs(
         f"""SELECT paper_id, journal FROM searchable
         WHERE {_group("the|de" + _ANY + "|und")} AND {_group("with|pour|para|licens" + _ANY)}
           AND {_group("on" + _ANY + "|la")} AND NOT {_group("rights[[:space:]]+reserved|token")}"""
