@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.replies import MATERIAL_REPLY, METHOD_REPLY, reply_columns
 from paperloom.functions.text import binary_decision
 from paperloom.operators.prompts import MATERIAL_GUIDE, METHOD_GUIDE, RELEVANCE_GUIDE, render_prompts
-from paperloom.session import scratch_dir
+from paperloom.session import drop_scratch, scratch_dir
 from paperloom.sources.papers import relevant_only
 from paperloom.sources.scores import append_scores, read_scores, score_schema
 
@@ -143,6 +143,7 @@ def score_pending(
     for number in range(rounds):
         part = spark.read.parquet(staged).where(F.col("_round") == number).drop("_round")
         append_scores(score(part, scorer, partitions), results_path)
+    drop_scratch(spark, staged)
 
 
 def classify(

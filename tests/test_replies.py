@@ -35,7 +35,7 @@ def test_material_goldens(spark):
         f"{GOOD},": DEFAULT,
         GOOD.replace('"', "'"): DEFAULT,
         "null": DEFAULT, "5": DEFAULT, '"text"': DEFAULT, "[1]": DEFAULT, "": DEFAULT, "]": DEFAULT,
-        '["A"]': DEFAULT,
+        '["A"]': DEFAULT, "\ufeff" + GOOD: DEFAULT, GOOD.replace("A", "A\n"): DEFAULT,
         "{}": ([], "low", "Other Materials"),
         '{"material_categories": ["A"]}': (["A"], "low", "Other Materials"),
         '{"confidence": "high"}': ([], "high", "Other Materials"),

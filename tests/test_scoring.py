@@ -94,6 +94,14 @@ def test_interrupted_run_goes_on_where_it_stopped(spark, tmp_path):
     assert attempts(spark, path).where("count > 1").count() == 0
 
 
+def test_rounds_leave_no_staged_copy(spark, tmp_path, monkeypatch):
+    staged = tmp_path / "shared" / "pending"
+    monkeypatch.setattr(scoring, "scratch_dir", lambda session, purpose: str(staged))
+    scoring.score_pending(papers(spark), scoring.per_paper(answer), scoring.RELEVANCE, str(tmp_path / "s"), rounds=2)
+    assert staged.parent.exists() and not staged.exists()
+    assert attempts(spark, str(tmp_path / "s")).count() == 40
+
+
 def test_copies_are_scored_once_and_all_filled(spark, tmp_path):
     """A third of the rows are copies of one paper."""
     path = str(tmp_path / "s")
