@@ -34,9 +34,12 @@ def well_formed(text: Column) -> Column:
     return checked["_damage"].isNull() & (checked["_end"] == 1)
 
 
-def has_null(items: Column) -> Column:
-    # sort_array is compiled code and puts nulls first.
-    return (F.size(items) > 0) & F.get(F.sort_array(items), F.lit(0)).isNull()
+def surely_without_null(items: Column) -> Column:
+    """True for a list without null and empty elements; other lists need a second look.
+
+    ``array_contains`` is null where a list has a null and not the value looked for.
+    """
+    return ~F.array_contains(items, "")
 
 
 def parse_list(text: Column) -> Column:
@@ -51,7 +54,7 @@ def parse_list(text: Column) -> Column:
     def first(parsed: Column) -> Column:
         items = F.get(parsed, F.lit(0))
         whole = (F.size(parsed) == 2) & (F.get(parsed, F.lit(1)) == F.array(F.lit("_end")))
-        return F.when(whole & (~has_null(items) | well_formed(text)), items)
+        return F.when(whole & (surely_without_null(items) | well_formed(text)), items)
 
     return once(pair, first)
 
@@ -71,5 +74,6 @@ def list_text(items: Column) -> Column:
 
 def sorted_combination(items: Column) -> Column:
     """Sorted list of two or more labels, duplicates kept; null for shorter lists and lists with a null."""
-    # array_sort would call a comparator for every pair of labels.
-    return F.when((F.size(items) > 1) & ~has_null(items), F.sort_array(items))
+    # array_sort would call a comparator for every pair of labels; sort_array is compiled and puts nulls first.
+    ordered = F.sort_array(items)
+    return F.when((F.size(items) > 1) & F.get(ordered, F.lit(0)).isNotNull(), ordered)

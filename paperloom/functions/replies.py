@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import taxonomy
-from paperloom.functions.lists import STRICT_JSON, has_null, once, well_formed
+from paperloom.functions.lists import STRICT_JSON, once, surely_without_null, well_formed
 from paperloom.functions.text import strip_space
 
 TEXT, LIST = "string", "array<string>"
@@ -101,7 +101,7 @@ def _filled(pair: Column, body: Column, fmt: ReplyFormat) -> Column:
     for f in fmt.fields:
         complete = complete & record[f.key].isNotNull()
         if f.type == LIST:
-            complete = complete & ~has_null(record[f.key])
+            complete = complete & surely_without_null(record[f.key])
     readable = one_object & (complete | well_formed(body))
 
     def value(f: Field) -> Column:

@@ -97,6 +97,13 @@ def score(
     return scored
 
 
+def usage(scores: DataFrame) -> DataFrame:
+    """Scored papers, failed ones and tokens spent."""
+    return scores.agg(
+        F.count("*").alias("n_papers"), F.count("error").alias("n_errors"), F.sum("tokens").alias("tokens")
+    )
+
+
 def scatter(papers: DataFrame, scores: DataFrame, task: Task) -> DataFrame:
     """All papers with the columns of the task filled from the scores; unscored papers get nulls.
 

@@ -339,6 +339,10 @@ def score_batch(t: SampleTables) -> DataFrame:
     ).withColumn("material_categories", list_text(F.col("material_categories")))
 
 
+def scoring_usage(t: SampleTables) -> DataFrame:
+    return scoring.usage(scoring.score(t.documents, scoring.per_paper(_sample_material_answer), partitions=16))
+
+
 def classify_batch(t: SampleTables) -> DataFrame:
     """Scores relevant papers into a results table and fills their columns; the others keep nulls."""
     papers = t.documents.join(_earlier(t), "paper_id", "left")
@@ -395,6 +399,6 @@ QUERIES: dict[str, Callable[[SampleTables], DataFrame]] = {
         summary_report, material_report, method_report, material_report_text,
         parse_replies, parse_method_replies, parse_chat_turns, binary_decision, llm_share_from_replies,
         scatter_results, resume_pending, resume_merge, topic_filter, lexicon_tags, render_prompt,
-        score_batch, classify_batch, resumable_scoring, incremental_scoring,
+        score_batch, scoring_usage, classify_batch, resumable_scoring, incremental_scoring,
     )
 }

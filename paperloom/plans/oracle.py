@@ -472,6 +472,10 @@ SQL: dict[str, str] = {
           CASE WHEN refused THEN 'low' ELSE 'high' END AS material_confidence,
           CASE WHEN refused THEN 'Other Materials' ELSE label END AS primary_material_category FROM s"""
     ),
+    "scoring_usage": _docs(
+        """SELECT count(*) AS n_papers, count(*) FILTER (WHERE contains(prompt, 'Apache')) AS n_errors,
+          CAST(sum(length(prompt)) FILTER (WHERE NOT contains(prompt, 'Apache')) AS BIGINT) AS tokens FROM prompts"""
+    ),
     "classify_batch": _docs(
         """SELECT paper_id, CAST(quality AS INTEGER) AS is_relevant,
           CASE WHEN quality = 1 THEN CASE WHEN contains(prompt, 'Apache') THEN 'Other Materials'
