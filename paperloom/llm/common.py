@@ -18,6 +18,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WHITE_SPACE)] = True
+_OTHER = np.zeros(256, bool)  # all ASCII but letters and digits
+_OTHER[[b for b in range(128) if not chr(b).isalnum()]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,10 +79,13 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         low = high
 
 
-def words(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of values ``low`` to ``high``, and the number of the first word of each value."""
+def words(data: np.ndarray, offsets: np.ndarray, low: int, high: int, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of values ``low`` to ``high``, and the number of the first word of each value.
+
+    Words are cut at white space, or if ``bare`` at all ASCII characters but letters and digits.
+    """
     first, last = int(offsets[low]), int(offsets[high])
-    inside = ~_SPACE[data[first:last]]
+    inside = ~(_OTHER if bare else _SPACE)[data[first:last]]
     bounds = (offsets[low : high + 1] - first).astype(np.int64)
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(high - low + 1, np.int64)

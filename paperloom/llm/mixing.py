@@ -82,8 +82,8 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
         .drop("s")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("size") > 0, F.lit(repeats - 1)).otherwise(F.lit(0)))))
         .withColumn("finish", F.when(F.col("size") > 0, finish).otherwise(F.lit(0.0)))
-        # All targets are met at the time 1, so the cut lies there; what comes late shares a slot.
-        .withColumn("slot", F.least(F.floor(F.col("finish") * buckets), F.lit(4 * buckets)).cast("int"))
+        # All targets are met at the time 1, so the cut lies near it; late copies have wider slots.
+        .withColumn("slot", F.floor(buckets * F.when(F.col("finish") < 4, F.col("finish")).otherwise(F.log2("finish") + 2)).cast("int"))
     )
     earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = copies.groupBy("slot").agg(F.sum("size").alias("words"))
