@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import mix, staged, with_package
 from paperloom.llm.components import connected
+from paperloom.llm.ordered import dealt, range_starts, unpacked
 
 STATES, CLASSES = 1024, 64  # the walk's coins repeat after STATES steps; characters share CLASSES of coins
 LEAST_SAMPLES = 128
+FEW = 32  # texts fewer than this walk faster one by one than side by side
 BAND = 4  # samples of a band
 LIKENESS = 0.8
 SMALL = 64
@@ -35,6 +39,7 @@ def _coins(seed: int = 7) -> np.ndarray:
 
 
 _TABLE = _coins()
+_LIST = _TABLE.tolist()
 _zeros = np.zeros(0, np.uint8)
 _sampled: dict[int, np.ndarray] = {}
 
@@ -77,12 +82,17 @@ def embed(texts: list[str]) -> list[tuple[int, bytes]]:
         classes[at[: sizes[k]] + lane] = ((codes[k] * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint16)
     before, index = np.zeros(len(texts), np.uint16), np.empty(len(texts), np.uint16)
     places, counts = at.tolist(), active.tolist()
-    for t in range(longest):
+    together = int(np.searchsorted(-active, -FEW, "right"))  # steps at which many texts walk side by side
+    for t in range(together):
         a, n = places[t], counts[t]
         now = walk[a : a + n]
         np.add(before[:n], classes[a : a + n], out=index[:n])
         _TABLE.take(index[:n], out=now, mode="wrap")
         before = now
+    for lane in range(counts[together] if together < longest else 0):  # the rest of the longest texts, one by one
+        rest = at[together : sizes[order[lane]]] + lane
+        start = int(before[lane])
+        walk[rest] = np.fromiter(accumulate(classes[rest].tolist(), lambda s, c: _LIST[s + c], initial=start), np.uint16)[1:]
     out: list[tuple[int, bytes]] = [(0, b"")] * len(texts)
     for lane, k in enumerate(order):
         n = int(sizes[k])
@@ -161,6 +171,71 @@ def fingerprints(documents: DataFrame, chunk_chars: int = 1 << 22) -> DataFrame:
     return rows.mapInArrow(of_batches, f"doc_id {dict(rows.dtypes)['doc_id']}, row_hash long, fingerprint string")
 
 
+def compared_with_next(documents: DataFrame, ranges: int | None = None, chunk_chars: int = 1 << 22) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are.
+
+    The next document is the one that follows in ascending order of doc_id, after the last the first; rows
+    with one id follow each other in the order of their texts' hashes; a row without an id is its own next
+    one. In the edited text, the last quarter (floor of n / 4 characters) gives way to the first as many
+    characters (or all) of the next text.
+
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null
+    texts are empty; repeated rows come back repeated; an empty table gives an empty result; other columns
+    are ignored. Each text moves once, compressed, to the task of its range of ids.
+    """
+
+    def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []  # the last row of its range so far: range, doc_id, text
+
+        def of_rows(rows: list[tuple]) -> pa.RecordBatch:
+            """Results of all rows that have a successor in the list: range, doc_id, text, late."""
+            texts = [r[2] for r in rows]
+            own, edited, after = [], [], []
+            for k, row in enumerate(rows):
+                if row[3]:
+                    continue
+                following = k if row[1] is None else k + 1 if k + 1 < len(rows) and rows[k + 1][0] == row[0] else None
+                if following is None:
+                    continue
+                quarter = len(texts[k]) // 4
+                own.append(k)
+                after.append(following)
+                edited.append(texts[k][: len(texts[k]) - quarter] + texts[following][:quarter])
+            marks = embed(texts)
+            changed = embed(edited)
+            out = {
+                "doc_id": pa.array([rows[k][1] for k in own], pa.int64()),
+                "n_chars": pa.array([len(texts[k]) for k in own], pa.int64()),
+                "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
+                "fingerprint": pa.array([to_text(marks[k]) for k in own], pa.string()),
+                "edited_fingerprint": pa.array([to_text(m) for m in changed], pa.string()),
+                "near_edited": pa.array([likeness(marks[k], m) for k, m in zip(own, changed, strict=True)], pa.float64()),
+                "near_next": pa.array([likeness(marks[k], marks[j]) for k, j in zip(own, after, strict=True)], pa.float64()),
+            }
+            return pa.RecordBatch.from_pydict(out)
+
+        size = 0
+        for batch in batches:
+            ranges, late, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for k in range(batch.num_rows):  # texts are unpacked as they are used
+                if waiting and waiting[-1][3] and late[k] and waiting[-1][0] == ranges[k]:
+                    continue  # of the rows with the next range's first id, the first is the successor
+                text = unpacked(batch.column(4).slice(k, 1).to_pylist())[0]
+                waiting.append((ranges[k], ids[k], text, late[k]))
+                size += len(text)
+                if size >= chunk_chars:
+                    yield of_rows(waiting)
+                    waiting, size = [r for r in waiting[-1:] if r[1] is not None], 0
+        if waiting:
+            yield of_rows(waiting)
+
+    starts = range_starts(documents, ranges)
+    return dealt(documents, starts, with_next=True).mapInArrow(
+        of_batches,
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    )
+
+
 def chunks(texts: list[str], most: int) -> Iterator[list[str]]:
     """Parts of a list of texts of about ``most`` characters."""
     part, size = [], 0

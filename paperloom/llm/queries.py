@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, mixing, simhash
+from paperloom.llm import decontaminate, edit_prints, mixing, simhash
 from paperloom.llm.common import table
 
 
+def op2_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_prints.compared_with_next(table(spark, folder, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.words_taken(table(spark, folder, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,4 +27,4 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_decontaminate, op5_simhash)}
+QUERIES = {f.__name__: f for f in (op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash)}
