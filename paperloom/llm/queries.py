@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, edit_prints, mixing, simhash
+from paperloom.llm import decontaminate, edit_prints, mixing, simhash, toxicity
 from paperloom.llm.common import table
 
 
@@ -27,4 +27,8 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash)}
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op8_toxicity)}
