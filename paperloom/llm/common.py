@@ -38,6 +38,16 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_definition(path: str | None = None) -> bytes:
+    """A tokenizer's file, read by the driver; by default the public one that the contract names."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def with_package(spark: SparkSession) -> SparkSession:
     ship_package(spark)
     return spark

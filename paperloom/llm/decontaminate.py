@@ -129,8 +129,10 @@ def _passages(documents: DataFrame, seeds: DataFrame) -> DataFrame:
             rows, at, tokens, found = [], [], [], []
             for low, hashes, first in _tokens(batch.column(1)):
                 places, grams, text = _hits(hashes, first, bits)
+                if not len(places):
+                    continue
                 passage = np.maximum(0, places - first[text] - REACH) // STRIDE
-                cuts = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(passage) != 0)))) if len(places) else []
+                cuts = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(passage) != 0))))
                 for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True):
                     word = int(passage[a]) * STRIDE
                     begin = int(first[text[a]]) + word

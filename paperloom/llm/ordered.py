@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +38,13 @@ def unpacked(blobs: list[bytes]) -> list[str]:
     return [open_.decompress(b).decode("utf-8", "surrogatepass") for b in blobs]
 
 
-def dealt(documents: DataFrame, starts: np.ndarray, with_next: bool = False) -> DataFrame:
+def dealt(documents: DataFrame, starts: np.ndarray, with_next: bool = False, pack: Callable[[list], list[bytes]] = packed) -> DataFrame:
     """``range, late, doc_id, row_hash, packed``: each range in one partition, in ascending order of id.
 
     ``with_next``: the documents that begin a range also come, marked ``late``, at the end of the range
     before (those of the first range at the end of the last one), so every document meets its successor.
     Rows without an id are spread over all ranges and come first in them. Equal ids come in the order of
-    the hash of their texts.
+    the hash of their texts. ``pack`` turns texts into what is moved in their place.
     """
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def dealt(documents: DataFrame, starts: np.ndarray, with_next: bool = False) ->
             values = ids.fill_null(0).to_numpy()
             hashes = batch.column(1).to_numpy()
             place = np.where(known, np.searchsorted(starts, values, "right") - 1, hashes % n)
-            blobs = packed(batch.column(2).to_pylist())
+            blobs = pack(batch.column(2).to_pylist())
             rows = np.arange(len(values))
             late = np.zeros(len(values), bool)
             if with_next and len(starts):

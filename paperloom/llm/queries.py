@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, edit_prints, mixing, simhash, toxicity
-from paperloom.llm.common import table
+from paperloom.llm import decontaminate, edit_prints, mixing, simhash, token_files, toxicity
+from paperloom.llm.common import table, tokenizer_definition
 
 
 def op2_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,8 +27,12 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_token_files(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    return token_files.round_trip(table(spark, folder, "documents"), tokenizer_definition(tokenizer))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op6_token_files, op8_toxicity)}

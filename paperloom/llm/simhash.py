@@ -91,14 +91,28 @@ def _emit(column: str, masks: list[np.uint64], radius: int, chunk: int):
     return of_batches
 
 
+def _meeting_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The one key at which a pair is compared, of all those at which it meets: the least variant between
+    both, in the first pair of thirds where they differ in at most two bits."""
+    keys, open_ = np.zeros(len(x), np.uint64), np.ones(len(x), bool)
+    for k, mask in enumerate(thirds()):
+        d = (x ^ y) & mask
+        low = d & (~d + np.uint64(1))
+        between = np.minimum((x & mask) ^ low, (x & mask) ^ d ^ low)
+        here = open_ & (np.bitwise_count(d) <= 2)
+        keys[here] = mix(between + np.uint64(k))[here]
+        open_ &= ~here
+    return keys
+
+
 def _compare(radius: int, small: int):
     """Links between prints of one key; rows come sorted by key. A key of more than ``small`` prints gives
-    rows (print, null) instead, for the full balls."""
+    rows (print, null) instead, for the full balls. Every link comes once."""
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, prints, hot_key = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
 
-        def found(keys: np.ndarray, prints: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        def found(keys: np.ndarray, prints: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
             a, b = [], []
             k, p = keys[~hot], prints[~hot]
             for lag in range(1, small):
@@ -106,16 +120,15 @@ def _compare(radius: int, small: int):
                 if not len(same):
                     break
                 x, y = p[same], p[same + lag]
-                near = (np.bitwise_count(x ^ y) <= radius) & (x != y)
+                near = (np.bitwise_count(x ^ y) <= radius) & (_meeting_key(x, y).view(np.int64) == k[same])
                 a.append(x[near])
                 b.append(y[near])
             one, two = (np.concatenate([*v, np.zeros(0, np.uint64)]) for v in (a, b))
             wide = np.unique(prints[hot])
             left = np.concatenate([one, wide]).view(np.int64)
             right = np.concatenate([two, np.zeros(len(wide), np.uint64)]).view(np.int64)
-            rows = {"a": pa.array(left), "b": pa.array(right, mask=np.arange(len(left)) >= len(one))}
-            pairs = pa.RecordBatch.from_pydict(rows)
-            return pa.Table.from_batches([pairs]).group_by(["a", "b"]).aggregate([]).combine_chunks().to_batches() if len(left) else []
+            if len(left):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(left), "b": pa.array(right, mask=np.arange(len(left)) >= len(one))})
 
         def closed(keys: np.ndarray, prints: np.ndarray, last: bool):
             """Splits off the rows of the last key, which may go on; marks keys that are too large."""
@@ -176,6 +189,7 @@ def links(prints: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFr
     """
     if radius not in (2, 4):
         raise ValueError("the radius is 2 or 4 bits")
+    with_package(prints.sparkSession)
     distinct = prints.select("print").where("print is not null").distinct()
     keyed = distinct.mapInArrow(_emit("print", thirds(), 1, 4096), "key long, print long")
     met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, small), "a long, b long")
