@@ -65,6 +65,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def known_id(column: str):
+    """An id as text, empty for null, so that rows without an id join and group like any other."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WORD_PATTERN, staged
+from paperloom.llm.common import WORD_PATTERN, fresh, known_id, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BUCKET_ROWS = 20_000
+DEFAULTS = {"weights": WEIGHTS, "repeats": MOST_REPEATS, "seed": "mix", "bucket_rows": BUCKET_ROWS}
 
 
 def words_in(text: Column) -> Column:
@@ -138,3 +139,26 @@ def words_taken(
         .agg(F.sum(F.when(F.col("taken"), 1).otherwise(0)).alias("copies"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def mixed_documents(documents: DataFrame, **parameters) -> DataFrame:
+    """The documents that the mix takes, each as often as it does, with all their columns; see ``mix``."""
+    id_text, row_hash, origin, total, rows_of, seat, copy = fresh(documents, "id_text", "row_hash", "origin", "total", "rows_of", "seat", "copy")
+    queue = _queue(documents, **(DEFAULTS | parameters))
+    taken = queue.groupBy(
+        known_id("doc_id").alias(id_text), F.col("row_hash").alias(row_hash), F.coalesce("source", F.lit("")).alias(origin)
+    ).agg(F.sum(F.col("taken").cast("int")).alias(total), F.count_if(F.col("copy") == 0).alias(rows_of))
+    rows = (
+        documents.withColumn(id_text, known_id("doc_id"))
+        .withColumn(row_hash, F.xxhash64("text"))
+        .withColumn(origin, F.coalesce(F.col("source").cast("string"), F.lit("")))
+        .join(taken.where(F.col(total) > 0), [id_text, row_hash, origin])
+    )
+    # Equal rows share the copies that they have together.
+    turn = F.row_number().over(Window.partitionBy(id_text, row_hash, origin).orderBy(F.lit(0)))
+    own = F.expr(f"int({total} div {rows_of})") + F.when(F.col(seat) <= F.col(total) % F.col(rows_of), 1).otherwise(0)
+    return (
+        rows.withColumn(seat, turn)
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(0), own.cast("int"))))
+        .select(*documents.columns)
+    )

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import flat, fresh, mix, staged, with_package
+from paperloom.llm.common import fresh, known_id, mix, staged, with_package
 from paperloom.llm.components import connected
 
 RADIUS = 4
@@ -226,11 +226,10 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     """
     found = near_duplicates(documents, radius, shingle)
     keepers = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_hash")).alias("keeper"))
-    keepers = keepers.select("keeper.doc_id", "keeper.row_hash")
-    key, row_hash, seat, text_hash = fresh(documents, "keeper_id", "keeper_hash", "seat", "text_hash")
-    keepers = keepers.withColumnsRenamed({"doc_id": key, "row_hash": row_hash})
-    rows = documents.withColumn(text_hash, F.xxhash64("text"))
-    kept = rows.join(keepers, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(text_hash) == F.col(row_hash)))
+    id_text, row_hash, seat = fresh(documents, "id_text", "row_hash", "seat")
+    keepers = keepers.select(known_id("keeper.doc_id").alias(id_text), F.col("keeper.row_hash").alias(row_hash))
+    rows = documents.withColumn(id_text, known_id("doc_id")).withColumn(row_hash, F.xxhash64("text"))
+    kept = rows.join(keepers, [id_text, row_hash])
     # Equal rows of one document: the join's partitions serve this window too.
-    once = kept.withColumn(seat, F.row_number().over(Window.partitionBy(key, row_hash).orderBy(F.lit(0))))
+    once = kept.withColumn(seat, F.row_number().over(Window.partitionBy(id_text, row_hash).orderBy(F.lit(0))))
     return once.where(F.col(seat) == 1).select(*documents.columns)
