@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, edit_prints, mixing, secrets, simhash, token_files, toxicity
+from paperloom.llm import decontaminate, edit_prints, mixing, pii, secrets, simhash, token_files, toxicity
 from paperloom.llm.common import table, tokenizer_definition
 
 
@@ -31,6 +31,10 @@ def op6_token_files(spark: SparkSession, folder: str, tokenizer: str | None = No
     return token_files.round_trip(table(spark, folder, "documents"), tokenizer_definition(tokenizer))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -39,4 +43,4 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op6_token_files, op8_toxicity, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op6_token_files, op7_pii, op8_toxicity, op10_secrets)}
