@@ -178,3 +178,22 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def bitmap(df: DataFrame, column: str, bits: int):
+    """A broadcast bitmap of 2**bits places of the hashes in a long column, of that size whatever their number.
+
+    It only spares rows a join: what it lets through by chance must be told apart later.
+    """
+    place = F.col(column).bitwiseAND((1 << bits) - 1)
+    found = df.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(`{column}` & 63))").alias("bit"))
+    found = found.groupBy("word").agg(F.bit_or("bit").alias("bits"))  # at most 2**(bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for batch in found.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return df.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

@@ -10,14 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import flat, fresh, gram_hashes, signed, slices, staged, with_package, word_hashes, words
+from paperloom.llm.common import bitmap, flat, fresh, gram_hashes, in_bitmap, signed, slices, staged, with_package, word_hashes, words
 
 GRAM = 3  # words of a seed
 RARE = 3  # of so many consecutive seeds of a test item, the rarest is looked up
 SEGMENT = 64  # words of a test item that are aligned at once; longer items are cut into such parts
 PASSAGE, STRIDE = 256, 96  # words of a training passage, and from one passage to the next
 REACH = (PASSAGE - STRIDE) // 2  # words around a seed that its passage holds
-FILTER_BITS = 24
+FILTER_BITS = 24  # of the bitmap that goes to all tasks, 2 MB
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 LEAST_WORDS = 8
@@ -69,24 +69,10 @@ def _seeds(parts: DataFrame) -> DataFrame:
     return parts.select("part", "tokens").mapInArrow(of_batches, "part long, position long, seed long")
 
 
-def _filter(seeds: DataFrame):
-    """A bitmap of fixed size (2 MB) of the seeds, for all tasks; what it lets through by chance falls in the join."""
-    slot = F.col("seed").bitwiseAND((1 << FILTER_BITS) - 1)
-    found = (
-        seeds.select((slot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(seed & {(1 << FILTER_BITS) - 1}, 64) AS int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    )  # at most 2**18 rows, whatever the number of seeds
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for batch in found.toArrow().to_batches():
-        bits[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return seeds.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
-
-
 def _hits(hashes: np.ndarray, first: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words at which a seed may begin, the seeds, and the texts they lie in."""
     grams = gram_hashes(hashes & np.uint64(0xFFFFFFFF), GRAM)
-    slot = grams & np.uint64((1 << FILTER_BITS) - 1)
-    maybe = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+    maybe = np.flatnonzero(in_bitmap(bits, grams))
     text = np.searchsorted(first, maybe, "right") - 1
     inside = maybe + GRAM <= first[text + 1] if len(maybe) else np.zeros(0, bool)
     return maybe[inside], grams[maybe[inside]], text[inside]
@@ -94,7 +80,7 @@ def _hits(hashes: np.ndarray, first: np.ndarray, bits: np.ndarray) -> tuple[np.n
 
 def _counts(documents: DataFrame, seeds: DataFrame) -> DataFrame:
     """``seed, n``: how often each seed occurs in all documents."""
-    sent = _filter(seeds)
+    sent = bitmap(seeds, "seed", FILTER_BITS)
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -121,7 +107,7 @@ def _rare(seeds: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _passages(documents: DataFrame, seeds: DataFrame) -> DataFrame:
     """``doc_id, word, tokens, seeds``: the passages of documents that hold a seed."""
-    sent = _filter(seeds)
+    sent = bitmap(seeds, "seed", FILTER_BITS)
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value

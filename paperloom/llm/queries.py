@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, edit_prints, mixing, pii, secrets, simhash, token_files, toxicity
+from paperloom.llm import decontaminate, edit_prints, html_text, line_dedup, mixing, pii, secrets, simhash, token_files, toxicity
 from paperloom.llm.common import table, tokenizer_definition
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, folder, "documents"))
+
+
 def op2_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_prints.compared_with_next(table(spark, folder, "documents"))
 
@@ -39,8 +43,12 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op6_token_files, op7_pii, op8_toxicity, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op6_token_files, op7_pii, op8_toxicity, op9_page_text, op10_secrets)}
