@@ -1,0 +1,63 @@
+from collections import Counter
+
+import edge_cases
+
+from paperloom.llm import mixing
+
+
+def level_targets(sizes, weights, repeats=3):
+    """Targets by giving the excess away round by round."""
+    target, left, open_ = dict.fromkeys(sizes, 0.0), float(sum(sizes.values())), set(sizes)
+    while open_ and left > 1e-9:
+        share = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if target[s] + share * weights[s] >= repeats * sizes[s]}
+        for s in open_:
+            target[s] += min(share * weights[s], repeats * sizes[s] - target[s])
+        left = sum(sizes.values()) - sum(target.values())
+        open_ -= full
+        if not full:
+            break
+    return target
+
+
+def test_targets_meet_their_limits_and_share_the_excess(spark):
+    for sizes in ([10, 2000, 50, 300, 7, 0], [5], [0, 0], [100, 100, 100]):
+        rows = [(f"s{k}", n) for k, n in enumerate(sizes)]
+        rows[-1] = (None, rows[-1][1])
+        found = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+        weights = {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(rows)}
+        for s, t in level_targets(dict(rows), weights).items():
+            assert abs(found[s] - t) < 1e-6
+
+
+def test_sources_come_near_their_targets_in_any_number_of_buckets(spark):
+    rows = [(k, "w " * (1 + k * 7 % 23), "big" if k % 3 else f"s{k % 7}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for bucket_rows in (50, 20_000):
+        taken = mixing.words_taken(docs, bucket_rows=bucket_rows).collect()
+        assert len(taken) == 3000 and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in taken)
+        by_source, target = Counter(), {}
+        for r in taken:
+            by_source[r.source] += r.taken
+            target[r.source] = r.target
+        assert all(abs(by_source[s] - t) <= 23 for s, t in target.items())
+        assert sum(by_source.values()) <= sum(r.size for r in taken)
+    assert sorted(map(tuple, taken)) == sorted(map(tuple, mixing.words_taken(docs).collect()))
+
+
+def test_a_mix_in_finish_order_keeps_the_proportions(spark):
+    docs = spark.createDataFrame([(k, "w w", "a" if k < 500 else "b") for k in range(1000)], "doc_id long, text string, source string")
+    order = mixing.mix(docs, weights=(3, 1)).orderBy("finish", "source").collect()
+    head = Counter(r.source for r in order[:200])
+    assert abs(head["a"] - 150) <= 2
+
+
+def test_edge_cases(spark):
+    docs = edge_cases.documents(spark)
+    taken = mixing.words_taken(docs).collect()
+    assert len(taken) == len(edge_cases.ROWS)
+    assert sorted(r.size for r in taken) == sorted(len((t or "").encode().split()) for _, t in edge_cases.ROWS)  # of bytes: ASCII white space only
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len((r.text or "").encode().split()) for r in mixed.collect()) == sum(r.taken for r in taken)
+    assert mixing.words_taken(docs.limit(0)).count() == mixing.mixed_documents(docs.limit(0)).count() == 0

@@ -1,0 +1,60 @@
+import compare
+import edge_cases
+import pytest
+
+import __spark_entry__ as driver
+import corpus_pipeline
+from paperloom.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_each_operator_has_a_query():
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {*queries.QUERIES, "pipeline"} <= set(driver.queries())
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query_runs_over_its_whole_table(spark, name):
+    found = queries.QUERIES[name](spark, FOLDER)
+    table = "pages" if name.startswith("op9") else "documents"
+    if not name.startswith("op4"):
+        assert found.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
+
+
+def test_stages_keep_columns_and_only_ever_drop_what_they_should(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    seen = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, FOLDER)
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes
+        after = after.cache()
+        assert after.select("doc_id").subtract(docs.select("doc_id")).count() == 0
+        seen.append(after.count())
+        docs = after
+    assert seen[0] >= seen[1] > seen[2] >= seen[3] > 0  # so few labels teach the classifier little
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+    assert len(last) == seen[4]
+
+
+def test_leaked_and_copied_documents_go(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    leaked = {r.doc_id for r in docs if any(i in r.text for i in items)}
+    kept = {r.doc_id for r in corpus_pipeline.drop_leaks(spark, spark.createDataFrame(docs), FOLDER).collect()}
+    assert leaked and not leaked & kept and len(kept) >= len(docs) - len(leaked) - 2
+    once = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(docs), FOLDER).collect()
+    assert len({r.text for r in once}) == len(once)
+
+
+def test_edge_cases_go_through_all_stages(spark):
+    docs = edge_cases.documents(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, FOLDER)
+    assert docs.count() > 0 and set(docs.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_mixing_query_matches_sql(spark):
+    from paperloom.llm.sql import ORACLE
+
+    assert compare.differences(queries.QUERIES["op3_mix_sources"](spark, FOLDER), compare.connect(FOLDER), ORACLE["op3_mix_sources"]) is None
