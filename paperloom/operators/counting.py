@@ -229,6 +229,8 @@ def crosstab(
 def side_by_side(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distributions of several columns from one pass over the table, each with shares of its non-null values."""
     present = [c for c in columns if c in df.columns]
+    if not present:
+        return df.sparkSession.createDataFrame([], "dimension string, key string, n bigint, pct double")
     counts = (
         df.select(*present).unpivot([], present, "dimension", "key")
         .where(F.col("key").isNotNull())

@@ -192,11 +192,13 @@ def summary_report(df: DataFrame, top: int = taxonomy.TOP_SUMMARY) -> DataFrame:
         F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), value.cast("double").alias("n"))
         for section, item, value in figures
     ]
-    table = (
-        per_year.groupBy("n_papers", "n_llm", "first_year", "last_year")
-        .agg(F.sum("n").alias("n_recent"))
-        .select("n_papers", F.inline(F.array(*structs)))
-    )
+    # Without any paper there is no row to hang the figures on, hence no grouping.
+    recent_papers = F.sum(F.when(_kept(["year"]) & recent, F.col("n")))
+    table = rows.agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n_papers", "n_llm")],
+        *[F.max(c).alias(c) for c in ("first_year", "last_year")],
+        F.coalesce(recent_papers, F.lit(0)).alias("n_recent"),
+    ).select("n_papers", F.inline(F.array(*structs)))
     listed = rows.where(_kept(["method_confidence", "material_confidence"]))
     items = [per_year, _top(rows, ["method", "material"], top), listed]
     long = [part.select("n_papers", "section", "item", F.col("n").cast("double").alias("n")) for part in items]

@@ -33,11 +33,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder of the cluster.
 
-    The shared folder is ``spark.checkpoint.dir``; a machine-local folder is used
-    only where that is unset (tests on one machine).
+    The shared folder is ``spark.checkpoint.dir``. Where that is unset, a session on one machine
+    takes a local folder; on a cluster it is an error, as executors do not share local disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="paperloom-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,26 +18,70 @@ def read_papers_csv(
 ) -> DataFrame:
     """Paper export(s) as CSV with a header; every column is text unless a schema says otherwise.
 
+    Columns go by name: files of one folder may have them in different order, or lack some, which are
+    null then. A schema must name the columns in the order of every file, else reading fails.
+
     Abstracts may hold line breaks, so each file is read by one task: give a folder of many files,
     convert once to Parquet with ``sinks.write_parquet``, or switch ``multi_line`` off for files
     without such breaks, which Spark then splits.
     """
-    reader = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"', encoding="UTF-8")
+    options = {"header": "true", "multiLine": str(multi_line).lower(), "escape": '"', "encoding": "UTF-8"}
+    reader = spark.read.options(**options)
     if schema is not None:
-        reader = reader.schema(schema)
-    return normalise_missing(reader.csv(path))
+        return normalise_missing(reader.schema(schema).option("enforceSchema", "false").csv(path))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in data_files(spark, path):
+        by_header.setdefault(csv_header(spark, file), []).append(file)
+    if len(by_header) <= 1:
+        parts = [(tuple(next(iter(by_header), ())), reader.csv(path))]
+    else:
+        parts = [(header, reader.option("basePath", path).csv(files)) for header, files in by_header.items()]
+    # Texts for a missing value are looked for in the columns of the files, not in names of folders.
+    found = [normalise_missing(part, columns=header) for header, part in parts]
+    table = found[0]
+    for part in found[1:]:
+        table = table.unionByName(part, allowMissingColumns=True)
+    return table
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Files under a path, hidden ones left out."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listing.hasNext():
+        file = listing.next().getPath()
+        below = file.toString()[len(root.toString()) :] if file.toString() != root.toString() else file.getName()
+        if not any(part.startswith(("_", ".")) for part in below.split("/") if part):
+            found.append(file.toString())
+    return sorted(found)
+
+
+def csv_header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names in the first line of a CSV file; compressed files are opened by their ending."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(file)
+    stream = place.getFileSystem(conf).open(place)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return tuple(next(csv.reader([(reader.readLine() or "").removeprefix("\ufeff")]), ()))
+    finally:
+        reader.close()
 
 
 def read_papers_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def normalise_missing(df: DataFrame, tokens: Sequence[str] = tuple(taxonomy.NA_TOKENS)) -> DataFrame:
-    """Texts that stand for a missing value become null, in every text column."""
+def normalise_missing(
+    df: DataFrame, tokens: Sequence[str] = tuple(taxonomy.NA_TOKENS), columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Texts that stand for a missing value become null, in every text column or in the given ones."""
 
     def cleaned(field: T.StructField) -> Column:
         column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, T.StringType) and (columns is None or field.name in columns):
             return F.when(~column.isin(*tokens), column).alias(field.name)
         return column
 
@@ -76,16 +121,21 @@ def in_year_range(df: DataFrame, low: int = taxonomy.YEAR_MIN, high: int = taxon
 
 
 def with_paper_id(df: DataFrame) -> DataFrame:
-    """Keeps ``paper_id`` if the table has one, else derives it from the content.
+    """Keeps ``paper_id`` where the table has one, else derives it from the content.
 
-    Equal content gives an equal id, so copies of a paper are scored once.
+    The content is all that a prompt shows, and the year. Equal content gives an equal id, so copies
+    of a paper are scored once. Ids that are whole numbers become 64 bits wide; derived ones are negative.
     """
-    if "paper_id" in df.columns:
-        return df
-    parts = [c for c in ("article_title", "abstract", "publication_year") if c in df.columns]
+    fields = ("article_title", "author_keywords", "keywords_plus", "abstract", "publication_year")
+    parts = [c for c in fields if c in df.columns]
     # A null and an empty text must not give the same id, nor may text move between fields.
     content = F.to_json(F.array(*[F.col(c).cast("string") for c in parts]))
-    return df.withColumn("paper_id", F.sha2(content, 256))
+    if "paper_id" not in df.columns:
+        return df.withColumn("paper_id", F.sha2(content, 256))
+    if isinstance(df.schema["paper_id"].dataType, T.IntegralType):
+        derived = -1 - F.shiftrightunsigned(F.xxhash64(content), 1)
+        return df.withColumn("paper_id", F.coalesce(F.col("paper_id").cast("bigint"), derived))
+    return df.withColumn("paper_id", F.coalesce(F.col("paper_id").cast("string"), F.sha2(content, 256)))
 
 
 def standardise(df: DataFrame) -> DataFrame:
@@ -93,7 +143,8 @@ def standardise(df: DataFrame) -> DataFrame:
     df = with_year(with_paper_id(rename_columns(df)))
     typed = {c: list_column(df, c) for c in taxonomy.LIST_COLUMNS if c in df.columns}
     if "is_relevant" in df.columns:
-        typed["is_relevant"] = F.col("is_relevant").try_cast("double").cast("int")
+        flag = F.col("is_relevant").try_cast("double")
+        typed["is_relevant"] = F.when(flag == F.floor(flag), flag.cast("int"))  # 1.9 is no flag
     return df.withColumns(typed) if typed else df
 
 
