@@ -67,28 +67,59 @@ def per_paper(ask: Callable[[str], tuple[str, int | None]], guide: str = "", thr
     return scorer
 
 
-def pending_papers(papers: DataFrame, scores: DataFrame, retry_errors: bool = False) -> DataFrame:
-    """Papers without a score yet, one row per id. Errors count as scored unless they are to be retried.
+def _first_of_batch(batches: Batches) -> Batches:
+    for batch in batches:
+        yield batch.drop_duplicates("paper_id")
 
-    Copies go first: they are dropped before the shuffle, so a paper with very many copies does not
-    gather in one task, and the anti-join finds its left side partitioned already.
+
+def pending_papers(papers: DataFrame, scores: DataFrame, retry_errors: bool = False, partitions: int | None = None) -> DataFrame:
+    """``paper_id, prompt`` of papers without a score yet. Errors count as scored unless they are to be retried.
+
+    Most copies of a paper fall away batch by batch, before the shuffle, so one with very many copies does
+    not gather in one task; of the others ``score`` takes the first. The text moves once: the join and
+    the scorer use the same partitions, and the join neither sorts nor gathers it. A paper without an id
+    is an error, as its score could never be found again.
     """
     done = scores.where(F.col("error").isNull()) if retry_errors else scores
-    return papers.dropDuplicates(["paper_id"]).join(done.select("paper_id"), "paper_id", "left_anti")
+    no_id = F.raise_error(F.lit("paper_id is null; see with_paper_id"))
+    prompts = render_prompts(papers).withColumn("paper_id", F.when(F.col("paper_id").isNull(), no_id).otherwise(F.col("paper_id")))
+    prompts = prompts.mapInPandas(_first_of_batch, prompts.schema)
+    prompts = prompts.repartition(partitions, "paper_id") if partitions else prompts.repartition("paper_id")
+    return prompts.join(done.select("paper_id").hint("shuffle_hash"), "paper_id", "left_anti")
+
+
+def _once(scorer: Scorer) -> Scorer:
+    """The scorer without papers that its task has seen before. All copies of a paper are in one task."""
+
+    def scored(batches: Batches) -> Batches:
+        seen: set = set()
+
+        def new() -> Batches:
+            for batch in batches:
+                batch = batch.drop_duplicates("paper_id")
+                batch = batch[~batch["paper_id"].isin(seen)]
+                seen.update(batch["paper_id"])
+                yield batch
+
+        return scorer(new())
+
+    return scored
 
 
 def score(
     papers: DataFrame, scorer: Scorer, partitions: int | None = None, observation: Observation | None = None
 ) -> DataFrame:
-    """Runs the scorer over all papers.
+    """Runs the scorer over all papers, or over prompts that stand in partitions by id already.
 
-    ``partitions`` bounds the number of tasks that call the classifier at the same time. Rows go to
+    Every partition calls the classifier for its papers one after the other, or in the scorer's threads;
+    so at most as many calls run at a time as the executors have cores, times the threads. Rows go to
     partitions by id, so a repeated task sees the same papers.
     """
-    prompts = render_prompts(papers)
-    if partitions:
-        prompts = prompts.repartition(partitions, "paper_id")
-    scored = prompts.mapInPandas(scorer, score_schema(papers.schema["paper_id"].dataType))
+    prompts = papers
+    if "prompt" not in papers.columns:
+        prompts = render_prompts(papers)
+        prompts = prompts.repartition(partitions, "paper_id") if partitions else prompts
+    scored = prompts.select("paper_id", "prompt").mapInPandas(scorer, score_schema(prompts.schema["paper_id"].dataType))
     if observation is not None:
         scored = scored.observe(
             observation,
@@ -117,9 +148,13 @@ def scatter(papers: DataFrame, scores: DataFrame, task: Task) -> DataFrame:
 
 
 def merge_earlier(papers: DataFrame, earlier: DataFrame, column: str = "is_relevant") -> DataFrame:
-    """All papers with a column taken from an earlier result where the table has no value of its own."""
-    known = earlier.select("paper_id", F.col(column).alias("_earlier"))
-    joined = papers.join(known, "paper_id", "left")
+    """All papers with a column taken from an earlier result where the table has no value of its own.
+
+    Of several earlier values of a paper the largest counts, so the table keeps its rows. The step between
+    grouping and join lets Spark split the join for a paper with very many copies, as in ``scatter``.
+    """
+    known = earlier.where(F.col(column).isNotNull()).groupBy("paper_id").agg(F.max(column).alias("_earlier"))
+    joined = papers.join(known.hint("rebalance"), "paper_id", "left")
     value = F.coalesce(F.col(column), F.col("_earlier")) if column in papers.columns else F.col("_earlier")
     return joined.withColumn(column, value).drop("_earlier")
 
@@ -130,27 +165,38 @@ def score_pending(
     task: Task,
     results_path: str,
     partitions: int | None = None,
-    rounds: int = 1,
+    papers_per_commit: int = 1_000_000,
     retry_errors: bool = False,
+    work_folder: str | None = None,
+    buckets: list[int] | None = None,
 ) -> None:
     """Scores what the results table lacks and appends it.
 
-    An interrupted run is repeated with the same call. With several ``rounds`` the pending papers
-    are staged once and appended round by round, so an interruption loses one round at most.
+    An interrupted run is repeated with the same call. Replies are committed after about
+    ``papers_per_commit`` papers, so an interruption loses no more calls than that. Where one commit
+    does not do, the pending prompts are staged once, under ``work_folder`` or the shared folder.
+    With ``buckets`` only these folders of the results table are read.
     """
     spark = papers.sparkSession
-    scores = read_scores(spark, results_path, papers.schema["paper_id"].dataType)
-    pending = pending_papers(relevant_only(papers, task.only_relevant), scores, retry_errors)
-    if rounds == 1:
-        append_scores(score(pending, scorer, partitions), results_path)
+    asked = relevant_only(papers, task.only_relevant)
+    scores = read_scores(spark, results_path, papers.schema["paper_id"].dataType, buckets)
+    done = scores.where(F.col("error").isNull()) if retry_errors else scores
+    n = asked.select("paper_id").distinct().join(done.select("paper_id"), "paper_id", "left_anti").count()
+    pending = pending_papers(asked, scores, retry_errors, partitions)
+    commits = -(-n // papers_per_commit)
+    if commits <= 1:
+        append_scores(score(pending, _once(scorer)), results_path)
         return
-    staged = scratch_dir(spark, f"pending-{task.name}")
-    shares = pending.withColumn("_round", F.pmod(F.xxhash64("paper_id"), F.lit(rounds)))
-    shares.hint("rebalance", "_round").write.partitionBy("_round").parquet(staged)
-    for number in range(rounds):
-        part = spark.read.parquet(staged).where(F.col("_round") == number).drop("_round")
-        append_scores(score(part, scorer, partitions), results_path)
-    drop_scratch(spark, staged)
+    staged = f"{work_folder}/pending-{task.name}" if work_folder else scratch_dir(spark, f"pending-{task.name}")
+    try:
+        shares = pending.withColumn("_commit", F.pmod(F.xxhash64("paper_id"), F.lit(commits)))
+        shares.write.partitionBy("_commit").parquet(staged)
+        for number in range(commits):
+            part = spark.read.parquet(staged).where(F.col("_commit") == number).drop("_commit")
+            part = part.repartition(partitions, "paper_id") if partitions else part.repartition("paper_id")
+            append_scores(score(part, _once(scorer)), results_path)
+    finally:
+        drop_scratch(spark, staged)
 
 
 def classify(
@@ -159,9 +205,9 @@ def classify(
     task: Task,
     results_path: str,
     partitions: int | None = None,
-    rounds: int = 1,
+    papers_per_commit: int = 1_000_000,
     retry_errors: bool = False,
 ) -> DataFrame:
     """Scores pending papers, then returns the whole table with the columns of the task."""
-    score_pending(papers, scorer, task, results_path, partitions, rounds, retry_errors)
+    score_pending(papers, scorer, task, results_path, partitions, papers_per_commit, retry_errors)
     return scatter(papers, read_scores(papers.sparkSession, results_path, papers.schema["paper_id"].dataType), task)

@@ -264,8 +264,8 @@ def parse_method_replies(t: SampleTables) -> DataFrame:
 
 
 def parse_chat_turns(t: SampleTables) -> DataFrame:
-    """Assistant turns as replies: prose is not JSON, so each gives the default record."""
-    turns = t.table("conversations").where("role = 'assistant'")
+    """Chat turns as replies: prose is not JSON, so each gives the default record."""
+    turns = t.table("conversations")
     parsed = turns.select("conv_id", "turn", *reply_columns(F.col("text"), MATERIAL_REPLY))
     return _list_texts(parsed, "material_categories")
 
@@ -298,11 +298,13 @@ def _earlier(t: SampleTables) -> DataFrame:
 
 def resume_pending(t: SampleTables) -> DataFrame:
     earlier = _earlier(t).withColumn("error", F.lit(None).cast("string"))
-    return scoring.pending_papers(t.documents, earlier).select("paper_id", "journal")
+    pending = scoring.pending_papers(t.documents, earlier).select("paper_id")
+    return t.documents.join(pending, "paper_id", "left_semi").select("paper_id", "journal")
 
 
 def resume_merge(t: SampleTables) -> DataFrame:
-    return scoring.merge_earlier(t.documents, _earlier(t)).select("paper_id", "is_relevant")
+    repeated = _earlier(t).union(_earlier(t)).union(_earlier(t).withColumn("is_relevant", F.lit(None).cast("int")))
+    return scoring.merge_earlier(t.documents, repeated).select("paper_id", "is_relevant")
 
 
 def topic_filter(t: SampleTables) -> DataFrame:
@@ -332,7 +334,7 @@ def _sample_relevance_answer(prompt: str) -> tuple[str, int]:
 
 def score_batch(t: SampleTables) -> DataFrame:
     """Prompts through a Python scorer, replies through the strict parser."""
-    scored = scoring.score(t.documents, scoring.per_paper(_sample_material_answer), partitions=16)
+    scored = scoring.score(t.documents, scoring.per_paper(_sample_material_answer))
     return scored.select(
         "paper_id", "tokens", "error",
         *reply_columns(F.col("reply"), MATERIAL_REPLY),
@@ -340,14 +342,14 @@ def score_batch(t: SampleTables) -> DataFrame:
 
 
 def scoring_usage(t: SampleTables) -> DataFrame:
-    return scoring.usage(scoring.score(t.documents, scoring.per_paper(_sample_material_answer), partitions=16))
+    return scoring.usage(scoring.score(t.documents, scoring.per_paper(_sample_material_answer)))
 
 
 def classify_batch(t: SampleTables) -> DataFrame:
     """Scores relevant papers into a results table and fills their columns; the others keep nulls."""
     papers = t.documents.join(_earlier(t), "paper_id", "left")
     done = scoring.classify(
-        papers, scoring.per_paper(_sample_material_answer, threads=4), scoring.MATERIAL, scratch_dir(t.spark, "scores"), 16
+        papers, scoring.per_paper(_sample_material_answer, threads=4), scoring.MATERIAL, scratch_dir(t.spark, "scores")
     )
     return done.select("paper_id", "is_relevant", MATERIAL, "material_confidence")
 
@@ -365,10 +367,10 @@ def _with_earlier_scores(t: SampleTables) -> str:
 
 
 def resumable_scoring(t: SampleTables) -> DataFrame:
-    """Earlier results stay, the rest is scored in three rounds."""
+    """Earlier results stay, the rest is scored with a commit for every few hundred papers."""
     path = _with_earlier_scores(t)
     done = scoring.classify(
-        t.documents, scoring.per_paper(_sample_relevance_answer), scoring.RELEVANCE, path, 16, rounds=3
+        t.documents, scoring.per_paper(_sample_relevance_answer), scoring.RELEVANCE, path, papers_per_commit=300
     )
     return done.select("paper_id", "is_relevant")
 
@@ -379,7 +381,7 @@ def incremental_scoring(t: SampleTables) -> DataFrame:
     source = t.spark.readStream.schema(t.table("documents").schema).parquet(f"{t.folder}/documents.parquet*")
     score_stream(
         papers_from_documents(source), scoring.per_paper(_sample_relevance_answer), scoring.RELEVANCE,
-        path, scratch_dir(t.spark, "stream"), 16,
+        path, scratch_dir(t.spark, "stream"),
     ).awaitTermination()
     scores = read_scores(t.spark, path, t.documents.schema["paper_id"].dataType)
     return scoring.scatter(t.documents, scores, scoring.RELEVANCE).select("paper_id", "is_relevant")

@@ -421,7 +421,7 @@ SQL: dict[str, str] = {
     "parse_method_replies": f"WITH {_METHOD_REPLIES}{_SHAPES} SELECT paper_id, {_METHOD_RECORD} FROM parsed",
     "parse_chat_turns": f"""WITH turns AS (SELECT conv_id, turn,
           CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN text END AS doc
-        FROM conversations WHERE role = 'assistant')
+        FROM conversations)
         SELECT conv_id, turn, {_MATERIAL_RECORD} FROM turns""",
     "binary_decision": r"""SELECT event_id, number, CAST(CASE WHEN number = 1 THEN 1 ELSE 0 END AS INTEGER) AS decision
         FROM (SELECT event_id, CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER) AS number FROM events)""",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BUCKETS = 64
+
 
 def score_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType(
@@ -19,21 +23,44 @@ def score_schema(id_type: T.DataType) -> T.StructType:
     )
 
 
-def read_scores(spark: SparkSession, path: str, id_type: T.DataType) -> DataFrame:
-    """Scores written so far, one row per paper; an empty table where nothing was written yet.
+def bucket_of(paper_id: Column) -> Column:
+    """The folder of the results table that holds the scores of a paper."""
+    return F.pmod(F.xxhash64(paper_id), F.lit(BUCKETS)).cast("int")
 
-    A replayed task or a retried error can leave several attempts for a paper; one without an
-    error is preferred.
-    """
+
+def _attempts(spark: SparkSession, path: str, id_type: T.DataType, buckets: Sequence[int] | None) -> DataFrame:
+    schema = score_schema(id_type)
     try:
-        attempts = spark.read.schema(score_schema(id_type)).parquet(path)
+        attempts = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        attempts = spark.createDataFrame([], score_schema(id_type))
+        return spark.createDataFrame([], schema)
+    if buckets is not None:
+        attempts = attempts.where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
+    return attempts
+
+
+def read_scores(spark: SparkSession, path: str, id_type: T.DataType, buckets: Sequence[int] | None = None) -> DataFrame:
+    """Scores written so far, one row per paper; an empty table where nothing was written yet.
+
+    A replayed task or a retried error can leave several attempts for a paper; one without an
+    error is preferred. With ``buckets`` only those folders are read.
+    """
+    attempts = _attempts(spark, path, id_type, buckets)
     best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "reply", "tokens", "error"))
     return attempts.groupBy("paper_id").agg(best.alias("best")).select("paper_id", "best.reply", "best.tokens", "best.error")
 
 
 def append_scores(scored: DataFrame, path: str) -> None:
-    scored.select("paper_id", "reply", "tokens", "error").write.mode("append").parquet(path)
+    rows = scored.select("paper_id", "reply", "tokens", "error", bucket_of(F.col("paper_id")).alias("bucket"))
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def compact_scores(spark: SparkSession, path: str, target: str, id_type: T.DataType) -> None:
+    """Writes the best attempt of each paper to a new results table with few files a bucket.
+
+    Many runs and micro-batches leave many small files. Use the new table from then on.
+    """
+    best = read_scores(spark, path, id_type).withColumn("bucket", bucket_of(F.col("paper_id")))
+    best.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)

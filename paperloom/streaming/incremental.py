@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.scoring import Scorer, Task, score_pending
+from paperloom.sources.scores import bucket_of
 
 
 def score_stream(
@@ -19,11 +21,13 @@ def score_stream(
     """Scores every paper of a stream that the results table lacks, then stops when the input is used up.
 
     Each micro-batch is appended on its own. A batch that is replayed after a failure finds what it
-    has appended before and does not score it again.
+    has appended before and does not score it again. Of the results table a batch reads only the
+    buckets its papers fall into; ``compact_scores`` merges the small files of many batches.
     """
 
     def score_batch(batch: DataFrame, _: int) -> None:
-        score_pending(batch, scorer, task, results_path, partitions)
+        found = batch.select(bucket_of(F.col("paper_id")).alias("bucket")).distinct().collect()  # at most BUCKETS
+        score_pending(batch, scorer, task, results_path, partitions, buckets=[r.bucket for r in found])
 
     return (
         papers.writeStream.foreachBatch(score_batch)

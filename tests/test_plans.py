@@ -92,13 +92,16 @@ def test_pending_papers_are_shuffled_once(spark, stored):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         scores = stored.papers.where("is_relevant = 1").select("paper_id", F.lit(None).cast("string").alias("error"))
-        plan = executed(scoring.pending_papers(stored.papers, scores))
+        pending = scoring.pending_papers(stored.papers, scores)
+        pending.collect()
+        # Prompts hold line ends, so the plan is not cut by lines here.
+        plan = pending._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in plan, plan
-    # One shuffle for each side of the join, none for dropping copies.
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    # One shuffle for each side of the join; most copies fall away before it.
     assert len(re.findall(r"Exchange hashpartitioning\(paper_id", plan)) == 2
-    assert re.search(r"Aggregate\(keys?=\[paper_id[^]]*\], functions=\[partial_first", plan)
+    assert plan.index("Exchange hashpartitioning") < plan.index("_first_of_batch")
 
 
 def test_hot_category_is_split_over_files(spark, tmp_path):

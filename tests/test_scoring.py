@@ -6,7 +6,8 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from paperloom.operators import prompts, scoring
-from paperloom.sources.scores import append_scores, read_scores
+from paperloom.sources import papers as scans
+from paperloom.sources.scores import append_scores, bucket_of, compact_scores, read_scores
 from paperloom.streaming.incremental import score_stream
 
 # Workers cannot import test modules.
@@ -86,22 +87,70 @@ def test_interrupted_run_goes_on_where_it_stopped(spark, tmp_path):
             yield from plain(iter([batch]))
 
     with pytest.raises(Exception):
-        scoring.score_pending(papers(spark), breaks, scoring.RELEVANCE, path, rounds=4)
+        scoring.score_pending(papers(spark), breaks, scoring.RELEVANCE, path, papers_per_commit=10)
     before = attempts(spark, path).count()
     assert 0 < before < 40
-    done = scoring.classify(papers(spark), plain, scoring.RELEVANCE, path, rounds=4)
+    done = scoring.classify(papers(spark), plain, scoring.RELEVANCE, path, papers_per_commit=10)
     assert done.count() == 40 and done.where("is_relevant is null").count() == 0
     assert attempts(spark, path).where("count > 1").count() == 0
 
 
-def test_rounds_leave_no_staged_copy(spark, tmp_path, monkeypatch):
-    staged = tmp_path / "shared" / "pending"
-    monkeypatch.setattr(scoring, "scratch_dir", lambda session, purpose: str(staged))
-    scoring.score_pending(papers(spark), scoring.per_paper(answer), scoring.RELEVANCE, str(tmp_path / "s"), rounds=2)
-    assert staged.parent.exists() and not staged.exists()
+def test_commits_leave_no_staged_copy(spark, tmp_path):
+    def breaks(batches):
+        raise SystemError("executor is gone")
+        yield
+
+    folder = tmp_path / "shared"
+    with pytest.raises(Exception):
+        scoring.score_pending(papers(spark), breaks, scoring.RELEVANCE, str(tmp_path / "s"), papers_per_commit=20, work_folder=str(folder))
+    assert folder.exists() and not list(folder.glob("pending*"))
+    scoring.score_pending(
+        papers(spark), scoring.per_paper(answer), scoring.RELEVANCE, str(tmp_path / "s"), papers_per_commit=20, work_folder=str(folder)
+    )
+    assert not list(folder.glob("pending*"))
     assert attempts(spark, str(tmp_path / "s")).count() == 40
 
 
+def test_a_paper_without_id_is_an_error(spark, tmp_path):
+    df = papers(spark, 3).union(spark.sql("SELECT CAST(null AS bigint), 'title', 'text'"))
+    with pytest.raises(Exception, match="paper_id is null"):
+        scoring.score_pending(df, scoring.per_paper(answer), scoring.RELEVANCE, str(tmp_path / "s"))
+
+
+def test_derived_ids_fill_every_paper_and_ask_once(spark, tmp_path):
+    """Null ids, and papers that differ in their keywords only."""
+    rows = [(1, "T", "a", None), (None, "T", "a", "x"), (None, "T", "b", "x"), (None, "T", "b", "x"), (None, "U", None, None)]
+    df = scans.with_paper_id(spark.createDataFrame(rows, "paper_id int, article_title string, author_keywords string, abstract string"))
+    path = str(tmp_path / "s")
+    for _ in range(2):  # the second run asks nothing
+        done = scoring.classify(df, scoring.per_paper(answer_all), scoring.RELEVANCE, path)
+        assert [r.is_relevant for r in done.collect()] == [1] * 5
+        assert sorted(r["count"] for r in attempts(spark, path).collect()) == [1] * 4
+
+
+def test_text_moves_once_and_is_not_sorted(spark, tmp_path):
+    scores = read_scores(spark, str(tmp_path / "none"), papers(spark).schema["paper_id"].dataType)
+    append_scores(spark.createDataFrame([(1, "1", 1, None)], "paper_id long, reply string, tokens long, error string"), str(tmp_path / "some"))
+    scores = read_scores(spark, str(tmp_path / "some"), papers(spark).schema["paper_id"].dataType)
+    scored = scoring.score(scoring.pending_papers(papers(spark), scores), scoring.per_paper(answer))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert "ShuffledHashJoin" in plan and "SortAggregate" not in plan and "Sort [" not in plan
+    assert len(moved) == 2  # the prompts, and the ids of the scores
+
+
+def test_batches_read_only_their_buckets(spark, tmp_path):
+    path = str(tmp_path / "s")
+    append_scores(spark.range(200).selectExpr("id AS paper_id", "'1' AS reply", "1L AS tokens", "CAST(null AS string) AS error"), path)
+    kind = papers(spark).schema["paper_id"].dataType
+    some = read_scores(spark, path, kind, [3, 5])
+    assert "PartitionFilters: [isnotnull(bucket" in some._jdf.queryExecution().executedPlan().toString() or "bucket" in some._jdf.queryExecution().executedPlan().toString()
+    everything = {r.paper_id for r in spark.range(200).select(F.col("id").alias("paper_id")).where(bucket_of(F.col("paper_id")).isin(3, 5)).collect()}
+    assert {r.paper_id for r in some.collect()} == everything
+    compact_scores(spark, path, str(tmp_path / "t"), kind)
+    assert tuples(read_scores(spark, str(tmp_path / "t"), kind)) == tuples(read_scores(spark, path, kind))
+
+
 def test_copies_are_scored_once_and_all_filled(spark, tmp_path):
     """A third of the rows are copies of one paper."""
     path = str(tmp_path / "s")
@@ -116,6 +165,8 @@ def test_merge_keeps_own_values(spark):
     old = spark.createDataFrame([(1, 0), (2, 0)], "paper_id int, is_relevant int")
     assert {r.paper_id: r.is_relevant for r in scoring.merge_earlier(new, old).collect()} == {1: 1, 2: 0, 3: None}
     assert {r.paper_id: r.is_relevant for r in scoring.merge_earlier(new.drop("is_relevant"), old).collect()} == {1: 0, 2: 0, 3: None}
+    repeated = old.union(old).union(spark.createDataFrame([(2, None)], old.schema))
+    assert tuples(scoring.merge_earlier(new, repeated)) == [(1, 1), (2, 0), (3, None)]
 
 
 def test_scores_table_may_not_exist_yet(spark, tmp_path):
