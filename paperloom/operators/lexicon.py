@@ -16,9 +16,15 @@ def _is_plain(word: str) -> bool:
     return word == word.lower()
 
 
+def _singular(word: str) -> str:
+    """The word without a plural s, so that both forms match."""
+    return word[:-1] if re.search(r"[^sui]s$", word) else word
+
+
 def word_pattern(word: str) -> str:
-    """Plain words match in any letter case and with any ending; names and acronyms match as written,
-    with or without a plural s."""
+    """Plain words match in any letter case and with any ending; names and acronyms match as written.
+    Both match with or without a plural s, also where the list has the plural."""
+    word = _singular(word)
     body = r"\s+".join(re.escape(part) for part in word.split())
     flags = "i" if word.isascii() else "iu"
     return f"(?{flags}:{body}){WORD}*" if _is_plain(word) else f"{body}s?(?!{WORD})"
@@ -32,7 +38,7 @@ def _possible(text: Column, lowered: Column, words: Sequence[str]) -> Column:
     """Cheap test that must hold wherever a word can match; spares the pattern search on most texts."""
     if not all(w.isascii() for w in words):
         return F.lit(True)
-    tests = [(lowered if _is_plain(w) else text).contains(w.split()[0]) for w in words]
+    tests = [(lowered if _is_plain(w) else text).contains(_singular(w).split()[0]) for w in words]
     possible = tests[0]
     for test in tests[1:]:
         possible = possible | test

@@ -209,13 +209,12 @@ SQL: dict[str, str] = {
         "SELECT paper_id, material AS primary_material_category FROM papers WHERE list_contains(materials, 'PROMO')"
     ),
     "export_by_category": _papers(
-        """, rows AS (SELECT paper_id, unnest(materials) AS category FROM papers)
-        SELECT translate(category, '/ ', '-_') AS category_file, count(*) AS n, min(paper_id) AS first_id
-        FROM rows GROUP BY category"""
+        """, rows AS (SELECT DISTINCT paper_id, journal, unnest(materials) AS category FROM papers)
+        SELECT translate(category, '/ ', '-_') AS category_file, paper_id, journal FROM rows"""
     ),
     "papers_per_category": _papers(
         """, rows AS (SELECT paper_id, unnest(materials) AS category FROM papers)
-        SELECT category, count(DISTINCT paper_id) AS n, translate(category, '/ ', '-_') || '.csv' AS filename
+        SELECT category, count(DISTINCT paper_id) AS n, 'category_file=' || translate(category, '/ ', '-_') AS filename
         FROM rows GROUP BY category"""
     ),
     "exported_total": _papers(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import one_decimal, pad_with, show_percent, text_bar
@@ -34,7 +34,11 @@ SUMMARY_SECTIONS = {
     "llm_papers": "",
     "material": "4. MATERIAL CATEGORY DISTRIBUTION",
     "method_confidence": "5. CLASSIFICATION CONFIDENCE",
-    "material_confidence": "",
+    "material_confidence": "Material Classification:",
+}
+SUB_HEADINGS = {
+    "MULTI-CATEGORY ANALYSIS": "Number of material categories per paper:",
+    "5. CLASSIFICATION CONFIDENCE": "Model Classification:",
 }
 
 METHOD_COLUMN, MATERIAL_COLUMN = "model_primary_category", "primary_material_category"
@@ -48,6 +52,7 @@ def _lines(table: DataFrame, title: str, sections: dict[str, str], line: Column,
         line.alias("line"),
     )
     headings = [(1, title)] + [(i, h) for i, h in enumerate(sections.values(), start=2) if h]
+    headings = [(i, f"{h}\n{SUB_HEADINGS[h]}" if h in SUB_HEADINGS else h) for i, h in headings]
     before_all = F.lit(float("-inf")).alias("rank")
     structs = [
         F.struct(F.struct(F.lit(i).alias("number"), before_all, F.lit("").alias("item")).alias("position"), F.lit(h).alias("line"))
@@ -108,8 +113,7 @@ def summary_lines(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     whole = F.format_string("%d", F.col("n").cast("long"))
     line = (
         F.when(_is("basic") & (F.col("item") == "papers"), F.concat(F.lit("Total Papers: "), whole))
-        .when(F.col("item") == "first_year", F.concat(F.lit("First Year: "), whole))
-        .when(F.col("item") == "last_year", F.concat(F.lit("Last Year: "), whole))
+        .when(F.col("item") == "year_range", F.concat(F.lit("Year Range: "), whole, F.lit(" - "), F.format_string("%d", F.col("last").cast("long"))))
         .when(F.col("item") == "papers_per_year", F.concat(
             F.lit("Average Papers per Year: "), F.format_string("%.1f", one_decimal(F.col("n")))))
         .when(_is("recent"), F.concat(F.lit("Papers (Last 5 Years): "), share))
@@ -119,7 +123,12 @@ def summary_lines(table: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.lit("  "), pad_with(F.col("item"), 50, " "), F.lit(" "), _count(), F.lit(" ("), pct, F.lit("%)")))
         .otherwise(F.concat(F.lit("  "), "item", F.lit(": "), share))
     )
-    figure = F.array_position(F.array(*[F.lit(x) for x in ("papers", "first_year", "last_year", "papers_per_year")]), F.col("item"))
+    # First and last year become one line.
+    last = F.max(F.when(F.col("item") == "last_year", F.col("n"))).over(Window.partitionBy(F.lit("all")))
+    basics = table.where(_is("basic")).withColumn("last", last).where("item != 'last_year'")
+    rest = table.where(~_is("basic")).withColumn("last", F.lit(None).cast("double"))
+    table = basics.unionByName(rest).withColumn("item", F.when(F.col("item") == "first_year", "year_range").otherwise(F.col("item")))
+    figure = F.array_position(F.array(*[F.lit(x) for x in ("papers", "year_range", "papers_per_year")]), F.col("item"))
     order = (
         F.when(_is("basic"), figure.cast("double"))
         .when(_is("year"), -F.col("item").try_cast("double"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,13 +29,18 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def per_category(df: DataFrame, column: str = "material_categories") -> DataFrame:
-    """One row per paper and distinct category of it, with the file key of the category."""
+    """One row per paper and distinct category of it, with the file key of the category.
+
+    Where several categories would share a key, all but the first by name carry a mark of their own.
+    """
     labels = F.array_distinct(list_column(df, column))
-    return (
-        df.withColumn("category", F.explode(labels))
-        .where(F.col("category").isNotNull())
-        .withColumn("category_file", file_key(F.col("category")))
+    rows = df.withColumn("category", F.explode(labels)).where(F.col("category").isNotNull())
+    same = Window.partitionBy(file_key(F.col("category"))).orderBy("category")
+    marked = F.concat(file_key(F.col("category")), F.lit("~"), F.substring(F.md5("category"), 1, 8))
+    keys = rows.select("category").distinct().withColumn(
+        "category_file", F.when(F.row_number().over(same) == 1, file_key(F.col("category"))).otherwise(marked)
     )
+    return rows.join(keys, "category")
 
 
 def export_by_category(df: DataFrame, path: str, column: str = "material_categories", fmt: str = "csv") -> None:
@@ -52,12 +57,12 @@ def export_by_category(df: DataFrame, path: str, column: str = "material_categor
 
 
 def category_manifest(df: DataFrame, column: str = "material_categories") -> DataFrame:
-    """Papers per category and the file name of each."""
+    """Papers per category and the folder that the export writes for it."""
     return (
         per_category(df.select(column), column)
         .groupBy("category", "category_file")
         .agg(F.count("*").alias("n"))
-        .select("category", "n", F.concat("category_file", F.lit(".csv")).alias("filename"))
+        .select("category", "n", F.concat(F.lit("category_file="), "category_file").alias("filename"))
         .orderBy("category")
     )
 

@@ -1,10 +1,12 @@
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from paperloom import taxonomy
-from paperloom.plans import jobs
+from paperloom import session, taxonomy
+from paperloom.operators import counting
+from paperloom.plans import jobs, reports
 from paperloom.sources import papers as scans
 from paperloom.sources import sinks
 
@@ -96,7 +98,53 @@ def test_export_by_category(spark, tmp_path):
     back = scans.read_papers_csv(spark, out)
     assert sorted((r.category_file, r.paper_id) for r in back.collect()) == [("A-B_x", "1"), ("C", "1"), ("C", "2")]
     manifest = [tuple(r) for r in sinks.category_manifest(df).collect()]
-    assert manifest == [("A/B x", 1, "A-B_x.csv"), ("C", 2, "C.csv")]
+    assert manifest == [("A/B x", 1, "category_file=A-B_x"), ("C", 2, "category_file=C")]
+
+
+def test_categories_that_share_a_key_have_folders_of_their_own(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["A/B"]), (2, ["A-B"]), (3, ["None"])], "paper_id int, material_categories array<string>")
+    out = str(tmp_path / "export")
+    sinks.export_by_category(df, out)
+    manifest = {r.category: r.filename for r in sinks.category_manifest(df).collect()}
+    assert sorted(manifest.values()) == sorted(d for d in os.listdir(out) if "=" in d)
+    back = {r.paper_id: f"category_file={r.category_file}" for r in scans.read_papers_csv(spark, out).collect()}
+    assert back == {"1": manifest["A/B"], "2": manifest["A-B"], "3": "category_file=None"}
+
+
+def test_csv_files_with_other_columns_are_read_by_name(spark, tmp_path):
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Article Title,Abstract,Publication Year\nT1,A1,2020\n", encoding="utf-8-sig")
+    (folder / "b.csv").write_text("Abstract,Article Title,Author Keywords\n\"A,\n2\",T2,K2\n")
+    (folder / "_hidden").write_text("x\n")
+    rows = {r["Article Title"]: r for r in scans.read_papers_csv(spark, str(folder)).collect()}
+    assert [rows["T1"][c] for c in ("Abstract", "Publication Year", "Author Keywords")] == ["A1", "2020", None]
+    assert [rows["T2"][c] for c in ("Abstract", "Publication Year", "Author Keywords")] == ["A,\n2", None, "K2"]
+
+
+def test_flags_must_be_whole_numbers(spark):
+    df = spark.createDataFrame([("1.9",), ("1.0",), ("0",), ("x",), (None,)], "is_relevant string")
+    assert [r.is_relevant for r in scans.standardise(df).collect()] == [None, 1, 0, None, None]
+
+
+def test_scratch_folder_on_a_cluster_must_be_named(monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Session(), "x")
+
+
+def test_no_confidence_and_no_papers(spark):
+    assert counting.side_by_side(spark.range(3), ["model_confidence"]).count() == 0
+    none = spark.createDataFrame([], "year double, model_primary_category string")
+    rows = {(r.section, r.item): r.n for r in reports.summary_report(none).collect()}
+    assert rows["basic", "papers"] == 0 and rows["basic", "first_year"] is None and rows["recent", "last_years"] == 0
 
 
 def test_having_label(spark):
@@ -130,8 +178,11 @@ def test_reports_on_disk(spark, tmp_path):
     summary = lines("summary_statistics")
     assert summary[:5] == [
         "MATERIALS DATA EXTRACTION LITERATURE ANALYSIS SUMMARY", "1. BASIC STATISTICS", "Total Papers: 4",
-        "First Year: 2020", "Last Year: 2021",
+        "Year Range: 2020 - 2021", "Average Papers per Year: 2.0",
     ]
+    at = summary.index("Model Classification:")
+    assert summary[at - 1] == "5. CLASSIFICATION CONFIDENCE" and summary[at + 2] == "Material Classification:"
+    assert material[material.index("MULTI-CATEGORY ANALYSIS") + 1] == "Number of material categories per paper:"
     assert "Average Papers per Year: 2.0" in summary and "Papers (Last 5 Years): 4 (100.0%)" in summary
     assert summary.index("  2021: 1 papers") + 1 == summary.index("  2020: 3 papers")
     assert "  Total LLM Papers: 0 (0.0%)" in summary
