@@ -126,18 +126,13 @@ def _candidates(documents: DataFrame, shared: DataFrame, least_chars: int) -> Da
     return found.groupBy("h1", "h2").agg(F.first("text").alias("text"))
 
 
-def neighbourhood(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a line's variants, and their kinds: 0 the line itself, 1 the line without one character, 2 the
-    same with the place of that character."""
+def neighbourhood(codes: np.ndarray) -> np.ndarray:
+    """Keys of a line's variants: the line itself, then without each one of its characters in turn."""
     n, hashes = len(codes), RangeHash(codes)
     with np.errstate(over="ignore"):
         without = hashes.total[:n] + hashes.inverse[1] * (hashes.total[n] - hashes.total[1 : n + 1])
         shorter = mix(without + np.uint64(n - 1) * np.uint64(0xD6E8FEB86659FD93))
-        placed = mix(shorter + np.arange(1, n + 1, dtype=np.uint64) * _SALT)
-    own = hashes(np.zeros(1, np.int64), np.full(1, n))
-    keys = np.concatenate([own, np.unique(shorter), placed])
-    kinds = np.repeat(np.array([0, 1, 2], np.int8), [1, len(keys) - 1 - n, n])
-    return keys, kinds
+    return np.concatenate([hashes(np.zeros(1, np.int64), np.full(1, n)), shorter])
 
 
 def within_one_edit(a: str, b: str) -> bool:
@@ -150,43 +145,52 @@ def within_one_edit(a: str, b: str) -> bool:
 
 
 def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, place, rank``: all variants of the lines; the place of the missing character, -1 where none is."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        texts, ranks = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         low = 0
-        while low < len(texts):  # about a million keys at a time
+        while low < len(texts):  # about half a million keys at a time
             high, size = low, 0
             while high < len(texts) and (high == low or size < 1 << 19):
                 size += len(texts[high])
                 high += 1
             found = [neighbourhood(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for t in texts[low:high]]
-            at = pa.array(np.repeat(np.arange(low, high), [len(k) for k, _ in found]))
-            keys, kinds = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            sizes = np.array([len(k) for k in found])
+            places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(keys)), pa.array(kinds), *(batch.column(k).take(at) for k in (1, 2, 3))], names=["key", "kind", "seat", "h1", "h2"]
+                [pa.array(signed(np.concatenate(found))), pa.array(places.astype(np.int32)), pa.array(np.repeat(ranks[low:high], sizes))], names=["key", "place", "rank"]
             )
             low = high
 
 
 def _witnesses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each line an earlier one with the same variant; rows come sorted by key, then by line.
+    """``rank, witness``: for lines an earlier one at distance 1; rows come sorted by key, place and rank.
 
-    A line and another that lacks one of its characters are at distance 1; so are two that lack a character
-    at the same place. Each line needs the first such line only, so a group gives at most as many rows as it has.
+    A line is at distance 1 from each that lacks one of its characters, and from each that lacks a character
+    at the same place. The first of these is enough, so a group gives fewer rows than twice its own.
     """
-    key, first = None, [None, None, None]
+    none = np.int64(-1)
+    key, place, head, whole = None, None, none, none  # of the row before: its run's first line, the key's own line
     for batch in batches:
-        out = set()
-        columns = (batch.column(k).to_pylist() for k in range(5))
-        for k, kind, _, h1, h2 in zip(*columns, strict=True):
-            if k != key:
-                key, first = k, [None, None, None]
-            other = first[2] if kind == 2 else first[1 - kind]
-            if other is not None and other != (h1, h2):
-                out.add((h1, h2, *other))
-            if first[kind] is None:
-                first[kind] = (h1, h2)
-        rows = list(out)
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["h1", "h2", "w1", "w2"])
+        keys, places, ranks = (batch.column(k).to_numpy() for k in range(3))
+        n = len(keys)
+        if not n:
+            continue
+        new_key = np.concatenate(([key is None or keys[0] != key], keys[1:] != keys[:-1]))
+        new_run = new_key | np.concatenate(([place is None or places[0] != place], places[1:] != places[:-1]))
+        at = np.arange(n)
+        run_at = np.maximum.accumulate(np.where(new_run, at, -1))
+        heads = np.where(run_at >= 0, ranks[np.maximum(run_at, 0)], head)
+        key_at = np.maximum.accumulate(np.where(new_key, at, -1))
+        firsts = np.maximum(key_at, 0)
+        wholes = np.where(key_at >= 0, np.where(places[firsts] == -1, ranks[firsts], none), whole)
+        # The line itself may come as several rows only if two lines are one; a key's own line is unique.
+        lacking = places >= 0
+        out = [(ranks, heads, lacking & (heads < ranks)), (ranks, wholes, lacking & (wholes >= 0) & (wholes < ranks))]
+        out.append((wholes, ranks, lacking & (heads == ranks) & (wholes > ranks)))
+        late, early = (np.concatenate([x[c][x[2]] for x in out]) for c in (0, 1))
+        yield pa.Table.from_pydict({"rank": late, "witness": early}).group_by(["rank", "witness"]).aggregate([]).combine_chunks().to_batches()[0] if len(late) else pa.RecordBatch.from_pydict({"rank": pa.array([], pa.int64()), "witness": pa.array([], pa.int64())})
+        key, place, head, whole = keys[-1], places[-1], heads[-1], wholes[-1]
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +216,13 @@ def dropped_lines(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataF
     seat = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash", "line")
     firsts = rows.groupBy("h1", "h2").agg(F.min(seat).alias("seat"))
     candidates = _candidates(documents, staged(_shared_halves(documents, least_chars), "halves"), least_chars)
-    candidates = staged(candidates.join(firsts, ["h1", "h2"]).select("h1", "h2", "text", "seat"), "candidates")
-    seat_type = dict(firsts.dtypes)["seat"]
-    variants = candidates.select("text", "seat", "h1", "h2").mapInArrow(_variants, f"key long, kind byte, seat {seat_type}, h1 long, h2 long")
-    pairs = variants.repartition("key").sortWithinPartitions("key", "seat").mapInArrow(_witnesses, "h1 long, h2 long, w1 long, w2 long").distinct()
-    pairs = pairs.join(candidates.select("h1", "h2", F.col("text").alias("a")), ["h1", "h2"])
-    pairs = pairs.join(candidates.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("text").alias("b")), ["w1", "w2"])
+    # Sorted by seat over all partitions, so the ranks of rows ascend with their seats.
+    ranked = candidates.join(firsts, ["h1", "h2"]).orderBy("seat").select("h1", "h2", "text", F.monotonically_increasing_id().alias("rank"))
+    ranked = staged(ranked, "candidates")
+    variants = ranked.select("text", "rank").mapInArrow(_variants, "key long, place int, rank long")
+    pairs = variants.repartition("key").sortWithinPartitions("key", "place", "rank").mapInArrow(_witnesses, "rank long, witness long").distinct()
+    pairs = pairs.join(ranked.select("rank", "h1", "h2", F.col("text").alias("a")), "rank")
+    pairs = pairs.join(ranked.select(F.col("rank").alias("witness"), F.col("text").alias("b")), "witness")
     near = pairs.select("h1", "h2", "a", "b").mapInArrow(_verified, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
     judged = rows.join(firsts.withColumnRenamed("seat", "kept"), ["h1", "h2"]).join(near, ["h1", "h2"], "left")
     gone = judged.where(F.col("near") | (F.col("kept") != seat))
