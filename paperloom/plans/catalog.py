@@ -14,7 +14,7 @@ from paperloom.functions.replies import MATERIAL_REPLY, METHOD_REPLY, ReplyForma
 from paperloom.functions.text import language_model_label, to_int
 from paperloom.operators import counting, curve, lexicon, prompts, scoring, trends
 from paperloom.plans import report_text, reports
-from paperloom.plans.sample_tables import SampleTables, papers_from_documents
+from paperloom.plans.sample_tables import SampleTables, papers_from_documents, worded_documents
 from paperloom.session import scratch_dir
 from paperloom.sources import papers as scans
 from paperloom.sources import sinks
@@ -316,6 +316,40 @@ def lexicon_tags(t: SampleTables) -> DataFrame:
     return _list_texts(tagged.select("paper_id", "labels", "primary_label", "confidence"), "labels")
 
 
+def topic_filter_default(t: SampleTables) -> DataFrame:
+    """The real term groups and the category exclusion."""
+    return topic.topic_filter(worded_documents(t.documents)).select("paper_id", "article_title")
+
+
+def material_words(t: SampleTables) -> DataFrame:
+    """The real word lists of materials."""
+    tagged = lexicon.classify_materials_by_words(worded_documents(t.documents))
+    columns = ["paper_id", "material_categories", MATERIAL, "material_confidence"]
+    return _list_texts(tagged.select(columns), "material_categories")
+
+
+def method_words(t: SampleTables) -> DataFrame:
+    """The real word lists of methods, with models and tags."""
+    tagged = lexicon.classify_methods_by_words(worded_documents(t.documents))
+    columns = ["paper_id", METHOD, "model_specific_models", "model_secondary_tags", "model_confidence"]
+    return _list_texts(tagged.select(columns), "model_specific_models", "model_secondary_tags")
+
+
+def _sample_method_answer(prompt: str) -> tuple[str, int]:
+    category = "Large Language Models (LLMs)" if "GPT" in prompt or "BERT" in prompt else "Rule-Based & Hybrid"
+    record = {"primary_category": category, "specific_models": ["GPT-4"] if "GPT" in prompt else [], "secondary_tags": [], "confidence": "medium"}
+    return json.dumps(record), 1
+
+
+def classify_methods(t: SampleTables) -> DataFrame:
+    """The method task from prompts to columns."""
+    done = scoring.classify(
+        worded_documents(t.documents), scoring.per_paper(_sample_method_answer), scoring.METHOD, scratch_dir(t.spark, "scores")
+    )
+    columns = ["paper_id", METHOD, "model_specific_models", "model_confidence"]
+    return _list_texts(done.select(columns), "model_specific_models")
+
+
 def render_prompt(t: SampleTables) -> DataFrame:
     return prompts.render_prompts(t.documents, "Answer with one digit.")
 
@@ -400,7 +434,7 @@ QUERIES: dict[str, Callable[[SampleTables], DataFrame]] = {
         llm_share_by_year, llm_flags, trend_curve,
         summary_report, material_report, method_report, material_report_text,
         parse_replies, parse_method_replies, parse_chat_turns, binary_decision, llm_share_from_replies,
-        scatter_results, resume_pending, resume_merge, topic_filter, lexicon_tags, render_prompt,
+        scatter_results, resume_pending, resume_merge, topic_filter, topic_filter_default, lexicon_tags, material_words, method_words, classify_methods, render_prompt,
         score_batch, scoring_usage, classify_batch, resumable_scoring, incremental_scoring,
     )
 }

@@ -459,6 +459,35 @@ SQL: dict[str, str] = {
           CASE WHEN len(labels) = 0 THEN 'low' WHEN in_title THEN 'high' ELSE 'medium' END AS confidence
         FROM lists"""
     ),
+    "topic_filter_default": _docs(
+        """SELECT paper_id, CASE paper_id % 8 WHEN 3 THEN 'Rule-based text mining of materials science literature with machine learning'
+            ELSE 'Collecting material data of thermoelectric Bi2Te3 with large language models' END AS article_title
+        FROM docs WHERE paper_id % 8 IN (3, 4) AND paper_id % 3 <> 0"""
+    ),
+    "material_words": _docs(
+        """SELECT paper_id,
+          ['["Nanoparticles","Photocatalytic Materials"]', '["2D Materials"]', '["MOFs (Metal-Organic Frameworks)"]', '["Other Materials"]',
+           '["Thermoelectric Materials"]', '["Biomaterials"]', '["Other Materials"]', '["Other Materials"]'][paper_id % 8 + 1] AS material_categories,
+          ['Nanoparticles', '2D Materials', 'MOFs (Metal-Organic Frameworks)', 'Other Materials',
+           'Thermoelectric Materials', 'Biomaterials', 'Other Materials', 'Other Materials'][paper_id % 8 + 1] AS primary_material_category,
+          CASE WHEN paper_id % 8 IN (3, 6, 7) THEN 'low' ELSE 'high' END AS material_confidence
+        FROM docs"""
+    ),
+    "method_words": _docs(
+        """SELECT paper_id,
+          CASE WHEN paper_id % 8 IN (1, 2) THEN 'Large Language Models (LLMs)' WHEN paper_id % 8 = 3 THEN 'Rule-Based & Hybrid'
+               ELSE 'Other/Unspecified' END AS model_primary_category,
+          CASE paper_id % 8 WHEN 1 THEN '["GPT-4"]' WHEN 2 THEN '["MatBERT","BiLSTM"]' ELSE '[]' END AS model_specific_models,
+          CASE paper_id % 8 WHEN 2 THEN '["fine-tuned","pipeline"]' ELSE '[]' END AS model_secondary_tags,
+          CASE WHEN paper_id % 8 IN (1, 2, 3) THEN 'high' ELSE 'low' END AS model_confidence
+        FROM docs"""
+    ),
+    "classify_methods": _docs(
+        """SELECT paper_id,
+          CASE WHEN paper_id % 8 IN (1, 2) THEN 'Large Language Models (LLMs)' ELSE 'Rule-Based & Hybrid' END AS model_primary_category,
+          CASE paper_id % 8 WHEN 1 THEN '["GPT-4"]' ELSE '[]' END AS model_specific_models, 'medium' AS model_confidence
+        FROM docs"""
+    ),
     "render_prompt": _docs(
         "SELECT paper_id, prompt || chr(10) || chr(10) || 'Answer with one digit.' AS prompt FROM prompts"
     ),

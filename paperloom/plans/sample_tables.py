@@ -125,6 +125,30 @@ def method_replies(papers: DataFrame) -> DataFrame:
     return _replies(known, body, F.concat(first, F.lit("}")), null_list, F.col("model_specific_models"))
 
 
+# Titles with words of the real lists; document ``i`` carries title ``i % 8``.
+WORDED_TITLES = [
+    "Nanoparticle photocatalysts and a quantum dot",
+    "Automated extraction of graphene and MoS2 synthesis with GPT-4",
+    "A fine-tuned MatBERT and BiLSTM pipeline for MOFs",
+    "Rule-based text mining of materials science literature with machine learning",
+    "Collecting material data of thermoelectric Bi2Te3 with large language models",
+    "Biocompatible scaffolds, no courses",
+    "Extracting materials data from papers by natural language processing in medicine",
+    "Nothing of the kind",
+]
+WORDED_CATEGORIES = ["Materials Science; Health Care Sciences & Services", "Materials Science", None]
+
+
+def worded_documents(documents: DataFrame) -> DataFrame:
+    """Documents as papers whose title holds indicator and search words, with an export category."""
+
+    def pick(values: list, shift: int = 0) -> Column:
+        listed = F.array(*[F.lit(v).cast("string") for v in values])
+        return F.element_at(listed, ((F.col("paper_id") + shift) % len(values) + 1).cast("int"))
+
+    return documents.select("paper_id", pick(WORDED_TITLES).alias("article_title"), pick(WORDED_CATEGORIES).alias("wos_category"))
+
+
 class SampleTables:
     """The derived tables of one data folder. ``papers`` may be replaced by a stored copy."""
 
