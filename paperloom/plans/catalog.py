@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text, topic
@@ -245,7 +245,16 @@ def method_report(t: SampleTables) -> DataFrame:
 
 
 def material_report_text(t: SampleTables) -> DataFrame:
-    return report_text.material_lines(reports.material_report(t.papers)).select("line")
+    return _numbered(report_text.material_lines(reports.material_report(t.papers)))
+
+
+def method_report_text(t: SampleTables) -> DataFrame:
+    return _numbered(report_text.method_lines(reports.method_report(t.papers)))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their number; a report is short whatever the table."""
+    return lines.select(F.row_number().over(Window.orderBy("position")).cast("bigint").alias("line_no"), "line")
 
 
 # --- replies and scoring ---------------------------------------------------------------------
@@ -432,7 +441,7 @@ QUERIES: dict[str, Callable[[SampleTables], DataFrame]] = {
         others_collapse, top_journals, top_materials, method_material_crosstab, llm_total,
         basic_stats, yearly_counts, yearly_growth, journal_growth, recent_share, recent_years, llm_by_year,
         llm_share_by_year, llm_flags, trend_curve,
-        summary_report, material_report, method_report, material_report_text,
+        summary_report, material_report, method_report, material_report_text, method_report_text,
         parse_replies, parse_method_replies, parse_chat_turns, binary_decision, llm_share_from_replies,
         scatter_results, resume_pending, resume_merge, topic_filter, topic_filter_default, lexicon_tags, material_words, method_words, classify_methods, render_prompt,
         score_batch, scoring_usage, classify_batch, resumable_scoring, incremental_scoring,

@@ -163,6 +163,20 @@ report AS (
     FROM papers WHERE material IS NOT NULL AND len(materials) > 1 GROUP BY materials HAVING count(*) >= 3
 )"""
 
+_METHOD_TABLE = """
+WITH t AS (SELECT count(*) AS c, count(method) AS k FROM papers),
+        m AS (SELECT unnest(models) AS item FROM papers WHERE method IS NOT NULL),
+        g AS (SELECT unnest(tags) AS item FROM papers WHERE method IS NOT NULL)
+        SELECT 'papers' AS section, '' AS item, c AS n, NULL::DOUBLE AS pct FROM t
+        UNION ALL SELECT 'classified', '', k, k / c * 100 FROM t
+        UNION ALL SELECT 'primary', method, count(*), count(*) / any_value(k) * 100 FROM papers, t
+                  WHERE method IS NOT NULL GROUP BY method
+        UNION ALL SELECT 'confidence', method_confidence, count(*), count(*) / any_value(k) * 100 FROM papers, t
+                  WHERE method IS NOT NULL GROUP BY method_confidence
+        UNION ALL SELECT 'model', item, n, NULL FROM (SELECT item, count(*) AS n FROM m GROUP BY item
+                  ORDER BY n DESC, item LIMIT 20) WHERE n >= 3
+        UNION ALL SELECT 'tag', item, count(*), count(*) / any_value(k) * 100 FROM g, t GROUP BY item"""
+
 _HITS = r"""
 tokens AS (
   SELECT *, regexp_extract_all(body, '[\p{L}\p{N}_]+') AS words FROM searchable
@@ -386,22 +400,13 @@ SQL: dict[str, str] = {
     ),
     "material_report": _papers(f", {_MATERIAL_TABLE} SELECT * FROM report"),
     "method_report": _papers(
-        """, t AS (SELECT count(*) AS c, count(method) AS k FROM papers),
-        m AS (SELECT unnest(models) AS item FROM papers WHERE method IS NOT NULL),
-        g AS (SELECT unnest(tags) AS item FROM papers WHERE method IS NOT NULL)
-        SELECT 'papers' AS section, '' AS item, c AS n, NULL::DOUBLE AS pct FROM t
-        UNION ALL SELECT 'classified', '', k, k / c * 100 FROM t
-        UNION ALL SELECT 'primary', method, count(*), count(*) / any_value(k) * 100 FROM papers, t
-                  WHERE method IS NOT NULL GROUP BY method
-        UNION ALL SELECT 'confidence', method_confidence, count(*), count(*) / any_value(k) * 100 FROM papers, t
-                  WHERE method IS NOT NULL GROUP BY method_confidence
-        UNION ALL SELECT 'model', item, n, NULL FROM (SELECT item, count(*) AS n FROM m GROUP BY item
-                  ORDER BY n DESC, item LIMIT 20) WHERE n >= 3
-        UNION ALL SELECT 'tag', item, count(*), count(*) / any_value(k) * 100 FROM g, t GROUP BY item"""
+        f" SELECT * FROM ({_METHOD_TABLE})"
     ),
     "material_report_text": _papers(
         f""", {_MATERIAL_TABLE}
-        SELECT CASE section
+        , lines AS (SELECT CASE section WHEN 'primary' THEN 2 WHEN 'mention' THEN 3 WHEN 'confidence' THEN 4 WHEN 'n_labels' THEN 5
+            WHEN 'combination' THEN 6 ELSE 1 END AS number, CASE section WHEN 'n_labels' THEN CAST(item AS DOUBLE) ELSE -n END AS rank, item,
+          CASE section
           WHEN 'papers' THEN printf('Total papers in dataset: %d', n)
           WHEN 'classified' THEN printf('Papers with material classification: %d', n) || chr(10) || printf('Classification rate: %.1f%%', pct)
           WHEN 'primary' THEN printf('%-35s %4d (%5.1f%%) ', item, n, pct) || repeat('█', CAST(floor(pct / 2) AS INTEGER))
@@ -412,9 +417,25 @@ SQL: dict[str, str] = {
                               || printf(': %4d papers (%5.1f%%)', n, pct)
           ELSE printf('%-60s %4d', item, n) END AS line
         FROM report
-        UNION ALL SELECT unnest(['MATERIAL CLASSIFICATION ANALYSIS REPORT', 'PRIMARY MATERIAL CATEGORY DISTRIBUTION',
-          'ALL MATERIAL CATEGORIES (papers can have multiple)', 'CONFIDENCE DISTRIBUTION', 'MULTI-CATEGORY ANALYSIS',
-          'COMMON CATEGORY COMBINATIONS (appearing 3+ times)'])"""
+        UNION ALL SELECT i, '-infinity'::DOUBLE, '', ['MATERIAL CLASSIFICATION ANALYSIS REPORT', 'PRIMARY MATERIAL CATEGORY DISTRIBUTION',
+          'ALL MATERIAL CATEGORIES (papers can have multiple)', 'CONFIDENCE DISTRIBUTION',
+          'MULTI-CATEGORY ANALYSIS' || chr(10) || 'Number of material categories per paper:',
+          'COMMON CATEGORY COMBINATIONS (appearing 3+ times)'][i] FROM range(1, 7) r(i))
+        SELECT row_number() OVER (ORDER BY number, rank, item) AS line_no, line FROM lines"""
+    ),
+    "method_report_text": _papers(
+        f""", report AS ({_METHOD_TABLE}), lines AS (
+          SELECT CASE section WHEN 'primary' THEN 2 WHEN 'confidence' THEN 3 WHEN 'model' THEN 4 WHEN 'tag' THEN 5 ELSE 1 END AS number,
+            -n::DOUBLE AS rank, item,
+            CASE section
+            WHEN 'papers' THEN printf('Total papers analyzed: %d', n)
+            WHEN 'classified' THEN printf('Papers with model classification: %d', n) || chr(10) || printf('Classification rate: %.1f%%', pct)
+            WHEN 'model' THEN rpad(item, 50, '.') || printf(' %4d', n)
+            ELSE rpad(item, 50, '.') || printf(' %4d (%5.1f%%)', n, pct) END AS line
+          FROM report
+          UNION ALL SELECT i, '-infinity'::DOUBLE, '', ['MODEL CLASSIFICATION ANALYSIS', 'PRIMARY CATEGORY DISTRIBUTION',
+            'CONFIDENCE DISTRIBUTION', 'TOP SPECIFIC MODELS (mentioned at least 3 times)', 'SECONDARY TAG DISTRIBUTION'][i] FROM range(1, 6) r(i))
+        SELECT row_number() OVER (ORDER BY number, rank, item) AS line_no, line FROM lines"""
     ),
     "parse_replies": f"WITH {_MATERIAL_REPLIES}{_SHAPES} SELECT paper_id, {_MATERIAL_RECORD} FROM parsed",
     "parse_method_replies": f"WITH {_METHOD_REPLIES}{_SHAPES} SELECT paper_id, {_METHOD_RECORD} FROM parsed",
