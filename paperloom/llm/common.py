@@ -48,8 +48,20 @@ def tokenizer_definition(path: str | None = None) -> bytes:
         return file.read()
 
 
+BATCH_BYTES = 8 << 20
+
+
 def with_package(spark: SparkSession) -> SparkSession:
+    """The session, with this package on its workers and Arrow batches of texts of at most BATCH_BYTES.
+
+    Batches count rows by default, up to 64 MB each, on both sides of every task; a smaller limit that the
+    session has already stays.
+    """
     ship_package(spark)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(limit, None)
+    if now is None or now in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(limit, str(BATCH_BYTES))
     return spark
 
 

@@ -48,7 +48,7 @@ WORD_STEPS = (
 )
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-MOST_KEPT = 400_000
+MOST_KEPT = 300_000
 
 _encoders: dict[bytes, Encoder] = {}
 

@@ -206,13 +206,12 @@ def with_score(documents: DataFrame, model: Model | None, name: str = "score") -
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rate(batch.column(batch.num_columns - 1), model))], names=[*names, name])
+            scores = rate(batch.column(names.index("text")).cast(pa.string()), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, name])
 
-    (text,) = fresh(documents, "scored_text")
     names = documents.columns
-    rows = documents.withColumn(text, F.col("text").cast("string"))
-    schema = documents.withColumn(name, F.lit(0.0)).schema
-    return rows.mapInArrow(of_batches, schema)
+    with_package(documents.sparkSession)
+    return documents.mapInArrow(of_batches, documents.withColumn(name, F.lit(0.0)).schema)
 
 
 def scored(documents: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
