@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,7 +223,9 @@ def dropped_lines(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataF
     pairs = pairs.join(ranked.select("rank", "h1", "h2", F.col("text").alias("a")), "rank")
     pairs = pairs.join(ranked.select(F.col("rank").alias("witness"), F.col("text").alias("b")), "witness")
     near = pairs.select("h1", "h2", "a", "b").mapInArrow(_verified, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
-    judged = rows.join(firsts.withColumnRenamed("seat", "kept"), ["h1", "h2"]).join(near, ["h1", "h2"], "left")
+    # One step between grouping and join, so that Spark can split the join for a very frequent line.
+    marks = firsts.withColumnRenamed("seat", "kept").join(near, ["h1", "h2"], "left").hint("rebalance")
+    judged = rows.join(marks, ["h1", "h2"])
     gone = judged.where(F.col("near") | (F.col("kept") != seat))
     lost = gone.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # of one document
     return lost

@@ -70,4 +70,5 @@ def dealt(documents: DataFrame, starts: np.ndarray, with_next: bool = False, pac
     with_package(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("string"))
     spread = rows.mapInArrow(of_batches, "range int, late boolean, doc_id long, row_hash long, packed binary")
-    return spread.repartition(max(1, len(starts)), "range").sortWithinPartitions("range", "late", "doc_id", "row_hash")
+    placed = spread.repartitionById(max(1, len(starts)), F.col("range"))  # one range in each partition
+    return placed.sortWithinPartitions("range", "late", "doc_id", "row_hash")
