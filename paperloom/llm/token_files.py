@@ -8,7 +8,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +48,23 @@ WORD_STEPS = (
 )
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-MOST_KEPT = 300_000
+MOST_KEPT = 400_000
 
 _encoders: dict[bytes, Encoder] = {}
 
 
+class _Kept(dict):
+    """Values that are made when they are first asked for."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
 class Encoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library.
 
@@ -73,20 +85,17 @@ class Encoder:
         self.special = [t["content"] for t in steps["added_tokens"]]
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = _Kept(self._word)
+        self.pieces: dict[str, bytes] = _Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))]
-            self.pieces[piece] = found = array("H" if self.kind == "<u2" else "I", ids).tobytes()
-        return found
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))]
+        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self._piece, PIECES.findall(text.lower())))
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, texts: list[str | None], end: int = END) -> list[bytes]:
@@ -96,8 +105,6 @@ class Encoder:
             return [np.array(e.ids, self.kind).tobytes() + last for e in found]
         for text in texts:
             words = (text or "").encode("utf-8", "replace").split()
-            for w in set(words).difference(self.words):
-                self.words[w] = self._word(w)
             out.append(b"".join(map(self.words.__getitem__, words)) + last)
             if len(self.words) > MOST_KEPT:
                 self.words.clear()
