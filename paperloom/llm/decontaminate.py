@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: gapped word triples as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,14 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bitmap, flat, fresh, gram_hashes, in_bitmap, signed, slices, staged, with_package, word_hashes, words
+from paperloom.llm.common import bitmap, flat, fresh, in_bitmap, mix, signed, slices, staged, with_package, word_hashes, words
 
-GRAM = 3  # words of a seed
-RARE = 3  # of so many consecutive seeds of a test item, the rarest is looked up
+SHAPES = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4))  # of a seed: where its second and third word stand after the first
 SEGMENT = 64  # words of a test item that are aligned at once; longer items are cut into such parts
-PASSAGE, STRIDE = 256, 96  # words of a training passage, and from one passage to the next
-REACH = (PASSAGE - STRIDE) // 2  # words around a seed that its passage holds
-FILTER_BITS = 24  # of the bitmap that goes to all tasks, 2 MB
+PASSAGE, STRIDE = 256, 128  # words of a training passage, and from one passage to the next: any 128 words lie in one
+FILTER_BITS = 24  # of the bitmap that goes to all tasks, 2 MB; a seed sets two
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 LEAST_WORDS = 8
@@ -52,89 +50,97 @@ def _parts(benchmark: DataFrame, least_words: int) -> DataFrame:
     return items.mapInArrow(of_batches, f"item_id {dict(items.dtypes)['item_id']}, tokens binary").distinct()
 
 
-def _seeds(parts: DataFrame) -> DataFrame:
-    """``part, position, seed`` for all n-grams of the parts."""
-
-    def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, tokens = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            grams = [gram_hashes(np.frombuffer(t, "<u4").astype(np.uint64), GRAM) for t in tokens]
-            sizes = np.array([len(g) for g in grams], np.int64)
-            seeds = np.concatenate([*grams, np.zeros(0, np.uint64)])
-            positions = np.concatenate([*(np.arange(n) for n in sizes), np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(keys, sizes)), pa.array(positions), pa.array(signed(seeds))], names=["part", "position", "seed"]
-            )
+def _least_places(words, least_score: float):
+    """At how many words of a document a seed of an item (a number or a column of its words) begins at least, before rounding.
 
-    return parts.select("part", "tokens").mapInArrow(of_batches, "part long, position long, seed long")
+    Let an alignment have m matches and e edits, 2 m - e >= 2 L n for n words and a least score L. Between
+    consecutive matches lie m - 1 gaps with e edits in all. Two gaps in a row with at most two edits are a seed,
+    whatever its shapes here and there. Other neighbours hold three edits or more, so they are at most 2 e / 3
+    of the m - 2, which leaves m - 2 - (4 m - 4 L n) / 3 seeds or more; m is at most n.
+    """
+    return (words * (4 * least_score - 1) - 6) / 3
 
 
-def _hits(hashes: np.ndarray, first: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words at which a seed may begin, the seeds, and the texts they lie in."""
-    grams = gram_hashes(hashes & np.uint64(0xFFFFFFFF), GRAM)
-    maybe = np.flatnonzero(in_bitmap(bits, grams))
-    text = np.searchsorted(first, maybe, "right") - 1
-    inside = maybe + GRAM <= first[text + 1] if len(maybe) else np.zeros(0, bool)
-    return maybe[inside], grams[maybe[inside]], text[inside]
+def _triples(hashes: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Hashes of the triples of one shape that begin at each word of a sequence."""
+    second, third = shape
+    n = max(0, len(hashes) - third)
+    with np.errstate(over="ignore"):
+        two = mix(hashes[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[second : second + n])
+        return mix(two * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[third : third + n])
 
 
-def _counts(documents: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``seed, n``: how often each seed occurs in all documents."""
-    sent = bitmap(seeds, "seed", FILTER_BITS)
+def _seeds(parts: DataFrame) -> DataFrame:
+    """``part, seed``: all triples of the parts, of all shapes."""
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
-            found = [_hits(hashes, first, bits)[1] for _, hashes, first in _tokens(batch.column(0))]
-            seeds, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), pa.array(n.astype(np.int64))], names=["seed", "n"])
-
-    counted = documents.select(F.col("text").cast("string")).mapInArrow(of_batches, "seed long, n long")
-    return counted.groupBy("seed").agg(F.sum("n").alias("n"))
-
+            keys, tokens = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            words = [np.frombuffer(t, "<u4").astype(np.uint64) for t in tokens]
+            seeds = [np.unique(np.concatenate([_triples(w, shape) for shape in SHAPES])) for w in words]
+            sizes = np.array([len(x) for x in seeds], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)), pa.array(signed(np.concatenate([*seeds, np.zeros(0, np.uint64)])))], names=["part", "seed"])
 
-def _rare(seeds: DataFrame, counts: DataFrame) -> DataFrame:
-    """``part, seed``: of any RARE consecutive seeds of a part, the one that is rarest in the corpus."""
-    order = Window.partitionBy("part").orderBy("position")
-    ranked = seeds.join(counts, "seed", "left").withColumn("rank", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "position"))
-    for k in range(RARE):  # the windows that begin k seeds before this one; one that is cut off by an end counts too
-        ranked = ranked.withColumn(f"least_{k}", F.min("rank").over(order.rowsBetween(-k, RARE - 1 - k)))
-    chosen = F.lit(False)
-    for k in range(RARE):
-        chosen = chosen | (F.col(f"least_{k}") == F.col("rank"))
-    return ranked.where(chosen).select("part", "seed").distinct()
+    return parts.select("part", "tokens").mapInArrow(of_batches, "part long, seed long").distinct()
 
 
-def _passages(documents: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``doc_id, word, tokens, seeds``: the passages of documents that hold a seed."""
-    sent = bitmap(seeds, "seed", FILTER_BITS)
+def _hits(hashes: np.ndarray, first: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words at which a seed may begin, the seeds, and the texts they lie in."""
+    hashes, places, found, texts = hashes & np.uint64(0xFFFFFFFF), [], [], []
+    for shape in SHAPES:
+        triples = _triples(hashes, shape)
+        maybe = np.flatnonzero(in_bitmap(bits, triples))
+        maybe = maybe[in_bitmap(bits, triples[maybe] >> np.uint64(32))]
+        text = np.searchsorted(first, maybe, "right") - 1
+        inside = maybe + shape[1] < first[text + 1] if len(maybe) else np.zeros(0, bool)
+        places.append(maybe[inside])
+        found.append(triples[maybe[inside]])
+        texts.append(text[inside])
+    return np.concatenate(places), np.concatenate(found), np.concatenate(texts)
+
+
+def _passages(documents: DataFrame, seeds: DataFrame, least: float) -> DataFrame:
+    """``doc_id, word, tokens, seeds, places``: the passages of documents in which seeds begin at ``least`` words or more."""
+    sent = bitmap(seeds.select("seed").union(seeds.select(F.shiftrightunsigned("seed", 32))), "seed", FILTER_BITS)
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            rows, at, tokens, found = [], [], [], []
+            rows, at, tokens, found, where = [], [], [], [], []
             for low, hashes, first in _tokens(batch.column(1)):
                 places, grams, text = _hits(hashes, first, bits)
                 if not len(places):
                     continue
-                passage = np.maximum(0, places - first[text] - REACH) // STRIDE
+                passage = (places - first[text]) // STRIDE
+                # A word lies in the passage that begins before it and, but at the text's beginning, in the one before.
+                twice = np.concatenate([np.arange(len(places)), np.flatnonzero(passage > 0)])
+                passage = np.concatenate([passage, passage[passage > 0] - 1])
+                order = np.lexsort((places[twice], passage, text[twice]))
+                places, grams, text, passage = places[twice][order], grams[twice][order], text[twice][order], passage[order]
                 cuts = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(passage) != 0))))
-                for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True):
+                fresh_place = np.concatenate(([True], np.diff(places) != 0))
+                fresh_place[cuts] = True
+                enough = np.add.reduceat(fresh_place.astype(np.int64), cuts) >= least
+                for a, b in zip(cuts[enough], np.append(cuts[1:], len(places))[enough], strict=True):
                     word = int(passage[a]) * STRIDE
                     begin = int(first[text[a]]) + word
                     end = min(begin + PASSAGE, int(first[text[a] + 1]))
                     rows.append(low + int(text[a]))
                     at.append(word)
                     tokens.append(hashes[begin:end].astype("<u4").tobytes())
-                    found.append(signed(np.unique(grams[a:b])))
+                    found.append(signed(grams[a:b]))
+                    where.append((places[a:b] - begin).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), pa.array(tokens, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "word", "tokens", "seeds"],
+                [
+                    batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), pa.array(tokens, pa.binary()),
+                    pa.array(found, pa.list_(pa.int64())), pa.array(where, pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "word", "tokens", "seeds", "places"],
             )
 
     rows = documents.select("doc_id", F.col("text").cast("string"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(of_batches, f"doc_id {kind}, word long, tokens binary, seeds array<long>")
+    return rows.mapInArrow(of_batches, f"doc_id {kind}, word long, tokens binary, seeds array<long>, places array<int>")
 
 
 def align(items: list[bytes], passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,26 +174,30 @@ def align(items: list[bytes], passages: list[bytes]) -> tuple[np.ndarray, np.nda
 def leaks(documents: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, item_id, score, word``: which documents hold which test items, wholly or edited.
 
-    Words are compared in lower case without ASCII punctuation. Of every RARE consecutive n-grams of an item
-    the rarest in the corpus is a seed, so a run of five unchanged words is always found, however common its
-    words are or how often the item has leaked. Documents are read in overlapping passages; those with a seed
-    are aligned with the items of that seed. ``score`` is the alignment's score over that of an exact copy
-    (items of more than SEGMENT words: the best of their parts), at least ``least_score``; ``word`` is where
-    in the document it ends.
+    Words are compared in lower case without ASCII punctuation. Every three words of an item that stand within
+    two edits of each other are a seed, and a document that reaches a score of 0.5 has some of them, however it
+    was edited and however common its words are; see ``_least_places``. Documents are read in overlapping
+    passages; those with enough seeds of an item are aligned with it. From a ``least_score`` of 0.5 and 7 words
+    on, the result is that of an alignment of all documents with all items. ``score`` is the alignment's score
+    over that of an exact copy (items of more than SEGMENT words: the best of their parts), at least
+    ``least_score``; ``word`` is where in the document it ends.
 
     Items with fewer than ``least_words`` words are no evidence of a leak and are left out. Null and empty
     texts hold nothing. Rows with the same doc_id, or the same item_id, count as one document or item; nulls
-    are an id of their own. Empty tables give no rows; other columns are ignored. The seeds are counted over
-    all documents; only a bitmap of fixed size goes to all tasks.
+    are an id of their own. Empty tables give no rows; other columns are ignored. Only a bitmap of fixed size
+    and one number go to all tasks.
     """
     with_package(documents.sparkSession)
     parts = staged(_parts(benchmark, least_words).withColumn("part", F.xxhash64("item_id", "tokens")), "parts")
-    seeds = _seeds(parts)
-    rare = staged(_rare(seeds, _counts(documents, seeds)), "seeds")
-    passages = staged(_passages(documents, rare).withColumn("passage", F.monotonically_increasing_id()), "passages")
-    pairs = passages.select("passage", F.explode("seeds").alias("seed")).join(rare, "seed").select("passage", "part").distinct()
+    seeds = staged(_seeds(parts), "seeds")
+    n = F.octet_length("tokens") / 4
+    shortest = parts.agg(F.min(n)).first()[0] or 0
+    passages = staged(_passages(documents, seeds, _least_places(shortest, least_score) - 1e-9).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    met = passages.select("passage", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("place")))).join(seeds, "seed")
+    met = met.groupBy("passage", "part").agg(F.count_distinct("place").alias("places"))
+    items = parts.select("part", "item_id", F.col("tokens").alias("item"), (_least_places(n, least_score) - 1e-9).alias("least"))
+    pairs = met.join(items, "part").where("places >= least").drop("places", "least")
     pairs = pairs.join(passages.select("passage", "doc_id", "word", "tokens"), "passage")
-    pairs = pairs.join(parts.select("part", "item_id", F.col("tokens").alias("item")), "part")
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -66,6 +66,36 @@ def test_leaks_equal_alignment_of_all_with_all(spark):
     assert clean == {k for k, _ in docs} - {k for k, _ in expected}
 
 
+def test_heavily_edited_items_equal_alignment_of_all_with_all(spark):
+    draw = random.Random(5)
+    fresh = (f"new{k}" for k in range(10**6))
+    items = [[f"i{k}x{j}" if j % 4 else draw.choice(["the", "of", "and"]) for j in range(n)] for k, n in enumerate([15, 15, 20, 20, 30, 64, 8])]
+    texts = []
+
+    def planted(words):
+        filler = [next(fresh) for _ in range(draw.randrange(0, 300))]
+        at = draw.randrange(len(filler) + 1)
+        texts.append(" ".join([*filler[:at], *words, *filler[at:]]))
+
+    for item in items:
+        planted([next(fresh) if j % 5 == 2 else w for j, w in enumerate(item)])  # runs of four unchanged words
+        planted([next(fresh) if j % 3 == 2 else w for j, w in enumerate(item)])  # runs of two
+        planted([w for j, x in enumerate(item) for w in ([x, next(fresh)] if j % 2 else [x])])  # a word put in after every two
+        planted([w for x in item for w in (x, next(fresh))])  # after every word
+        planted([w for j, w in enumerate(item) if j % 4 != 2])
+        planted(item)
+        for share in (0.2, 0.25, 0.3) * 8:
+            planted([next(fresh) if draw.random() < share else w for w in item])
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): round(r.score, 9) for r in d.leaks(documents, benchmark).collect()}
+    own = [tokens(" ".join(i)).tobytes() for i in items]
+    score, _ = d.align([i for _ in texts for i in own], [t for x in texts for t in [tokens(x).tobytes()] for _ in own])
+    pairs = [(k, n) for k in range(len(texts)) for n in range(len(own))]
+    expected = {p: round(float(s), 9) for p, s in zip(pairs, score, strict=True) if s >= d.LEAST_SCORE}
+    assert found == expected and len(found) > 100
+
+
 def test_edge_cases(spark):
     docs = edge_cases.documents(spark)
     items = spark.createDataFrame([(1, "the same id TWICE one text of more"), (None, None), (2, ""), (None, "A text without an id it is read all the same"), (3, "word " * 100)], "item_id long, text string")
