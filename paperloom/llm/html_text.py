@@ -19,7 +19,9 @@ MOST_PAGES = 2000  # labelled pages that the weights are taken from, at most
 NEVER = -4.0  # elements with a weight from here down never stand in the main text
 
 # Kinds of HTML elements.
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|head|textarea|select|button|canvas|video|audio"
+RAW = "script|style|iframe|textarea"  # what follows is no markup up to the closing tag
+UNSEEN = frozenset("audio button canvas head noscript object select svg template title video".split())
+HEAD_PARTS = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -34,7 +36,7 @@ HINTS = frozenset(
 CONTENT = frozenset("article main".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})(?=[\s/>])[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -52,6 +54,8 @@ class Item:
     linked: bool = False
     dropped: bool = False
     content: bool = False
+    unseen: bool = False  # in an element that shows no text, which gives no weights
+    formula: bool = False
 
 
 @dataclass
@@ -61,6 +65,8 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
     def of(self, item: Item) -> float:
+        if item.unseen or item.formula:
+            return 0.0
         if not item.tag:
             return 0.0 if item.dropped else item.words * (self.linked if item.linked else self.word)
         known = [self.tags[k] for k in item.keys if k in self.tags]
@@ -83,18 +89,29 @@ def items(page: str, weights: Weights | None = None) -> list[Item]:
     """The page as runs and tags. Unclosed elements end with their parent; p and li also with the next of their kind.
 
     ``dropped`` marks what stands in an element that is no main text by its kind, by its class, id or role, or
-    by the weights; ``content`` what stands in an article or main element.
+    by the weights; ``content`` what stands in an article or main element. A head ends before the first thing that
+    cannot stand in it; of the other UNSEEN elements those without a closing tag hold nothing.
     """
+    out, unclosed = _walk(page, weights, frozenset())
+    return _walk(page, weights, unclosed)[0] if unclosed else out
+
+
+def _walk(page: str, weights: Weights | None, empty: frozenset[int]) -> tuple[list[Item], frozenset[int]]:
+    """The items if the elements at the places ``empty`` hold nothing, and the places of UNSEEN elements that nothing closed."""
     out: list[Item] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name; whether in dropped, content, link
+    # Name; whether in dropped, content, link, unseen; where it began.
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = [("", False, False, False, False, -1)]
+    unclosed: set[int] = set()
     opened: Counter = Counter()
     place = 0
 
     def run(text: str) -> None:
         if text:
             text = html.unescape(text)
-            _, dropped, content, linked = stack[-1]
-            out.append(Item(text=text, words=len(text.split()), linked=linked, dropped=dropped, content=content))
+            if stack[-1][0] == "head" and text.strip():
+                close("head")
+            _, dropped, content, linked, unseen, _ = stack[-1]
+            out.append(Item(text=text, words=len(text.split()), linked=linked, dropped=dropped, content=content, unseen=unseen))
 
     def close(name: str, barrier: frozenset[str] = frozenset()) -> None:
         if not opened[name]:
@@ -106,6 +123,7 @@ def items(page: str, weights: Weights | None = None) -> list[Item]:
             k -= 1
         for closed in stack[k:]:
             opened[closed[0]] -= 1
+        unclosed.update(closed[5] for closed in stack[k + 1 :] if closed[0] in UNSEEN - {"head", "title"})
         del stack[k:]
 
     for m in _TOKEN.finditer(page):
@@ -117,20 +135,30 @@ def items(page: str, weights: Weights | None = None) -> list[Item]:
         closing = bool(m[2] or m[5])
         names = [n for a in _NAMES.finditer(m[4] or m[7] or "") for n in (a[1] or a[2] or a[3] or "").split()]
         keys = (name, *(f"{name}.{n.lower()}" for n in names))
+        alone = name in VOID or m.start() in empty
+        if (m[4] or m[7] or "").endswith("/") and (name in UNSEEN - {"head", "title"} or name == "math" or opened["svg"] or opened["math"]):
+            alone = True
+        if not closing and stack[-1][0] in ("head", "title") and (name == "body" or name not in HEAD_PARTS and name != "head"):
+            for ended in ("head", "title"):
+                if name == "body" or name in BLOCKS or stack[-1][0] == "head":
+                    close(ended)
+        formula = bool(opened["math"]) or name == "math"
         if closing:
             close(name)
         elif name == "p" or name in BLOCKS and stack and stack[-1][0] == "p":
             close("p", frozenset({"div", "article", "section", "td", "li", "blockquote"}))
         elif name == "li":
             close("li", frozenset({"ul", "ol", "menu"}))
-        _, dropped, inside, linked = stack[-1]
-        if not closing and name not in VOID:
+        _, dropped, inside, linked, unseen, _ = stack[-1]
+        if not closing and not alone:
             off = name in OUTSIDE or (name == "header" and not inside) or (name not in CONTENT | {"html", "body"} and _hinted(names, inside)) or bool(weights and weights.never(keys))
-            stack.append((name, dropped or off, inside or name in CONTENT, linked or name == "a"))
+            off = off or name in UNSEEN
+            stack.append((name, dropped or off, inside or name in CONTENT, linked or name == "a", unseen or name in UNSEEN, m.start()))
             opened[name] += 1
-        out.append(Item(tag=name, closing=closing, keys=keys, content=inside or stack[-1][2], dropped=stack[-1][1]))
+        out.append(Item(tag=name, closing=closing, keys=keys, content=inside or stack[-1][2], dropped=stack[-1][1], unseen=unseen or name in UNSEEN, formula=formula))
     run(page[place:])
-    return out
+    unclosed.update(left[5] for left in stack if left[0] in UNSEEN - {"head", "title"})
+    return out, frozenset(unclosed)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -167,6 +195,8 @@ def counted(page: str | None) -> Counter:
     if sum(i.tag in CONTENT and not i.closing for i in found) != 1:
         return out
     for i in found:
+        if i.unseen or i.formula:
+            continue
         if i.tag:
             for k in i.keys:
                 out[k, i.content] += 1

@@ -50,6 +50,24 @@ def test_odd_pages():
     assert time.perf_counter() - start < 20
 
 
+def test_elements_without_text_end_where_they_should():
+    w = h.Weights(word=5.0)
+    story = "<article><p>One two three.{}</p><p>Four five six.</p></article><p>Seven eight.</p>"
+    whole = "One two three.\n\nFour five six.\n\nSeven eight."
+    assert h.main_text("<html><head><title>T</title><body>" + story.format(""), w) == whole
+    assert h.main_text("<html><head><meta charset=utf-8><title>T</title>" + story.format(""), w) == whole
+    assert h.main_text("<head><title>T" + story.format(""), w) == whole
+    assert h.main_text("<head><title>T</title>Plain text.", w) == "Plain text."
+    for part in ('<svg width="1" />', "<svg/>", "<svg><title>no</title><path d=x /><g/></svg>", "<object data=x />", "<button>", "<object data=x>", "<video src=x>"):
+        assert h.main_text(story.format(part), w).startswith("One two three."), part
+        assert h.main_text(story.format(part), w).endswith("Four five six.\n\nSeven eight."), part
+        assert h.main_text("<article><p>One.</p>" + part + "<p>Two.</p></article>", w) == "One.\n\nTwo.", part
+    for part in ("<button>no</button>", "<select><option>no<option>no</select>", "<noscript>no</noscript>", "<script>no <p></script>", "<svg><text>no</text></svg>"):
+        assert h.main_text(story.format(part), w) == whole, part
+    formula = "<math><mrow><mi>x</mi><mo>=</mo>" + "<mspace/>" * 200 + "<mn>2</mn></mrow></math>"
+    assert h.main_text(f"<p>If {formula} then.</p>", h.Weights()) == "If x=2 then."
+
+
 def test_edge_cases(spark):
     rows = [*pages(spark, 5), (None, None, None), (7, "u", ""), (1, "u1", pages(spark, 5)[1][2]), (8, "u", "<p>" + "word " * 50_000)]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
