@@ -65,10 +65,10 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
     def of(self, item: Item) -> float:
-        if item.unseen or item.formula:
+        if item.dropped or item.unseen or item.formula:
             return 0.0
         if not item.tag:
-            return 0.0 if item.dropped else item.words * (self.linked if item.linked else self.word)
+            return item.words * (self.linked if item.linked else self.word)
         known = [self.tags[k] for k in item.keys if k in self.tags]
         return min(known) if known else -1.0
 
@@ -113,18 +113,21 @@ def _walk(page: str, weights: Weights | None, empty: frozenset[int]) -> tuple[li
             _, dropped, content, linked, unseen, _ = stack[-1]
             out.append(Item(text=text, words=len(text.split()), linked=linked, dropped=dropped, content=content, unseen=unseen))
 
-    def close(name: str, barrier: frozenset[str] = frozenset()) -> None:
+    def close(name: str, barrier: frozenset[str] = frozenset()) -> bool | None:
+        """Ends the innermost element of the name; whether it was dropped."""
         if not opened[name]:
-            return
+            return None
         k = len(stack) - 1
         while stack[k][0] != name:
             if stack[k][0] in barrier:
-                return
+                return None
             k -= 1
         for closed in stack[k:]:
             opened[closed[0]] -= 1
         unclosed.update(closed[5] for closed in stack[k + 1 :] if closed[0] in UNSEEN - {"head", "title"})
+        gone = stack[k][1]
         del stack[k:]
+        return gone
 
     for m in _TOKEN.finditer(page):
         run(page[place : m.start()])
@@ -143,8 +146,9 @@ def _walk(page: str, weights: Weights | None, empty: frozenset[int]) -> tuple[li
                 if name == "body" or name in BLOCKS or stack[-1][0] == "head":
                     close(ended)
         formula = bool(opened["math"]) or name == "math"
+        gone = False
         if closing:
-            close(name)
+            gone = bool(close(name))
         elif name == "p" or name in BLOCKS and stack and stack[-1][0] == "p":
             close("p", frozenset({"div", "article", "section", "td", "li", "blockquote"}))
         elif name == "li":
@@ -155,7 +159,7 @@ def _walk(page: str, weights: Weights | None, empty: frozenset[int]) -> tuple[li
             off = off or name in UNSEEN
             stack.append((name, dropped or off, inside or name in CONTENT, linked or name == "a", unseen or name in UNSEEN, m.start()))
             opened[name] += 1
-        out.append(Item(tag=name, closing=closing, keys=keys, content=inside or stack[-1][2], dropped=stack[-1][1], unseen=unseen or name in UNSEEN, formula=formula))
+        out.append(Item(tag=name, closing=closing, keys=keys, content=inside or stack[-1][2], dropped=gone or stack[-1][1], unseen=unseen or name in UNSEEN, formula=formula))
     run(page[place:])
     unclosed.update(left[5] for left in stack if left[0] in UNSEEN - {"head", "title"})
     return out, frozenset(unclosed)

@@ -68,6 +68,14 @@ def test_elements_without_text_end_where_they_should():
     assert h.main_text(f"<p>If {formula} then.</p>", h.Weights()) == "If x=2 then."
 
 
+def test_dropped_blocks_in_an_article_do_not_cut_it():
+    one, two = "one " * 40, "two " * 60
+    links = "".join(f"<li><a href=/{k}>read this too</a></li>" for k in range(30))
+    for block in (f'<ul class="related">{links}</ul>', f"<aside><ul>{links}</ul></aside>", f'<div class="share"><ul>{links}</ul></div>'):
+        page = f"<article><p>{one}</p>{block}<p>{two}</p></article>"
+        assert h.main_text(page, h.Weights()) == one.strip() + "\n\n" + two.strip()
+
+
 def test_edge_cases(spark):
     rows = [*pages(spark, 5), (None, None, None), (7, "u", ""), (1, "u1", pages(spark, 5)[1][2]), (8, "u", "<p>" + "word " * 50_000)]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
