@@ -33,13 +33,21 @@ HINTS = frozenset(
     "menu nav navbar navigation newsletter notice notices pagination popup promo related replies reply share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split()
 )
+# Elements that names say something about; ids of headings, paragraphs and sections are often made of their own words.
+CONTAINERS = frozenset("a center dd details div dl figure header li ol section span table tbody td tr ul".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement promo sponsor sponsored".split())  # paragraphs with a class of such words alone go
+# Words beside a hint in the id of a part of a page.
+PARTS = frozenset(
+    "area bar block bottom box button buttons container content field form item items left link links list main nav page panel post posts primary "
+    "right secondary section site tags thread top wrap wrapper".split()
+)
 CONTENT = frozenset("article main".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 @dataclass
@@ -76,10 +84,13 @@ class Weights:
         return any(self.tags.get(k, 0.0) <= NEVER for k in keys[1:])
 
 
-def _hinted(names: list[str], inside: bool) -> bool:
-    """Whether a name says what the element is; names such as has-sidebar say what stands beside it."""
+def _hinted(names: list[str], ids: set[str], inside: bool) -> bool:
+    """Whether a name says what the element is; names such as has-sidebar say what stands beside it, and ids
+    with other words than hints, numbers and parts of a page, such as related-work, what the text is about."""
     for name in names:
         parts = {p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name)}
+        if name in ids and any(p and not p.isdigit() for p in parts - HINTS - PARTS):
+            continue
         if parts & HINTS and not parts & {"has", "no", "with", "without"} and not (inside and parts & HINTS == {"header"}):
             return True
     return False
@@ -90,31 +101,41 @@ def items(page: str, weights: Weights | None = None) -> list[Item]:
 
     ``dropped`` marks what stands in an element that is no main text by its kind, by its class, id or role, or
     by the weights; ``content`` what stands in an article or main element. A head ends before the first thing that
-    cannot stand in it; of the other UNSEEN elements those without a closing tag hold nothing.
+    cannot stand in it; of the other UNSEEN elements those without a closing tag hold nothing. Names tell nothing
+    of an element that holds most of the page's words outside links.
     """
-    out, unclosed = _walk(page, weights, frozenset())
-    return _walk(page, weights, unclosed)[0] if unclosed else out
+    out, unclosed, most = _walk(page, weights, frozenset(), frozenset())
+    if unclosed:
+        out, _, most = _walk(page, weights, unclosed, frozenset())
+    return _walk(page, weights, unclosed, most)[0] if most else out
 
 
-def _walk(page: str, weights: Weights | None, empty: frozenset[int]) -> tuple[list[Item], frozenset[int]]:
-    """The items if the elements at the places ``empty`` hold nothing, and the places of UNSEEN elements that nothing closed."""
+def _walk(page: str, weights: Weights | None, empty: frozenset[int], plain: frozenset[int]) -> tuple[list[Item], frozenset[int], frozenset[int]]:
+    """The items if the elements at the places ``empty`` hold nothing and the names of those at ``plain`` tell nothing;
+    the places of UNSEEN elements that nothing closed, and of elements that go by name and hold most words."""
     out: list[Item] = []
     # Name; whether in dropped, content, link, unseen; where it began.
     stack: list[tuple[str, bool, bool, bool, bool, int]] = [("", False, False, False, False, -1)]
     unclosed: set[int] = set()
+    by_name: dict[int, list[int]] = {}  # where elements that go by name began; how many words came before it and before its end
+    seen, kinds = 0, 0  # words so far outside links and elements that go by kind; open elements that go by kind
     opened: Counter = Counter()
     place = 0
 
     def run(text: str) -> None:
+        nonlocal seen
         if text:
             text = html.unescape(text)
             if stack[-1][0] == "head" and text.strip():
                 close("head")
             _, dropped, content, linked, unseen, _ = stack[-1]
             out.append(Item(text=text, words=len(text.split()), linked=linked, dropped=dropped, content=content, unseen=unseen))
+            if not (linked or kinds):
+                seen += out[-1].words
 
     def close(name: str, barrier: frozenset[str] = frozenset()) -> bool | None:
         """Ends the innermost element of the name; whether it was dropped."""
+        nonlocal kinds
         if not opened[name]:
             return None
         k = len(stack) - 1
@@ -124,6 +145,9 @@ def _walk(page: str, weights: Weights | None, empty: frozenset[int]) -> tuple[li
             k -= 1
         for closed in stack[k:]:
             opened[closed[0]] -= 1
+            kinds -= closed[0] in OUTSIDE or closed[0] in UNSEEN
+            if closed[5] in by_name:
+                by_name[closed[5]][1] = seen
         unclosed.update(closed[5] for closed in stack[k + 1 :] if closed[0] in UNSEEN - {"head", "title"})
         gone = stack[k][1]
         del stack[k:]
@@ -136,7 +160,9 @@ def _walk(page: str, weights: Weights | None, empty: frozenset[int]) -> tuple[li
         if not name:
             continue
         closing = bool(m[2] or m[5])
-        names = [n for a in _NAMES.finditer(m[4] or m[7] or "") for n in (a[1] or a[2] or a[3] or "").split()]
+        attributes = [*_NAMES.finditer(m[4] or m[7] or "")]
+        ids = {n for a in attributes if a[1].lower() == "id" for n in (a[2] or a[3] or a[4] or "").split()}
+        names = [n for a in attributes for n in (a[2] or a[3] or a[4] or "").split()]
         keys = (name, *(f"{name}.{n.lower()}" for n in names))
         alone = name in VOID or m.start() in empty
         if (m[4] or m[7] or "").endswith("/") and (name in UNSEEN - {"head", "title"} or name == "math" or opened["svg"] or opened["math"]):
@@ -155,14 +181,21 @@ def _walk(page: str, weights: Weights | None, empty: frozenset[int]) -> tuple[li
             close("li", frozenset({"ul", "ol", "menu"}))
         _, dropped, inside, linked, unseen, _ = stack[-1]
         if not closing and not alone:
-            off = name in OUTSIDE or (name == "header" and not inside) or (name not in CONTENT | {"html", "body"} and _hinted(names, inside)) or bool(weights and weights.never(keys))
+            off = name in OUTSIDE or (name == "header" and not inside) or bool(weights and weights.never(keys))
+            if names and m.start() not in plain and (
+                name in CONTAINERS and _hinted(names, ids, inside) or name == "p" and any(n not in ids and set(re.split("[-_]", n.lower())) <= ADVERTS for n in names)
+            ):
+                off = True
+                by_name[m.start()] = [seen, -1]
             off = off or name in UNSEEN
             stack.append((name, dropped or off, inside or name in CONTENT, linked or name == "a", unseen or name in UNSEEN, m.start()))
             opened[name] += 1
+            kinds += name in OUTSIDE or name in UNSEEN
         out.append(Item(tag=name, closing=closing, keys=keys, content=inside or stack[-1][2], dropped=gone or stack[-1][1], unseen=unseen or name in UNSEEN, formula=formula))
     run(page[place:])
     unclosed.update(left[5] for left in stack if left[0] in UNSEEN - {"head", "title"})
-    return out, frozenset(unclosed)
+    most = frozenset(at for at, (low, high) in by_name.items() if 2 * ((seen if high < 0 else high) - low) > seen)
+    return out, frozenset(unclosed), most
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:

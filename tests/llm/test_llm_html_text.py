@@ -76,6 +76,19 @@ def test_dropped_blocks_in_an_article_do_not_cut_it():
         assert h.main_text(page, h.Weights()) == one.strip() + "\n\n" + two.strip()
 
 
+def test_names_of_headings_and_wrappers_do_not_drop_them():
+    w = h.Weights(word=5.0)
+    text = "one two three " * 5
+    headings = '<h2 id="related-work">Related work</h2><p class="notice">{0}</p><h2 id="social-impact">Impact</h2><h3 id="menu-design">Menus</h3>'
+    whole = "Related work\n\n{0}\n\nImpact\n\nMenus".format(text.strip())
+    assert h.main_text("<article>" + headings.format(text) + "</article>", w) == whole
+    assert h.main_text('<article><section id="related-work">' + headings.format(text) + f"</section><p>{text}</p><p>{text}</p></article>", w).startswith(whole)
+    for wrapper in ('<div class="widget-content">', '<div class="widget"><div class="widget-content">'):
+        assert h.main_text(f'{wrapper}<article>{headings.format(text)}</article></div></div><div class="ad">Buy it</div>', w) == whole
+    for block in ('<div id="cookie-notice">no no</div>', '<div id="related-posts">no no</div>', '<ul class="share-links">no no</ul>', '<div id="ad-1">no</div>'):
+        assert h.main_text("<article>" + headings.format(text) + block + "</article>", w) == whole
+
+
 def test_edge_cases(spark):
     rows = [*pages(spark, 5), (None, None, None), (7, "u", ""), (1, "u1", pages(spark, 5)[1][2]), (8, "u", "<p>" + "word " * 50_000)]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
