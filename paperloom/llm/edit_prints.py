@@ -249,25 +249,28 @@ def chunks(texts: list[str], most: int) -> Iterator[list[str]]:
         yield part
 
 
-def _verify(least: float, small: int):
-    """Links between fingerprints that share a band; rows come sorted by key and fingerprint."""
+def _verify(least: float):
+    """Links between fingerprints that share a band; rows ``key, low, high, block, fingerprint`` come sorted.
+
+    Each group of key, low and high holds one block, all pairs of which are compared, or two, compared with each other.
+    """
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, recent = None, None, []
+        group, before = None, []
         for batch in batches:
             links = set()
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for *now, block, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 mark = from_text(text)
-                if k != key:
-                    key, first, recent = k, (text, mark), []
-                else:
-                    for other, its in recent if len(recent) < small else [first, *recent]:
-                        pair = (other, text) if other < text else (text, other)
-                        if other != text and pair not in links and likeness(its, mark) >= least:
-                            links.add(pair)
-                recent.append((text, mark))
-                if len(recent) > small:
-                    del recent[0]
+                if now != group:
+                    group, before = now, []
+                for its_block, other, its in before:
+                    if now[1] != now[2] and its_block == block:
+                        continue
+                    pair = (other, text) if other < text else (text, other)
+                    if other != text and pair not in links and likeness(its, mark) >= least:
+                        links.add(pair)
+                if now[1] == now[2] or block == now[1]:
+                    before.append((block, text, mark))
             pairs = sorted(links)
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.string()), "b": pa.array([p[1] for p in pairs], pa.string())})
 
@@ -279,9 +282,9 @@ def near_duplicates(documents: DataFrame, least: float = LIKENESS, small: int =
 
     Distinct fingerprints emit a key for each band of BAND sampled steps; those that share a band are
     compared, and linked at a likeness of ``least`` or more. At 0.8 a pair shares a band of its 32 or more
-    with a chance above 0.9999. In a band that more than ``small`` distinct fingerprints share, each is
-    compared with the first and with the ``small`` before it in their order; the others it meets in its
-    other bands, where the order differs. Null and empty texts are one class; repeated rows come back
+    with a chance above 0.9999. The fingerprints of a band that more than ``small`` share are dealt into
+    blocks of about ``small``, and every two blocks meet in a group of their own: all pairs are compared,
+    whose number is the square of the band's, in groups of bounded size. Null and empty texts are one class; repeated rows come back
     repeated; rows without an id do not name a class; other columns are ignored.
     """
     prints = staged(fingerprints(documents), "marks")
@@ -296,9 +299,12 @@ def near_duplicates(documents: DataFrame, least: float = LIKENESS, small: int =
             yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(index))], names=["key", "fingerprint"])
 
     banded = first.select("fingerprint").mapInArrow(keys, "key long, fingerprint string")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = banded.join(shared, "key").repartition("key").sortWithinPartitions("key", "fingerprint")
-    links = met.mapInArrow(_verify(least, small), "a string, b string")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / small).alias("blocks"))
+    met = banded.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fingerprint")
+    met = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "block", "fingerprint")
+    links = met.mapInArrow(_verify(least), "a string, b string")
     groups = connected(links).withColumnRenamed("node", "fingerprint")
     placed = first.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     named = placed.groupBy("component").agg(F.min("first_id").alias("class_id"))

@@ -57,6 +57,18 @@ def test_near_texts_share_a_class_and_others_do_not(spark):
     assert sum(found[100 + k] == k for k in range(30)) >= 27  # a walk may seldom lose its way after an edit
 
 
+def test_near_texts_of_shared_sections_meet_in_hot_bands(spark):
+    draw = random.Random(6)
+    early, late = [text(draw, 120) for _ in range(12)], [text(draw, 1400) for _ in range(3)]
+    rows = list(enumerate(e + x for x in late for e in early))
+    found = {r.doc_id: (r.fingerprint, r.class_id) for r in edit_prints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=2).collect()}
+    marks = {i: edit_prints.from_text(f) for i, (f, _) in found.items()}
+    least = {i: i for i in marks}
+    for _ in marks:  # classes of all pairs at the limit or above
+        least = {i: min(least[j] for j in marks if likeness(marks[i], marks[j]) >= edit_prints.LIKENESS) for i in marks}
+    assert {i: c for i, (_, c) in found.items()} == least and len(set(least.values())) < len(rows)
+
+
 def test_edge_cases(spark):
     docs = edge_cases.documents(spark)
     found = edit_prints.compared_with_next(docs, ranges=3).collect()
