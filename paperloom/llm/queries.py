@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, edit_prints, html_text, line_dedup, mixing, pii, secrets, simhash, token_files, toxicity
+from paperloom.llm import (
+    decontaminate, edit_prints, html_text, lexical, line_dedup, mixing, pii, secrets, simhash, token_files, toxicity, url_rules, whitening,
+)
 from paperloom.llm.common import table, tokenizer_definition
 
 
@@ -51,4 +53,27 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op6_token_files, op7_pii, op8_toxicity, op9_page_text, op10_secrets)}
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# Host, path and verdict of the rules that the contract names.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judged(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_edit_fingerprints, op3_mix_sources, op4_decontaminate, op5_simhash, op6_token_files, op7_pii, op8_toxicity,
+        op9_page_text, op10_secrets, op11_lexical_search, op12_url_rules, op13_whitening,
+    )
+}

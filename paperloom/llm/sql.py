@@ -37,4 +37,56 @@ SELECT doc_id, size, source_size, target,
 FROM r GROUP BY doc_id, size, source_size, target
 """
 
-ORACLE = {"op3_mix_sources": OP3_MIX_SOURCES}
+OP12_URL_RULES = r"""
+WITH r(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), u AS (
+  SELECT page_id, row_number() OVER () AS n,
+         CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), p AS (
+  SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), f AS (
+  SELECT p.n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM p JOIN r ON ('.' || p.host) LIKE ('%.' || r.host) AND starts_with(p.path, r.path)
+  GROUP BY p.n
+)
+SELECT page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (n)
+"""
+
+OP11_LEXICAL_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS seat, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (
+  SELECT seat, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d
+), c AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS total FROM d
+), i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark
+), qt AS (
+  SELECT DISTINCT q, item_id, unnest(terms) AS term FROM i
+), tf AS (
+  SELECT seat, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM qt) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c
+), s AS (
+  SELECT qt.q, qt.item_id, tf.seat, tf.doc_id,
+         sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * tf.n * c.docs) // c.total))))::BIGINT AS score
+  FROM qt JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE = {"op3_mix_sources": OP3_MIX_SOURCES, "op11_lexical_search": OP11_LEXICAL_SEARCH, "op12_url_rules": OP12_URL_RULES}

@@ -1,0 +1,93 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from paperloom.llm import queries, url_rules
+
+RULES = "host string, path string, verdict string"
+PAGES = "page_id long, url string, html string, rule string, slot string, prefix string, entry string"
+
+
+def split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups()
+    return "".join(c.lower() if c.isascii() else c for c in host), path
+
+
+def brute_force(urls, rules, default="allow"):
+    out = []
+    for url in urls:
+        host, path = split(url)
+        fit = [
+            (len(h) + len(p), len(h), h + p, v)
+            for h, p, v in rules
+            if (h == "" or host == h or host.endswith("." + h)) and path.startswith(p)
+        ]
+        _, _, rule, verdict = max(fit, default=(0, 0, None, default))
+        out.append((host, path, rule, verdict))
+    return out
+
+
+def judged(spark, urls, rules, **parameters):
+    pages = spark.createDataFrame([(k, u, "h", "r", "s", "p", "e") for k, u in enumerate(urls)], PAGES)
+    found = url_rules.judged(pages, spark.createDataFrame(rules, RULES), **parameters)
+    assert found.columns == ["page_id", "url", "html", "slot", "prefix", "entry", "host", "path", "rule", "verdict"]
+    return [(r.host, r.path, r.rule, r.verdict) for r in found.orderBy("page_id").collect()]
+
+
+def test_random_rules_equal_brute_force_in_any_number_of_slots(spark):
+    rng = random.Random(5)
+    labels, paths = ["a", "b", "ab", "net", "é", "x-y", "\x01", ""], ["", "/", "/a", "/a/", "/a/b", "/ab", "/b/é", "/a/b/c/d", "\x00"]
+
+    def host():
+        return ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4)))
+
+    rules = {(host(), rng.choice(paths)): rng.choice(["block", "allow"]) for _ in range(120)}
+    rules = [(h, p, v) for (h, p), v in rules.items()]
+    urls = [f"http://{host()}{rng.choice(paths)}{rng.choice(['', '?q=/x', '#f', 'more'])}" for _ in range(600)]
+    expected = brute_force(urls, rules, "unknown")
+    assert len({e[2] for e in expected}) > 20
+    for slot_rows in (7, 100, 20_000):
+        assert judged(spark, urls, rules, default="unknown", slot_rows=slot_rows) == expected
+
+
+def test_a_hot_url_is_dealt_to_many_slots(spark):
+    urls = ["https://www.example.net/en/x"] * 400 + [f"https://h{k}.org/fr/{k}" for k in range(200)]
+    rules = queries.URL_RULES
+    assert judged(spark, urls, rules, slot_rows=20) == brute_force(urls, rules)
+
+
+def test_a_long_chain_of_rules_is_one_stack(spark):
+    chain = [(".".join(["x"] * k), "/" + "a/" * k, f"v{k:02}") for k in range(1, 25)]
+    urls = [f"s://{'.'.join(['x'] * k)}/{'a/' * j}" for k in range(1, 26) for j in (0, 3, 24, 25)]
+    assert judged(spark, urls, chain, slot_rows=9) == brute_force(urls, chain)
+
+
+def test_a_path_below_an_outer_host_wins_over_none_below_the_inner_one(spark):
+    rules = [("org", "/fr/", "allow"), ("a.org", "/de/", "block"), ("b.org", "/", "block")]
+    urls = ["http://a.org/fr/1", "http://b.org/fr/1", "http://a.org/de/1", "http://c.org/en/", "http://org/fr/"]
+    found = judged(spark, urls, rules)
+    assert [r[2] for r in found] == ["org/fr/", "org/fr/", "a.org/de/", None, "org/fr/"]  # org/fr/ is longer than b.org/
+    assert found == brute_force(urls, rules)
+
+
+def test_edge_cases(spark):
+    urls = [
+        None, "", "no scheme", "http://", "://", "HTTP://ÉXAMPLE.Net/Path", "http://a.net:80/", "http://u@a.net/", "http://net?x=/", "http://net#/",
+        "http://a.net", "a://b://c.net/d", "http://a.net./", "http://.net/", "http://a..net/", "x" * 50_000, "http://a.net/" + "y" * 50_000,
+        "http://a.net/\n/x", "http://a\nb.net/",
+    ]
+    rules = [("net", "/", "block"), ("", "/Path", "special"), ("a.net", "", "allow")]
+    assert judged(spark, urls, rules) == brute_force(urls, rules)
+    assert judged(spark, urls, []) == brute_force(urls, [])
+    assert judged(spark, [], rules) == []
+    odd = judged(spark, ["http://a.net/x", "http://b/x"], [(None, None, "all"), ("A.NET", "/", "allow"), ("a.net", "/", "block"), ("b", "/", None)])
+    assert [r[2:] for r in odd] == [("a.net/", "block"), ("b/", "allow")]
+
+
+def test_repeated_pages_are_judged_each(spark):
+    pages = spark.createDataFrame([(None, "http://a.net/")] * 3 + [(7, "http://a.net/")] * 2, "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, RULES)
+    assert url_rules.judged(pages, rules).where(F.col("rule") == "net/").count() == 5
