@@ -67,7 +67,7 @@ def test_many_blocks_of_items():
 
 
 def test_levels_never_fall_below_the_count():
-    counts = np.unique(np.concatenate([np.arange(1, 3000), 2 ** np.arange(1, 33), 2 ** np.arange(1, 33) + 1]))
+    counts = np.unique(np.concatenate([np.arange(1, 3000), 2 ** np.arange(1, 33), 2 ** np.arange(1, 32) + 1]))
     bound = lexical._LEVELS[lexical.levels(counts)]
     assert (bound >= counts).all() and len(lexical._LEVELS) == 256 and (np.diff(lexical._LEVELS) > 0).all()
     assert (bound[counts <= 128] == counts[counts <= 128]).all()
