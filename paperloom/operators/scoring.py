@@ -2,7 +2,8 @@
 
 A scorer turns batches of ``paper_id, prompt`` into batches of ``paper_id, reply, tokens, error``.
 Replies are written to a results table before anything reads them, because a recomputation would
-ask the classifier again.
+ask the classifier again. One Spark job scores all papers that wait; its tasks keep their replies
+part by part (see ``sources.score_sink``).
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from paperloom.functions.replies import MATERIAL_REPLY, METHOD_REPLY, reply_columns
 from paperloom.functions.text import binary_decision
 from paperloom.operators.prompts import MATERIAL_GUIDE, METHOD_GUIDE, RELEVANCE_GUIDE, render_prompts
-from paperloom.session import drop_scratch, scratch_dir
+from paperloom.sources import score_sink
+from paperloom.sources.folders import Folder
 from paperloom.sources.papers import relevant_only
-from paperloom.sources.scores import append_scores, read_scores, score_schema
+from paperloom.sources.scores import PARTS, new_run, read_scores, score_schema
 
 Batches = Iterator[pd.DataFrame]
 Scorer = Callable[[Batches], Batches]
@@ -64,10 +66,17 @@ def per_paper(ask: Callable[[str], tuple[str, int | None]], guide: str = "", thr
                 scored.insert(0, "paper_id", batch["paper_id"].to_numpy())
                 yield scored
 
+    scorer.calls = threads
     return scorer
 
 
-def _first_of_batch(batches: Batches) -> Batches:
+def calls_at_once(scorer: Scorer) -> int:
+    """Calls that one task of the scorer makes at a time; a scorer of one's own may say so in ``calls``."""
+    return getattr(scorer, "calls", 1)
+
+
+def first_of_batch(batches: Batches) -> Batches:
+    """Each paper once in each batch."""
     for batch in batches:
         yield batch.drop_duplicates("paper_id")
 
@@ -83,29 +92,11 @@ def pending_papers(papers: DataFrame, scores: DataFrame, retry_errors: bool = Fa
     done = scores.where(F.col("error").isNull()) if retry_errors else scores
     no_id = F.raise_error(F.lit("paper_id is null; see with_paper_id"))
     prompts = render_prompts(papers).withColumn("paper_id", F.when(F.col("paper_id").isNull(), no_id).otherwise(F.col("paper_id")))
-    prompts = prompts.mapInPandas(_first_of_batch, prompts.schema)
+    prompts = prompts.mapInPandas(first_of_batch, prompts.schema)
     prompts = prompts.repartition(partitions, "paper_id") if partitions else prompts.repartition("paper_id")
     return prompts.join(done.select("paper_id").hint("shuffle_hash"), "paper_id", "left_anti")
 
 
-def _once(scorer: Scorer) -> Scorer:
-    """The scorer without papers that its task has seen before. All copies of a paper are in one task."""
-
-    def scored(batches: Batches) -> Batches:
-        seen: set = set()
-
-        def new() -> Batches:
-            for batch in batches:
-                batch = batch.drop_duplicates("paper_id")
-                batch = batch[~batch["paper_id"].isin(seen)]
-                seen.update(batch["paper_id"])
-                yield batch
-
-        return scorer(new())
-
-    return scored
-
-
 def score(
     papers: DataFrame, scorer: Scorer, partitions: int | None = None, observation: Observation | None = None
 ) -> DataFrame:
@@ -113,7 +104,8 @@ def score(
 
     Every partition calls the classifier for its papers one after the other, or in the scorer's threads;
     so at most as many calls run at a time as the executors have cores, times the threads. Rows go to
-    partitions by id, so a repeated task sees the same papers.
+    partitions by id, so a repeated task sees the same papers. Nothing is kept: use ``score_pending`` for
+    calls that are paid for.
     """
     prompts = papers
     if "prompt" not in papers.columns:
@@ -159,44 +151,66 @@ def merge_earlier(papers: DataFrame, earlier: DataFrame, column: str = "is_relev
     return joined.withColumn(column, value).drop("_earlier")
 
 
+def in_slots(prompts: DataFrame, scorer: Scorer, max_calls: int | None) -> DataFrame:
+    """The prompts in so few tasks that at most ``max_calls`` calls run at a time, on any number of cores.
+
+    Partitions are read one after the other by the task that holds them: nothing moves once more.
+    """
+    if max_calls is None:
+        return prompts
+    each = calls_at_once(scorer)
+    if max_calls < each:
+        raise ValueError(f"one task of the scorer makes {each} calls at a time, more than max_calls={max_calls}")
+    return prompts.coalesce(max_calls // each)
+
+
 def score_pending(
     papers: DataFrame,
     scorer: Scorer,
     task: Task,
     results_path: str,
     partitions: int | None = None,
-    papers_per_commit: int = 1_000_000,
+    papers_per_commit: int = 1_000,
     retry_errors: bool = False,
-    work_folder: str | None = None,
-    buckets: list[int] | None = None,
-) -> None:
-    """Scores what the results table lacks and appends it.
-
-    An interrupted run is repeated with the same call. Replies are committed after about
-    ``papers_per_commit`` papers, so an interruption loses no more calls than that. Where one commit
-    does not do, the pending prompts are staged once, under ``work_folder`` or the shared folder.
-    With ``buckets`` only these folders of the results table are read.
+    max_calls: int | None = None,
+) -> str:
+    """Scores what the results table lacks, adds it to the table, and returns the name of the run.
+
+    It is one Spark job. Each task keeps its replies after every ``papers_per_commit`` papers: an
+    interruption, of a task or of the whole job, loses no more calls than that for each task that ran. A
+    repeated task asks for the rest only; an interrupted job is repeated with the same call. With
+    ``max_calls`` at most so many calls run at a time, whatever the cluster.
     """
     spark = papers.sparkSession
-    asked = relevant_only(papers, task.only_relevant)
-    scores = read_scores(spark, results_path, papers.schema["paper_id"].dataType, buckets)
-    done = scores.where(F.col("error").isNull()) if retry_errors else scores
-    n = asked.select("paper_id").distinct().join(done.select("paper_id"), "paper_id", "left_anti").count()
-    pending = pending_papers(asked, scores, retry_errors, partitions)
-    commits = -(-n // papers_per_commit)
-    if commits <= 1:
-        append_scores(score(pending, _once(scorer)), results_path)
-        return
-    staged = f"{work_folder}/pending-{task.name}" if work_folder else scratch_dir(spark, f"pending-{task.name}")
+    id_type = papers.schema["paper_id"].dataType
+    scores = read_scores(spark, results_path, id_type)
+    pending = pending_papers(relevant_only(papers, task.only_relevant), scores, retry_errors, partitions or _partitions(spark, max_calls))
+    run = new_run()
+    # Copies of a paper that the shuffle left stand side by side then.
+    store_scored(pending.sortWithinPartitions("paper_id"), scorer, f"{Folder(spark, results_path).path}/{PARTS}/{run}", papers_per_commit, max_calls)
+    return run
+
+
+def _partitions(spark, max_calls: int | None) -> int | None:
+    """With a bound on calls the slots are to be filled, however small the prompts are."""
+    return max(max_calls, int(spark.conf.get("spark.sql.shuffle.partitions"))) if max_calls else None
+
+
+def store_scored(
+    prompts: DataFrame, scorer: Scorer, folder: str, every: int, max_calls: int | None = None, sink: str | None = None
+) -> None:
+    """Scores prompts and writes the replies to the folder of a run; ``sink`` is a format that is registered already."""
+    spark = prompts.sparkSession
+    rows = in_slots(prompts.select("paper_id", "prompt"), scorer, max_calls)
+    sink = sink or score_sink.register(spark, scorer, prompts.schema["paper_id"].dataType)
+    # Partitions are small in bytes and long in calls: merged by size, many calls would wait for each other.
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    spark.conf.set(merge, "false")
     try:
-        shares = pending.withColumn("_commit", F.pmod(F.xxhash64("paper_id"), F.lit(commits)))
-        shares.write.partitionBy("_commit").parquet(staged)
-        for number in range(commits):
-            part = spark.read.parquet(staged).where(F.col("_commit") == number).drop("_commit")
-            part = part.repartition(partitions, "paper_id") if partitions else part.repartition("paper_id")
-            append_scores(score(part, _once(scorer)), results_path)
+        rows.write.format(sink).mode("append").option("folder", folder).option("every", str(every)).save()
     finally:
-        drop_scratch(spark, staged)
+        spark.conf.set(merge, before)
 
 
 def classify(
@@ -205,9 +219,10 @@ def classify(
     task: Task,
     results_path: str,
     partitions: int | None = None,
-    papers_per_commit: int = 1_000_000,
+    papers_per_commit: int = 1_000,
     retry_errors: bool = False,
+    max_calls: int | None = None,
 ) -> DataFrame:
     """Scores pending papers, then returns the whole table with the columns of the task."""
-    score_pending(papers, scorer, task, results_path, partitions, papers_per_commit, retry_errors)
+    score_pending(papers, scorer, task, results_path, partitions, papers_per_commit, retry_errors, max_calls)
     return scatter(papers, read_scores(papers.sparkSession, results_path, papers.schema["paper_id"].dataType), task)

@@ -419,13 +419,15 @@ def resumable_scoring(t: SampleTables) -> DataFrame:
 
 
 def incremental_scoring(t: SampleTables) -> DataFrame:
-    """As above, with the documents read as a stream."""
-    path = _with_earlier_scores(t)
-    source = t.spark.readStream.schema(t.table("documents").schema).parquet(f"{t.folder}/documents.parquet*")
-    score_stream(
-        papers_from_documents(source), scoring.per_paper(_sample_relevance_answer), scoring.RELEVANCE,
-        path, scratch_dir(t.spark, "stream"),
-    ).awaitTermination()
+    """As above, with the documents arriving as a stream of two micro-batches, the second of which overlaps the first."""
+    path, arriving = _with_earlier_scores(t), scratch_dir(t.spark, "arriving")
+    documents = t.table("documents")
+    documents.where("doc_id % 2 = 0 OR doc_id % 3 = 0").write.parquet(f"{arriving}/drop=1")
+    documents.where("doc_id % 2 = 1").write.parquet(f"{arriving}/drop=2")
+    state = scratch_dir(t.spark, "stream")
+    for drop in ("1", "[12]"):
+        source = t.spark.readStream.schema(documents.schema).parquet(f"{arriving}/drop={drop}")
+        score_stream(papers_from_documents(source), scoring.per_paper(_sample_relevance_answer), scoring.RELEVANCE, path, state).awaitTermination()
     scores = read_scores(t.spark, path, t.documents.schema["paper_id"].dataType)
     return scoring.scatter(t.documents, scores, scoring.RELEVANCE).select("paper_id", "is_relevant")
 

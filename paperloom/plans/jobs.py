@@ -22,11 +22,12 @@ def save_papers(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def run_task(
     spark: SparkSession, source: str, target: str, results: str, task: Task, scorer: Scorer,
-    fmt: str = "parquet", partitions: int | None = None, papers_per_commit: int = 1_000_000, retry_errors: bool = False,
+    fmt: str = "parquet", partitions: int | None = None, papers_per_commit: int = 1_000, retry_errors: bool = False,
+    max_calls: int | None = None,
 ) -> DataFrame:
     """One classification step from table to table. Rerun the same call after an interruption."""
     papers = load_papers(spark, source, fmt)
-    save_papers(classify(papers, scorer, task, results, partitions, papers_per_commit, retry_errors), target, fmt)
+    save_papers(classify(papers, scorer, task, results, partitions, papers_per_commit, retry_errors, max_calls), target, fmt)
     return load_papers(spark, target, fmt)
 
 
