@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import types as T
 
 from paperloom import taxonomy
 from paperloom.functions.lists import list_column
+from paperloom.sources import csv_ranges
+from paperloom.sources.folders import Folder
 
 
 def read_papers_csv(
@@ -18,56 +19,20 @@ def read_papers_csv(
 ) -> DataFrame:
     """Paper export(s) as CSV with a header; every column is text unless a schema says otherwise.
 
-    Columns go by name: files of one folder may have them in different order, or lack some, which are
-    null then. A schema must name the columns in the order of every file, else reading fails.
-
-    Abstracts may hold line breaks, so each file is read by one task: give a folder of many files,
-    convert once to Parquet with ``sinks.write_parquet``, or switch ``multi_line`` off for files
-    without such breaks, which Spark then splits.
+    ``path`` is a file, a folder or a pattern. Columns go by name: files may have them in different order,
+    or lack some, which are null then. Abstracts may hold line breaks; large files are read by many tasks all
+    the same (see ``csv_ranges``). A schema must name the columns in the order of every file, else reading
+    fails; it is read by Spark's own reader, a file by each task unless ``multi_line`` is off. So is everything
+    in a store that only Spark reaches, where all files must have the same header.
     """
+    if schema is None and Folder(spark, path).scheme in csv_ranges.STORES:
+        found = csv_ranges.read_csv_ranges(spark, path)
+        # Texts for a missing value are looked for in the columns of the files, not in names of folders.
+        folders = csv_ranges.folder_columns(spark, path)
+        return normalise_missing(found, columns=[c for c in found.columns if c not in folders])
     options = {"header": "true", "multiLine": str(multi_line).lower(), "escape": '"', "encoding": "UTF-8"}
     reader = spark.read.options(**options)
-    if schema is not None:
-        return normalise_missing(reader.schema(schema).option("enforceSchema", "false").csv(path))
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in data_files(spark, path):
-        by_header.setdefault(csv_header(spark, file), []).append(file)
-    if len(by_header) <= 1:
-        parts = [(tuple(next(iter(by_header), ())), reader.csv(path))]
-    else:
-        parts = [(header, reader.option("basePath", path).csv(files)) for header, files in by_header.items()]
-    # Texts for a missing value are looked for in the columns of the files, not in names of folders.
-    found = [normalise_missing(part, columns=header) for header, part in parts]
-    table = found[0]
-    for part in found[1:]:
-        table = table.unionByName(part, allowMissingColumns=True)
-    return table
-
-
-def data_files(spark: SparkSession, path: str) -> list[str]:
-    """Files under a path, hidden ones left out."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
-    found = []
-    while listing.hasNext():
-        file = listing.next().getPath()
-        below = file.toString()[len(root.toString()) :] if file.toString() != root.toString() else file.getName()
-        if not any(part.startswith(("_", ".")) for part in below.split("/") if part):
-            found.append(file.toString())
-    return sorted(found)
-
-
-def csv_header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names in the first line of a CSV file; compressed files are opened by their ending."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(file)
-    stream = place.getFileSystem(conf).open(place)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-    try:
-        return tuple(next(csv.reader([(reader.readLine() or "").removeprefix("\ufeff")]), ()))
-    finally:
-        reader.close()
+    return normalise_missing((reader.schema(schema).option("enforceSchema", "false") if schema is not None else reader).csv(path))
 
 
 def read_papers_parquet(spark: SparkSession, path: str) -> DataFrame:
