@@ -28,19 +28,32 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def per_category(df: DataFrame, column: str = "material_categories") -> DataFrame:
-    """One row per paper and distinct category of it, with the file key of the category.
+def _exploded(df: DataFrame, column: str) -> DataFrame:
+    labels = F.array_distinct(list_column(df, column))
+    return df.withColumn("category", F.explode(labels)).where(F.col("category").isNotNull())
 
-    Where several categories would share a key, all but the first by name carry a mark of their own.
+
+def _counted(df: DataFrame, column: str) -> DataFrame:
+    """``category, n, category_file``, a row for each category.
+
+    Where several categories would share a file key, all but the first by name carry a mark of their own.
     """
-    labels = F.array_distinct(list_column(df, column))
-    rows = df.withColumn("category", F.explode(labels)).where(F.col("category").isNotNull())
     same = Window.partitionBy(file_key(F.col("category"))).orderBy("category")
     marked = F.concat(file_key(F.col("category")), F.lit("~"), F.substring(F.md5("category"), 1, 8))
-    keys = rows.select("category").distinct().withColumn(
-        "category_file", F.when(F.row_number().over(same) == 1, file_key(F.col("category"))).otherwise(marked)
-    )
-    return rows.join(keys, "category")
+    key = F.when(F.row_number().over(same) == 1, file_key(F.col("category"))).otherwise(marked)
+    return _exploded(df.select(column), column).groupBy("category").agg(F.count("*").alias("n")).withColumn("category_file", key)
+
+
+def per_category(df: DataFrame, column: str = "material_categories") -> DataFrame:
+    """One row per paper and distinct category of it, with the file key of the category.
+
+    Only the categories whose key another one has are looked up, in one map that is a scalar of the plan
+    and empty as a rule; the rows meet no join.
+    """
+    marked = _counted(df, column).where(F.col("category_file") != file_key(F.col("category")))
+    keys = marked.agg(F.map_from_entries(F.collect_list(F.struct("category", "category_file")))).scalar()
+    rows = _exploded(df, column).withColumn("_keys", keys)
+    return rows.withColumn("category_file", F.coalesce(F.try_element_at("_keys", F.col("category")), file_key(F.col("category")))).drop("_keys")
 
 
 def export_by_category(df: DataFrame, path: str, column: str = "material_categories", fmt: str = "csv") -> None:
@@ -57,14 +70,9 @@ def export_by_category(df: DataFrame, path: str, column: str = "material_categor
 
 
 def category_manifest(df: DataFrame, column: str = "material_categories") -> DataFrame:
-    """Papers per category and the folder that the export writes for it."""
-    return (
-        per_category(df.select(column), column)
-        .groupBy("category", "category_file")
-        .agg(F.count("*").alias("n"))
-        .select("category", "n", F.concat(F.lit("category_file="), "category_file").alias("filename"))
-        .orderBy("category")
-    )
+    """Papers per category and the folder that the export writes for it: one scan, one count."""
+    counted = _counted(df, column)
+    return counted.select("category", "n", F.concat(F.lit("category_file="), "category_file").alias("filename")).orderBy("category")
 
 
 def write_report(lines: DataFrame, path: str) -> None:
