@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import curve, trends
@@ -97,3 +100,39 @@ def test_hot_series_is_counted_before_it_is_grouped(spark):
     plan = curve.trend_curves(df, "s")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInPandas") < plan.index("collect_list") < plan.rindex("count(1)")
     assert curve.trend_curves(df, "s").count() == 300
+
+
+def dense_second_derivatives(h, y):
+    """The same conditions as one full system."""
+    n = y.shape[1]
+    inner = np.arange(1, n - 1)
+    system, right = np.zeros((n, n)), np.zeros_like(y)
+    system[inner, inner - 1], system[inner, inner], system[inner, inner + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
+    right[:, inner] = 6 * np.diff(np.diff(y, axis=1) / h, axis=1)
+    system[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    system[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    return np.linalg.solve(system, right.T).T
+
+
+def test_sweeps_equal_the_full_system():
+    rng = np.random.default_rng(2)
+    for n in (4, 5, 6, 30, 200):
+        h, y = rng.uniform(0.1, 5, n - 1), rng.normal(size=(3, n)) * 100
+        assert np.allclose(curve.second_derivatives(h, y), dense_second_derivatives(h, y), rtol=1e-8, atol=1e-8)
+
+
+def test_many_years_take_linear_time():
+    x = np.cumsum(np.random.default_rng(3).uniform(0.5, 2, 100_000))
+    start = time.perf_counter()
+    _, values = curve.smooth(x, np.sin(x / 50)[None, :] + 2, 1000)
+    assert time.perf_counter() - start < 2
+    grid = np.linspace(x[0], x[-1], 1000)
+    assert np.abs(values[0] - np.sin(grid / 50) - 2).max() < 1e-4
+
+
+def test_too_many_years_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(curve, "MOST_YEARS", 50)
+    df = spark.range(60).select(F.col("id").cast("double").alias("year"), F.lit("a").alias("s"))
+    with pytest.raises(Exception, match="more than 50 different years"):
+        curve.trend_curves(df, "s").collect()
+    assert curve.trend_curves(df.where("year < 50"), "s").count() == 300
