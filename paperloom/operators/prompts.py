@@ -35,91 +35,56 @@ def _words(lexicon: dict[str, list[str]], labels: list[str]) -> str:
     return "\n".join(f"- {label}: {', '.join(lexicon[label])}" if label in lexicon else f"- {label}" for label in labels)
 
 
-def _listed(lines: list[str]) -> str:
-    return "\n".join(f"- {line}" for line in lines)
-
-
-COUNTS_AS_RELEVANT = [
-    "ways to take properties, features or other data of materials out of publications",
-    "language processing, machine learning or AI that turns text about materials into structured facts",
-    "text or data mining that feeds a materials database or knowledge graph",
-    "software that reads synthesis recipes, test conditions or measured results by itself",
-    "compositions, structures, properties or performance figures gathered from papers or patents",
-    "informatics databases of materials that are filled automatically",
-    "recognising entities or relations, or extracting information, tuned to materials",
-    "large language models or deep learning that read materials literature for its data",
-    "bringing loose materials data of publications into a standard or structured form",
-    "tools and platforms that curate materials data from the literature without handwork",
-]
-DOES_NOT_COUNT = [
-    "characterising materials without taking data out of text",
-    "machine learning in materials research that extracts no information",
-    "finding or designing materials without methods that mine the literature",
-    "making or testing materials in the laboratory without automatic extraction",
-    "theory and simulation alone, with no mining of text or data",
-    "databases that are filled by hand only",
-    "language processing or information extraction that is not applied to materials",
-]
-TAG_MEANINGS = {
-    "fine-tuned": "the model was trained further on data of the field",
-    "pre-trained": "a model trained elsewhere is used",
-    "domain-specific": "the model is made for materials",
-    "end-to-end": "one model is learned from input to output",
-    "pipeline": "several steps follow each other",
-    "zero-shot": "no or only a few examples are given",
-    "ensemble": "several models are combined",
-}
-METHOD_RULES = [
-    "Several methods: name the one the paper rests on.",
-    "List every model that is named.",
-    "No model named but the approach is plain: choose the category all the same.",
-    "Rules and classical methods are methods too; name them.",
-    f"New or unclear methods, and several without a main one, are {taxonomy.METHOD_FALLBACK}.",
-]
-METHOD_CONFIDENCE = {
-    "high": "title or abstract describes the method clearly",
-    "medium": "the method is implied or described in part",
-    "low": "the method is unclear or open to doubt",
-}
-MATERIAL_RULES = [
-    "Choose all categories that apply.",
-    "A material counts only where it is a main subject of the paper.",
-    "Choose the closest category: graphene is 2D Materials, not Nanoparticles; TiO2 that works as a photocatalyst is "
-    "Photocatalytic Materials, and as nanoparticles also Nanoparticles; a LiFePO4 cathode is Battery Cathode Materials.",
-    "Nanoparticles have no long side (dots, spheres); 2D Materials are sheets of one or a few layers; a nanostructured "
-    "material need not be either.",
-    f"Metals, ceramics, magnetic, optical and new materials are {taxonomy.MATERIAL_FALLBACK} where nothing else fits.",
-]
-MATERIAL_CONFIDENCE = {
-    "high": "title or abstract names the materials outright",
-    "medium": "the materials are implied or mentioned in passing",
-    "low": "the materials are unclear or open to doubt",
+# What a paper must do to count: every question with yes. They follow from the definition of the task,
+# a program that turns written reports about substances into data.
+RELEVANCE_TEST = {
+    "source": "Are written documents the input (articles, patents, theses, reports, their tables or figures)?",
+    "content": "Do the facts it is after belong to substances: what they consist of, how they are made, how they behave?",
+    "reader": "Does software find these facts, or is a method, data set or tool for such software the paper's subject?",
 }
+METHOD_ADVICE = (
+    "Look for the step that turns text into facts and classify that step; what is done with the facts afterwards "
+    "does not matter. If two steps share the work, the one without which nothing would be found decides. "
+    f"Use {taxonomy.METHOD_FALLBACK} when title, keywords and abstract leave the step open. specific_models holds "
+    "names as the paper writes them, and is empty if it gives none; secondary_tags holds only tags from the list."
+)
+MATERIAL_ADVICE = (
+    "A category belongs to the paper if someone who collects papers on that category would want this one. "
+    "Judge by use where a category is named for a use and by build where it is named for a build; both may hold. "
+    f"{taxonomy.MATERIAL_FALLBACK} stands alone, for papers that no other category fits."
+)
+CONFIDENCE_ADVICE = (
+    "confidence says where the answer comes from: "
+    + ", ".join(f"{level} {origin}" for level, origin in zip(taxonomy.CONFIDENCE_LEVELS, ("quoted from the text", "concluded from it", "guessed"), strict=True))
+    + "."
+)
 
 
-def _meanings(of: dict[str, str]) -> str:
-    return _listed([f"{name}: {meaning}" for name, meaning in of.items()])
+def _object(**keys: str) -> str:
+    return "Reply with a JSON object and nothing else: " + "; ".join(f"{name} = {what}" for name, what in keys.items()) + "."
 
 
 RELEVANCE_GUIDE = (
-    "Decide from title, keywords and abstract whether the paper is about taking materials data out of text automatically.\n"
-    f"It is if any of these holds:\n{_listed(COUNTS_AS_RELEVANT)}\nIt is not if it is about:\n{_listed(DOES_NOT_COUNT)}\n"
-    "Answer with one digit, 1 if so and 0 if not, and no reason."
+    "Three questions about the paper above.\n"
+    + "\n".join(f"{name}: {question}" for name, question in RELEVANCE_TEST.items())
+    + "\nReply 1 if the answer to all three is yes, otherwise 0. Nothing but the digit."
 )
-METHOD_GUIDE = (
-    "Name the main method by which the paper extracts information.\nCategories with typical words:\n"
-    f"{_words(taxonomy.METHOD_WORDS, taxonomy.METHOD_LABELS)}\n"
-    f"Rules:\n{_listed(METHOD_RULES)}\n"
-    f"Tags, all that apply:\n{_meanings({t: TAG_MEANINGS[t] for t in taxonomy.METHOD_TAGS})}\n"
-    f"Confidence:\n{_meanings({c: METHOD_CONFIDENCE[c] for c in taxonomy.CONFIDENCE_LEVELS})}\n"
-    "Answer with one JSON object with the keys primary_category (one category), specific_models (list of model "
-    f"names), secondary_tags (list of tags) and confidence ({'/'.join(taxonomy.CONFIDENCE_LEVELS)})."
+METHOD_GUIDE = "\n".join(
+    [
+        "Which kind of method extracts the information in the paper above? The kinds, with words that often go with them:",
+        _words(taxonomy.METHOD_WORDS, taxonomy.METHOD_LABELS),
+        METHOD_ADVICE,
+        f"Tags: {', '.join(taxonomy.METHOD_TAGS)}.",
+        CONFIDENCE_ADVICE,
+        _object(primary_category="one kind", specific_models="list of names", secondary_tags="list of tags", confidence="/".join(taxonomy.CONFIDENCE_LEVELS)),
+    ]
 )
-MATERIAL_GUIDE = (
-    "Name every kind of material the paper is mainly about.\nCategories with typical words:\n"
-    f"{_words(taxonomy.MATERIAL_WORDS, taxonomy.MATERIAL_LABELS)}\n"
-    f"Rules:\n{_listed(MATERIAL_RULES)}\n"
-    f"Confidence:\n{_meanings({c: MATERIAL_CONFIDENCE[c] for c in taxonomy.CONFIDENCE_LEVELS})}\n"
-    "Answer with one JSON object with the keys material_categories (list of categories), confidence "
-    f"({'/'.join(taxonomy.CONFIDENCE_LEVELS)}) and primary_category (the category that weighs most)."
+MATERIAL_GUIDE = "\n".join(
+    [
+        "Which materials is the paper above about? The categories, with words that often go with them:",
+        _words(taxonomy.MATERIAL_WORDS, taxonomy.MATERIAL_LABELS),
+        MATERIAL_ADVICE,
+        CONFIDENCE_ADVICE,
+        _object(material_categories="list of categories", primary_category="the first of them by weight", confidence="/".join(taxonomy.CONFIDENCE_LEVELS)),
+    ]
 )

@@ -108,16 +108,13 @@ def test_quick_test_never_hides_a_match(spark):
         assert df.where(matches & ~lexicon._possible(F.col("t"), F.lower("t"), ws)).count() == 0
 
 
-def test_guides_hold_every_rule():
-    assert len(prompts.COUNTS_AS_RELEVANT) == 10 and len(prompts.DOES_NOT_COUNT) == 7
-    assert all(f"- {line}" in prompts.RELEVANCE_GUIDE for line in prompts.COUNTS_AS_RELEVANT + prompts.DOES_NOT_COUNT)
-    assert all(f"- {t}: {prompts.TAG_MEANINGS[t]}" in prompts.METHOD_GUIDE for t in taxonomy.METHOD_TAGS)
-    for guide, rules, levels in (
-        (prompts.METHOD_GUIDE, prompts.METHOD_RULES, prompts.METHOD_CONFIDENCE),
-        (prompts.MATERIAL_GUIDE, prompts.MATERIAL_RULES, prompts.MATERIAL_CONFIDENCE),
+def test_guides_name_all_labels_and_keys_of_a_reply():
+    assert all(q in prompts.RELEVANCE_GUIDE for q in prompts.RELEVANCE_TEST.values())
+    for guide, labels, words, keys in (
+        (prompts.METHOD_GUIDE, taxonomy.METHOD_LABELS + taxonomy.METHOD_TAGS, taxonomy.METHOD_WORDS, ["primary_category", "specific_models", "secondary_tags"]),
+        (prompts.MATERIAL_GUIDE, taxonomy.MATERIAL_LABELS, taxonomy.MATERIAL_WORDS, ["material_categories", "primary_category"]),
     ):
-        assert all(f"- {rule}" in guide for rule in rules)
-        assert all(f"- {c}: {levels[c]}" in guide for c in taxonomy.CONFIDENCE_LEVELS)
+        assert all(x in guide for x in [*labels, *keys, "confidence", *taxonomy.CONFIDENCE_LEVELS, *[w for some in words.values() for w in some]])
 
 
 def test_taxonomy_is_whole():
