@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from paperloom.llm.common import flat, slices, staged, text_or_empty, with_packa
 TOP = 10
 LENGTH_SHARE = 90  # percent of a document's norm that its length makes
 SATURATION = 8
-LEAST_WIDTH, BUCKETS_PER_TERM = 256, 2
+LEAST_WIDTH, PLACES_PER_TERM = 1 << 16, 16
 BLOCK_ITEMS, BLOCK_TERMS = 1024, 1 << 16  # items and different terms of a block of queries
 FIRST_ROUND = 20_000  # documents whose scores give the first thresholds
 CELLS = 1 << 22  # of a working matrix
@@ -46,26 +47,37 @@ def terms_of(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> Iter
         yield np.unique(hashes[of_text[k] : of_text[k + 1]], return_counts=True)
 
 
-def sketch(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def sketch(hashes: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Coordinatewise maxima: each term falls to a place by its hash, a place keeps the highest level.
 
     The impact of a term rises with its count in the document, so the level of the largest count is the
-    level of the largest impact, whatever the statistics of the corpus are. The width is a power of four,
-    at least BUCKETS_PER_TERM places for each different term.
+    level of the largest impact, whatever the statistics of the corpus are. Returns the width, the places
+    that are not empty in ascending order, and their levels. The width is LEAST_WIDTH, or so many times
+    sixteen as long texts need for PLACES_PER_TERM places to each different term.
     """
     width = LEAST_WIDTH
-    while width < BUCKETS_PER_TERM * len(hashes):
-        width *= 4
-    out = np.zeros(width, np.uint8)
-    np.maximum.at(out, (hashes & np.uint64(width - 1)).astype(np.int64), levels(counts))
-    return out
+    while width < PLACES_PER_TERM * len(hashes):
+        width *= 16
+    places = (hashes & np.uint64(width - 1)).astype(np.uint32)
+    order = np.argsort(places, kind="stable")
+    places, made = places[order], levels(counts)[order]
+    first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if len(places) else np.zeros(0, np.int64)
+    return width, places[first], np.maximum.reduceat(made, first) if len(first) else made
+
+
+def _place_kind(width: int) -> str:
+    return "<u2" if width <= 1 << 16 else "<u4"
+
+
+NAMES = ["doc_id", "n", "width", "places", "levels", "terms", "counts"]
 
 
 def index(documents: DataFrame) -> DataFrame:
-    """``doc_id, n, width, sketch, terms, counts`` of every document: a table that serves any number of searches.
+    """``doc_id, n, width, places, levels, terms, counts`` of every document: a table that serves any number of searches.
 
-    ``n`` is the number of terms with repeats; ``terms`` has the 64-bit hashes of the different terms in
-    ascending order, ``counts`` how often each occurs. Nothing in it depends on other documents.
+    ``n`` is the number of terms with repeats; ``width``, ``places`` and ``levels`` are the sketch, 3 bytes for a
+    term as a rule; ``terms`` has the 64-bit hashes of the different terms in ascending order, ``counts`` how
+    often each occurs. Nothing in it depends on other documents.
     """
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,16 +86,16 @@ def index(documents: DataFrame) -> DataFrame:
             for low, high in slices(offsets):
                 rows = []
                 for hashes, counts in terms_of(data, offsets, low, high):
-                    made = sketch(hashes, counts)
-                    rows.append((int(counts.sum()), len(made), made.tobytes(), hashes.astype("<u8").tobytes(), counts.astype("<u4").tobytes()))
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    width, places, made = sketch(hashes, counts)
+                    rows.append((int(counts.sum()), width, places.astype(_place_kind(width)).tobytes(), made.tobytes(), hashes.astype("<u8").tobytes(), counts.astype("<u4").tobytes()))
+                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], names=["doc_id", "n", "width", "sketch", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], names=NAMES)
 
     with_package(documents.sparkSession)
     rows = documents.select("doc_id", text_or_empty().alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(of_batches, f"doc_id {kind}, n long, width int, sketch binary, terms binary, counts binary")
+    return rows.mapInArrow(of_batches, f"doc_id {kind}, n long, width long, places binary, levels binary, terms binary, counts binary")
 
 
 def norms(n: np.ndarray, docs: int, total: int) -> np.ndarray:
@@ -161,33 +173,48 @@ class _Best:
         self.top, self.floor, self.rows = top, max(1, floor), []
 
     def add(self, score: int, known: bool, doc_id) -> None:
-        self.rows.append((-score, not known, doc_id if known else 0))
-        if len(self.rows) >= 2 * self.top:
-            self.cut()
-
-    def cut(self) -> None:
-        self.rows = sorted(self.rows)[: self.top]
+        insort(self.rows, (-score, not known, doc_id if known else 0))
+        del self.rows[self.top :]
         if len(self.rows) == self.top:
             self.floor = max(self.floor, -self.rows[-1][0])
 
 
+class _Postings:
+    """For sketches of one width: which items look at a place, with the weights of their terms there."""
+
+    def __init__(self, block: Block, width: int):
+        at = (block.terms & np.uint64(width - 1)).astype(np.int64)
+        used, column = np.unique(at, return_inverse=True)
+        pairs = [(column[places], np.full(len(places), item), block.weights[places]) for item, places in enumerate(block.places)]
+        columns, items, weights = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+        order = np.argsort(columns, kind="stable")
+        self.items, self.weights = items[order], weights[order].astype(np.float64)
+        self.begin = np.searchsorted(columns[order], np.arange(len(used) + 1))
+        self.column = np.full(width, -1, np.int32)
+        self.column[used] = np.arange(len(used))
+
+    def bounds(self, sizes: np.ndarray, places: np.ndarray, made: np.ndarray, m: np.ndarray, n_items: int) -> np.ndarray:
+        """Upper bounds of the scores of documents (rows) for items (columns); ``sizes`` are those of the sketches."""
+        column = self.column[places]
+        here = np.flatnonzero(column >= 0)
+        row, column = np.repeat(np.arange(len(sizes)), sizes)[here], column[here]
+        impact = shares(_LEVELS[made[here]], m[row])
+        each = self.begin[column + 1] - self.begin[column]
+        entry = np.arange(each.sum()) + np.repeat(self.begin[column] - np.cumsum(each) + each, each)
+        cell = np.repeat(row, each) * n_items + self.items[entry]
+        total = np.bincount(cell, np.repeat(impact, each) * self.weights[entry], len(sizes) * n_items)
+        return total.reshape(len(sizes), n_items)
+
+
 def _search(block: Block, top: int, floors: list[int]):
     """The best documents of a task for each item of the block.
 
-    For documents of one width the levels at the places of the block's terms, times the terms' weights, are
-    one matrix product: upper bounds of all scores. Each item takes the documents by descending bound and
-    computes exact scores, until the bound is below the score of its ``top``-th best. Bounds and scores are
-    whole numbers below 2**53, so both are exact as doubles.
+    The levels at the places of an item's terms, turned into impacts and weighted, are an upper bound of a
+    document's score; those of many documents for all items are looked up together. Each item takes the
+    documents by descending bound and computes exact scores, until the bound is below the score of its
+    ``top``-th best. Bounds and scores are whole numbers below 2**53, so both are exact as doubles.
     """
-    weights = block.weights
-
-    def by_width(width: int) -> tuple[np.ndarray, np.ndarray]:
-        at = (block.terms & np.uint64(width - 1)).astype(np.int64)
-        used, column = np.unique(at, return_inverse=True)
-        table = np.zeros((len(used), len(block.places)))
-        for k, places in enumerate(block.places):
-            np.add.at(table[:, k], column[places], weights[places])
-        return used, table
+    weights, n_items = block.weights, len(block.places)
 
     def exact(item: int, terms: np.ndarray, counts: np.ndarray, m: int) -> int:
         places = block.places[item]
@@ -198,36 +225,34 @@ def _search(block: Block, top: int, floors: list[int]):
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [_Best(top, f) for f in floors]
-        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        postings: dict[int, _Postings] = {}
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
             ids, n, widths = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            sketches, terms, counts = batch.column(3), batch.column(4), batch.column(5)
+            (places, place_at), (made, made_at), (terms, term_at), (counts, count_at) = (flat(batch.column(k)) for k in (3, 4, 5, 6))
             for width in np.unique(widths[n > 0]).tolist():
-                if width not in tables:
-                    tables[width] = by_width(width)
-                used, table = tables[width]
+                if width not in postings:
+                    postings[width] = _Postings(block, width)
                 here = np.flatnonzero((widths == width) & (n > 0))
-                step = max(1, CELLS // max(width, len(used), len(best)))
+                step = max(1, CELLS // n_items)
                 for part in (here[k : k + step] for k in range(0, len(here), step)):
-                    made = np.frombuffer(b"".join(sketches.take(pa.array(part)).to_pylist()), np.uint8).reshape(-1, width)[:, used]
                     m = norms(n[part], block.docs, block.total)
-                    rows, columns = np.nonzero(made)
-                    impacts = np.zeros(made.shape)
-                    impacts[rows, columns] = shares(_LEVELS[made[rows, columns]], m[rows])
-                    bounds = impacts @ table
-                    for item, found in enumerate(best):
-                        column = bounds[:, item]
-                        for k in _descending(column, found):
+                    at = np.concatenate([places[place_at[r] : place_at[r + 1]] for r in part]).view(_place_kind(width))
+                    level = np.concatenate([made[made_at[r] : made_at[r + 1]] for r in part])
+                    bounds = postings[width].bounds(made_at[part + 1] - made_at[part], at, level, m, n_items)
+                    open_ = (bounds >= np.array([b.floor for b in best])).any(0)
+                    for item in np.flatnonzero(open_).tolist():
+                        found = best[item]
+                        for k in _descending(bounds[:, item], found):
                             row = int(part[k])
-                            score = exact(item, np.frombuffer(terms[row].as_buffer(), "<u8"), np.frombuffer(counts[row].as_buffer(), "<u4"), int(m[k]))
+                            mine, times = terms[term_at[row] : term_at[row + 1]].view("<u8"), counts[count_at[row] : count_at[row + 1]].view("<u4")
+                            score = exact(item, mine, times, int(m[k]))
                             if score >= found.floor:
                                 found.add(score, ids[row] is not None, ids[row])
-                        found.cut()
         if kind is None:
             return
-        rows = [(block.numbers[k], -s, None if missing else i) for k, b in enumerate(best) for s, missing, i in sorted(b.rows)[:top]]
+        rows = [(block.numbers[k], -s, None if missing else i) for k, b in enumerate(best) for s, missing, i in b.rows]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64())],
             names=["item", "doc_id", "score"],

@@ -75,39 +75,49 @@ def test_levels_never_fall_below_the_count():
 
 def test_bounds_hold_and_a_wide_text_has_a_wide_sketch():
     rng = np.random.default_rng(1)
-    for size in (1, 100, 5000):
+    for size in (1, 100, 5000, 300_000):
         hashes = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
         counts = rng.integers(1, 5000, len(hashes))
-        made = lexical.sketch(hashes, counts)
-        assert len(made) >= 2 * len(hashes)
-        assert (lexical._LEVELS[made[(hashes & np.uint64(len(made) - 1)).astype(int)]] >= counts).all()
+        width, places, made = lexical.sketch(hashes, counts)
+        assert width >= 16 * len(hashes) and (np.diff(places.astype(np.int64)) > 0).all()
+        at = np.searchsorted(places, (hashes & np.uint64(width - 1)).astype(np.uint32))
+        assert (lexical._LEVELS[made[at]] >= counts).all()
+        assert made.max() == lexical.levels(counts).max()
 
 
-def test_few_documents_are_scored(spark):
-    """Documents whose bound is below the threshold are not looked at."""
+def rows_and_block(documents, item, weight):
     import pyarrow as pa
 
+    data, offsets = lexical.flat(pa.array([t for _, t in documents]))
+    rows = [(int(c.sum()), *lexical.sketch(h, c), h, c) for h, c in lexical.terms_of(data, offsets, 0, len(documents))]
+    block = next(lexical.blocks([(0, item)]))
+    block = lexical.Block(block.numbers, block.terms, block.places, np.full(len(block.terms), weight), len(documents), sum(r[0] for r in rows))
+    columns = [
+        pa.array(range(len(rows))), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]),
+        pa.array([r[2].astype(lexical._place_kind(r[1])).tobytes() for r in rows]), pa.array([r[3].tobytes() for r in rows]),
+        pa.array([r[4].tobytes() for r in rows]), pa.array([r[5].astype("<u4").tobytes() for r in rows]),
+    ]
+    return rows, block, pa.RecordBatch.from_arrays(columns, names=lexical.NAMES)
+
+
+def test_few_documents_are_scored(monkeypatch):
+    """Documents whose bound is below the threshold are not looked at, and crowded sketches lose nothing."""
     rng = random.Random(4)
     documents = corpus(rng, 3000, 2000)
-    data, offsets = lexical.flat(pa.array([t for _, t in documents]))
-    rows = [(h, c, lexical.sketch(h, c)) for h, c in lexical.terms_of(data, offsets, 0, len(documents))]
-    block = next(lexical.blocks([(0, documents[-1][1][:60] + " w1500 w1700 w1900")]))
-    block = lexical.Block(block.numbers, block.terms, block.places, np.full(len(block.terms), 5000), 3000, 10**6)
-    batch = pa.RecordBatch.from_arrays(
-        [
-            pa.array(range(len(rows))), pa.array([int(c.sum()) for _, c, _ in rows]), pa.array([len(s) for *_, s in rows], pa.int32()),
-            pa.array([s.tobytes() for *_, s in rows]), pa.array([h.tobytes() for h, *_ in rows]), pa.array([c.astype("<u4").tobytes() for _, c, _ in rows]),
-        ],
-        names=["doc_id", "n", "width", "sketch", "terms", "counts"],
-    )
-    scored = []
-    real = lexical._Best.add
-    lexical._Best.add = lambda self, *a: (scored.append(a), real(self, *a))[1]
-    try:
-        out = next(lexical._search(block, 10, [1])(iter([batch])))
-    finally:
-        lexical._Best.add = real
-    assert out.num_rows == 10 and len(scored) < 300
+    item = documents[-1][1][:60] + " w1500 w1700 w1900"
+    expected = None
+    for width, most in ((1 << 16, 60), (64, 3000)):
+        monkeypatch.setattr(lexical, "LEAST_WIDTH", width)
+        monkeypatch.setattr(lexical, "PLACES_PER_TERM", 0 if width == 64 else 16)
+        _, block, batch = rows_and_block(documents, item, 5000)
+        scored = []
+        monkeypatch.setattr(lexical, "_descending", lambda b, f, real=_real_descending: (scored.append(k) or k for k in real(b, f)))
+        out = next(lexical._search(block, 10, [1])(iter([batch.slice(k, 500) for k in range(0, 3000, 500)])))
+        expected = expected or out.to_pydict()
+        assert out.to_pydict() == expected and out.num_rows == 10 and len(scored) <= most
+
+
+_real_descending = lexical._descending
 
 
 def test_ties_nulls_and_repeats(spark):
