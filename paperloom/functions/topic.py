@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import taxonomy
+from paperloom.functions.phrases import WORD, Phrase, in_the_book, pattern_of, phrases_found
 
 TOPIC_FIELDS = ["article_title", "abstract", "author_keywords", "keywords_plus"]
 
-# Letters, digits and underscore of any script make up a word.
-WORD = r"[\p{L}\p{N}_]"
 
-
-def term_pattern(term: str) -> str:
-    """A term as a pattern: blanks match any white space, a trailing star any word ending."""
-    stem = term.removesuffix("*")
-    words = r"\s+".join(re.escape(w) for w in stem.split())
-    return words + (f"{WORD}*" if term.endswith("*") else "")
+def term_phrase(term: str) -> Phrase:
+    """A term: blanks match any white space, a trailing star any word ending."""
+    return Phrase(term.removesuffix("*"), any_ending=term.endswith("*"))
 
 
 def group_pattern(terms: Sequence[str]) -> str:
-    """Any of the terms, whole words only, in any letter case."""
-    return rf"(?iu)(?<!{WORD})(?:{'|'.join(term_pattern(t) for t in terms)})(?!{WORD})"
+    """Any of the terms, whole words only, in any letter case, as a regular expression."""
+    return pattern_of([term_phrase(t) for t in terms])
 
 
 def topic_text(df: DataFrame, fields: Sequence[str]) -> Column:
@@ -35,12 +30,14 @@ def topic_text(df: DataFrame, fields: Sequence[str]) -> Column:
 
 
 def topic_match(text: Column, all_of: Sequence[Sequence[str]], none_of: Sequence[Sequence[str]] = ()) -> Column:
-    """Every group of ``all_of`` has a hit, no group of ``none_of`` has one; tested left to right."""
+    """Every group of ``all_of`` has a hit, no group of ``none_of`` has one; one pass finds all."""
+    groups = [[term_phrase(t) for t in terms] for terms in (*all_of, *none_of)]
+    listed = [k for k, group in enumerate(groups) if in_the_book(group)]
+    found = phrases_found(text, [groups[k] for k in listed])
     match = F.lit(True)
-    for terms in all_of:
-        match = match & text.rlike(group_pattern(terms))
-    for terms in none_of:
-        match = match & ~text.rlike(group_pattern(terms))
+    for k, group in enumerate(groups):
+        hit = F.size(found[listed.index(k)]) > 0 if k in listed else F.coalesce(text.rlike(pattern_of(group)), F.lit(False))
+        match = match & (hit if k < len(all_of) else ~hit)
     return match
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+from paperloom import taxonomy
+from paperloom.plans.sample_tables import WORDED_CATEGORIES, WORDED_TITLES
+
 _PAPERS = r"""
 items AS (
   SELECT l_orderkey, min(p_brand) AS brand, min(p_type) AS main_type, list_sort(list(DISTINCT p_type)) AS types,
@@ -199,6 +204,55 @@ def _group(terms: str) -> str:
 
 
 _ANY = r"[\p{L}\p{N}_]*"
+_W = r"[\p{L}\p{N}_]"
+_NOT_W = r"[^\p{L}\p{N}_]"
+
+
+def _topic(terms: list[str]) -> str:
+    """Whether one of the real search terms stands in the body."""
+    return _group("|".join(re.sub(r"\s+", r"[[:space:]]+", t.removesuffix("*")) + (_ANY if t.endswith("*") else "") for t in terms))
+
+
+def _words(words: list[str], text: str) -> str:
+    """How often words of a real list stand in a text whose other characters are all doubled, so that each of
+    two words beside each other has a border of its own."""
+    parts = []
+    for word in words:
+        plain = word == word.lower()
+        stem = word[:-1] if re.search(r"[^sui]s$", word) else word
+        stem = "[[:space:]]+".join(re.sub(r"([^A-Za-z0-9])", r"[\1][\1]", w) for w in stem.split())
+        parts.append(f"(?i:{stem}){_W}*" if plain else f"{stem}s?(?:{_NOT_W}|$)")
+    return f"len(regexp_extract_all({text}, '(?:^|{_NOT_W})(?:{'|'.join(parts)})'))"
+
+
+def _lexicon(lexicon: dict[str, list[str]], fallback: str, labels: str, primary: str, confidence: str) -> str:
+    """Labels by the real word lists."""
+    names = list(lexicon)
+    quoted = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    counts = "[" + ", ".join(_words(lexicon[n], "doubled") for n in names) + "]"
+    everything = [w for words in lexicon.values() for w in words]
+    return f"""
+  SELECT *, CASE WHEN n = 0 THEN '["{fallback}"]' ELSE to_json(list_filter({quoted}, lambda x, i: h[i] > 0))::VARCHAR END AS {labels},
+    CASE WHEN n = 0 THEN '{fallback}' ELSE {quoted}[list_position(h, list_max(h))] END AS {primary},
+    CASE WHEN n = 0 THEN 'low' WHEN titled > 0 THEN 'high' ELSE 'medium' END AS {confidence}
+  FROM (SELECT *, list_sum(h) AS n FROM (
+    SELECT *, {counts} AS h, {_words(everything, "doubled_title")} AS titled FROM doubled))"""
+
+
+_TITLES = "[" + ", ".join(f"'{t}'" for t in WORDED_TITLES) + "]"
+_CATEGORIES = "[" + ", ".join("NULL" if c is None else f"'{c}'" for c in WORDED_CATEGORIES) + "]"
+_WORDED = rf""",
+worded AS (
+  SELECT paper_id, {_TITLES}[paper_id % {len(WORDED_TITLES)} + 1] AS article_title, abstract,
+         {_CATEGORIES}[paper_id % {len(WORDED_CATEGORIES)} + 1] AS wos_category
+  FROM docs
+),
+bodies AS (SELECT *, concat_ws(' | ', article_title, abstract) AS body FROM worded),
+doubled AS (
+  SELECT *, regexp_replace(body, '({_NOT_W})', '\1\1', 'g') AS doubled, regexp_replace(article_title, '({_NOT_W})', '\1\1', 'g') AS doubled_title
+  FROM bodies
+)"""
+_NAMES = sorted([w for words in taxonomy.METHOD_WORDS.values() for w in words if w != w.lower()], key=len, reverse=True)
 _RELEVANCE = "CAST(CASE WHEN contains(prompt, 'license') THEN 1 ELSE 0 END AS INTEGER)"
 _SCORED = f"""
 SELECT paper_id, coalesce(l.quality, {_RELEVANCE})::INTEGER AS is_relevant
@@ -481,33 +535,36 @@ SQL: dict[str, str] = {
         FROM lists"""
     ),
     "topic_filter_default": _docs(
-        """SELECT paper_id, CASE paper_id % 8 WHEN 3 THEN 'Rule-based text mining of materials science literature with machine learning'
-            ELSE 'Collecting material data of thermoelectric Bi2Te3 with large language models' END AS article_title
-        FROM docs WHERE paper_id % 8 IN (3, 4) AND paper_id % 3 <> 0"""
+        f"""{_WORDED}
+        SELECT paper_id, article_title FROM bodies
+        WHERE {" AND ".join(_topic(terms) for terms in taxonomy.TOPIC_ALL_OF)} AND NOT {_topic(taxonomy.TOPIC_NONE_OF[0])}
+          AND NOT coalesce(list_contains(list_transform(string_split(wos_category, ';'), lambda c: lower(trim(c))),
+                                         '{taxonomy.TOPIC_EXCLUDED_CATEGORIES[0].lower()}'), false)"""
     ),
     "material_words": _docs(
-        """SELECT paper_id,
-          ['["Nanoparticles","Photocatalytic Materials"]', '["2D Materials"]', '["MOFs (Metal-Organic Frameworks)"]', '["Other Materials"]',
-           '["Thermoelectric Materials"]', '["Biomaterials"]', '["Other Materials"]', '["Other Materials"]'][paper_id % 8 + 1] AS material_categories,
-          ['Nanoparticles', '2D Materials', 'MOFs (Metal-Organic Frameworks)', 'Other Materials',
-           'Thermoelectric Materials', 'Biomaterials', 'Other Materials', 'Other Materials'][paper_id % 8 + 1] AS primary_material_category,
-          CASE WHEN paper_id % 8 IN (3, 6, 7) THEN 'low' ELSE 'high' END AS material_confidence
-        FROM docs"""
+        f"""{_WORDED}
+        SELECT paper_id, material_categories, primary_material_category, material_confidence
+        FROM ({_lexicon(taxonomy.MATERIAL_WORDS, taxonomy.MATERIAL_FALLBACK, "material_categories", "primary_material_category", "material_confidence")})"""
     ),
     "method_words": _docs(
-        """SELECT paper_id,
-          CASE WHEN paper_id % 8 IN (1, 2) THEN 'Large Language Models (LLMs)' WHEN paper_id % 8 = 3 THEN 'Rule-Based & Hybrid'
-               ELSE 'Other/Unspecified' END AS model_primary_category,
-          CASE paper_id % 8 WHEN 1 THEN '["GPT-4"]' WHEN 2 THEN '["MatBERT","BiLSTM"]' ELSE '[]' END AS model_specific_models,
-          CASE paper_id % 8 WHEN 2 THEN '["fine-tuned","pipeline"]' ELSE '[]' END AS model_secondary_tags,
-          CASE WHEN paper_id % 8 IN (1, 2, 3) THEN 'high' ELSE 'low' END AS model_confidence
-        FROM docs"""
+        f"""{_WORDED}
+        SELECT paper_id, model_primary_category, model_confidence,
+          '[' || array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(doubled,
+              '(?:^|{_NOT_W})({"|".join(re.sub(r"([^A-Za-z0-9])", r"[\1][\1]", n) for n in _NAMES)})s?(?:{_NOT_W}|$)', 1),
+              lambda x: regexp_replace(x, '({_NOT_W}){_NOT_W}', '\\1', 'g')),
+            lambda x, i: list_position(list_transform(regexp_extract_all(doubled,
+              '(?:^|{_NOT_W})({"|".join(re.sub(r"([^A-Za-z0-9])", r"[\1][\1]", n) for n in _NAMES)})s?(?:{_NOT_W}|$)', 1),
+              lambda y: regexp_replace(y, '({_NOT_W}){_NOT_W}', '\\1', 'g')), x) = i),
+            lambda x: '"' || x || '"'), ',') || ']' AS model_specific_models,
+          to_json(list_filter({taxonomy.METHOD_TAGS}, lambda t: contains(lower(body), t)))::VARCHAR AS model_secondary_tags
+        FROM ({_lexicon(taxonomy.METHOD_WORDS, taxonomy.METHOD_FALLBACK, "labels", "model_primary_category", "model_confidence")})"""
     ),
     "classify_methods": _docs(
-        """SELECT paper_id,
-          CASE WHEN paper_id % 8 IN (1, 2) THEN 'Large Language Models (LLMs)' ELSE 'Rule-Based & Hybrid' END AS model_primary_category,
-          CASE paper_id % 8 WHEN 1 THEN '["GPT-4"]' ELSE '[]' END AS model_specific_models, 'medium' AS model_confidence
-        FROM docs"""
+        f"""{_WORDED}
+        SELECT paper_id, CASE WHEN contains(body, 'GPT') OR contains(body, 'BERT') THEN 'Large Language Models (LLMs)' ELSE 'Rule-Based & Hybrid' END
+            AS model_primary_category,
+          CASE WHEN contains(body, 'GPT') THEN '["GPT-4"]' ELSE '[]' END AS model_specific_models, 'medium' AS model_confidence
+        FROM bodies"""
     ),
     "render_prompt": _docs(
         "SELECT paper_id, prompt || chr(10) || chr(10) || 'Answer with one digit.' AS prompt FROM prompts"

@@ -125,7 +125,7 @@ def method_replies(papers: DataFrame) -> DataFrame:
     return _replies(known, body, F.concat(first, F.lit("}")), null_list, F.col("model_specific_models"))
 
 
-# Titles with words of the real lists; document ``i`` carries title ``i % 8``.
+# Titles with words of the real lists, put before the documents' whole texts; document ``i`` carries title ``i % 8``.
 WORDED_TITLES = [
     "Nanoparticle photocatalysts and a quantum dot",
     "Automated extraction of graphene and MoS2 synthesis with GPT-4",
@@ -140,13 +140,13 @@ WORDED_CATEGORIES = ["Materials Science; Health Care Sciences & Services", "Mate
 
 
 def worded_documents(documents: DataFrame) -> DataFrame:
-    """Documents as papers whose title holds indicator and search words, with an export category."""
+    """Documents as papers whose title holds indicator and search words, whose abstract is the whole text, with an export category."""
 
     def pick(values: list, shift: int = 0) -> Column:
         listed = F.array(*[F.lit(v).cast("string") for v in values])
         return F.element_at(listed, ((F.col("paper_id") + shift) % len(values) + 1).cast("int"))
 
-    return documents.select("paper_id", pick(WORDED_TITLES).alias("article_title"), pick(WORDED_CATEGORIES).alias("wos_category"))
+    return documents.select("paper_id", pick(WORDED_TITLES).alias("article_title"), "abstract", pick(WORDED_CATEGORIES).alias("wos_category"))
 
 
 class SampleTables:
