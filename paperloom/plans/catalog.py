@@ -252,6 +252,10 @@ def method_report_text(t: SampleTables) -> DataFrame:
     return _numbered(report_text.method_lines(reports.method_report(t.papers)))
 
 
+def summary_report_text(t: SampleTables) -> DataFrame:
+    return _numbered(report_text.summary_lines(reports.summary_report(_dated(t)), t.papers.columns))
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
     """Lines with their number; a report is short whatever the table."""
     return lines.select(F.row_number().over(Window.orderBy("position")).cast("bigint").alias("line_no"), "line")
@@ -443,7 +447,7 @@ QUERIES: dict[str, Callable[[SampleTables], DataFrame]] = {
         others_collapse, top_journals, top_materials, method_material_crosstab, llm_total,
         basic_stats, yearly_counts, yearly_growth, journal_growth, recent_share, recent_years, llm_by_year,
         llm_share_by_year, llm_flags, trend_curve,
-        summary_report, material_report, method_report, material_report_text, method_report_text,
+        summary_report, material_report, method_report, material_report_text, method_report_text, summary_report_text,
         parse_replies, parse_method_replies, parse_chat_turns, binary_decision, llm_share_from_replies,
         scatter_results, resume_pending, resume_merge, topic_filter, topic_filter_default, lexicon_tags, material_words, method_words, classify_methods, render_prompt,
         score_batch, scoring_usage, classify_batch, resumable_scoring, incremental_scoring,

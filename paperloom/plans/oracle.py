@@ -258,6 +258,26 @@ _SCORED = f"""
 SELECT paper_id, coalesce(l.quality, {_RELEVANCE})::INTEGER AS is_relevant
 FROM prompts LEFT JOIN labels l ON l.doc_id = paper_id"""
 
+_SUMMARY_TABLE = f""", t AS (SELECT count(*) AS c, min(year) AS y0, max(year) AS y1,
+                    count(*) FILTER (WHERE {_llm("method")}) AS llm FROM dated),
+report AS (
+        SELECT 'basic' AS section, 'papers' AS item, c::DOUBLE AS n, NULL::DOUBLE AS pct FROM t
+        UNION ALL SELECT 'basic', 'first_year', y0, NULL FROM t
+        UNION ALL SELECT 'basic', 'last_year', y1, NULL FROM t
+        UNION ALL SELECT 'basic', 'papers_per_year', c / (y1 - y0 + 1), NULL FROM t
+        UNION ALL SELECT 'recent', 'last_years', count(*), count(*) / any_value(c) * 100 FROM dated, t WHERE year >= y1 - 4
+        UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*), NULL FROM dated, t WHERE year >= y1 - 4 GROUP BY year
+        UNION ALL SELECT 'llm_papers', '', llm, llm / c * 100 FROM t
+        UNION ALL (SELECT 'method', method, count(*), count(*) / any_value(c) * 100 FROM dated, t
+                   WHERE method IS NOT NULL GROUP BY method ORDER BY count(*) DESC, method LIMIT 10)
+        UNION ALL (SELECT 'material', material, count(*), count(*) / any_value(c) * 100 FROM dated, t
+                   WHERE material IS NOT NULL GROUP BY material ORDER BY count(*) DESC, material LIMIT 10)
+        UNION ALL SELECT 'method_confidence', method_confidence, count(*), count(*) / any_value(c) * 100 FROM dated, t
+                  WHERE method_confidence IS NOT NULL GROUP BY method_confidence
+        UNION ALL SELECT 'material_confidence', material_confidence, count(*), count(*) / any_value(c) * 100 FROM dated, t
+                  WHERE material_confidence IS NOT NULL GROUP BY material_confidence
+)"""
+
 SQL: dict[str, str] = {
     "csv_na_normalise": _papers(
         "SELECT paper_id, CASE WHEN publication_year <> 'n/a' THEN publication_year END AS publication_year, journal FROM papers"
@@ -433,25 +453,7 @@ SQL: dict[str, str] = {
             (bend[j + 1] * r * r * r + bend[j + 2] * l * l * l) / 6
             + (v[j + 1] - bend[j + 1] / 6) * r + (v[j + 2] - bend[j + 2] / 6) * l, 0), 6) AS y FROM q"""
     ),
-    "summary_report": _papers(
-        f""", t AS (SELECT count(*) AS c, min(year) AS y0, max(year) AS y1,
-                    count(*) FILTER (WHERE {_llm("method")}) AS llm FROM dated)
-        SELECT 'basic' AS section, 'papers' AS item, c::DOUBLE AS n, NULL::DOUBLE AS pct FROM t
-        UNION ALL SELECT 'basic', 'first_year', y0, NULL FROM t
-        UNION ALL SELECT 'basic', 'last_year', y1, NULL FROM t
-        UNION ALL SELECT 'basic', 'papers_per_year', c / (y1 - y0 + 1), NULL FROM t
-        UNION ALL SELECT 'recent', 'last_years', count(*), count(*) / any_value(c) * 100 FROM dated, t WHERE year >= y1 - 4
-        UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*), NULL FROM dated, t WHERE year >= y1 - 4 GROUP BY year
-        UNION ALL SELECT 'llm_papers', '', llm, llm / c * 100 FROM t
-        UNION ALL (SELECT 'method', method, count(*), count(*) / any_value(c) * 100 FROM dated, t
-                   WHERE method IS NOT NULL GROUP BY method ORDER BY count(*) DESC, method LIMIT 10)
-        UNION ALL (SELECT 'material', material, count(*), count(*) / any_value(c) * 100 FROM dated, t
-                   WHERE material IS NOT NULL GROUP BY material ORDER BY count(*) DESC, material LIMIT 10)
-        UNION ALL SELECT 'method_confidence', method_confidence, count(*), count(*) / any_value(c) * 100 FROM dated, t
-                  WHERE method_confidence IS NOT NULL GROUP BY method_confidence
-        UNION ALL SELECT 'material_confidence', material_confidence, count(*), count(*) / any_value(c) * 100 FROM dated, t
-                  WHERE material_confidence IS NOT NULL GROUP BY material_confidence"""
-    ),
+    "summary_report": _papers(f"{_SUMMARY_TABLE} SELECT * FROM report"),
     "material_report": _papers(f", {_MATERIAL_TABLE} SELECT * FROM report"),
     "method_report": _papers(
         f" SELECT * FROM ({_METHOD_TABLE})"
@@ -491,6 +493,26 @@ SQL: dict[str, str] = {
             'CONFIDENCE DISTRIBUTION', 'TOP SPECIFIC MODELS (mentioned at least 3 times)', 'SECONDARY TAG DISTRIBUTION'][i] FROM range(1, 6) r(i))
         SELECT row_number() OVER (ORDER BY number, rank, item) AS line_no, line FROM lines"""
     ),
+    "summary_report_text": _papers(
+        f"""{_SUMMARY_TABLE},
+        lines AS (
+          SELECT list_position(['basic', 'recent', 'year', 'method', 'llm_papers', 'material', 'method_confidence', 'material_confidence'], section) AS number,
+            CASE WHEN section = 'basic' THEN list_position(['papers', 'first_year', 'papers_per_year'], item)::DOUBLE
+                 WHEN section = 'year' THEN -item::DOUBLE ELSE -n END AS rank, item,
+            CASE WHEN item = 'papers' AND section = 'basic' THEN printf('Total Papers: %d', n::BIGINT)
+                 WHEN item = 'first_year' THEN printf('Year Range: %d - %d', n::BIGINT, (SELECT n::BIGINT FROM report WHERE item = 'last_year'))
+                 WHEN item = 'papers_per_year' THEN printf('Average Papers per Year: %.1f', n)
+                 WHEN section = 'recent' THEN printf('Papers (Last 5 Years): %d (%.1f%%)', n::BIGINT, pct)
+                 WHEN section = 'year' THEN printf('  %d: %d papers', item::DOUBLE::BIGINT, n::BIGINT)
+                 WHEN section = 'llm_papers' THEN printf('  Total LLM Papers: %d (%.1f%%)', n::BIGINT, pct)
+                 WHEN section IN ('method', 'material') THEN printf('  %-50s %4d (%5.1f%%)', item, n::BIGINT, pct)
+                 ELSE printf('  %s: %d (%.1f%%)', item, n::BIGINT, pct) END AS line
+          FROM report WHERE item <> 'last_year'
+          UNION ALL SELECT [0, 1, 2, 4, 6, 7, 8][i], '-infinity'::DOUBLE, '', ['MATERIALS DATA EXTRACTION LITERATURE ANALYSIS SUMMARY', '1. BASIC STATISTICS',
+            '2. RECENT GROWTH (Last 5 Years)', '3. MODEL CATEGORY DISTRIBUTION', '4. MATERIAL CATEGORY DISTRIBUTION',
+            '5. CLASSIFICATION CONFIDENCE' || chr(10) || 'Model Classification:', 'Material Classification:'][i] FROM range(1, 8) r(i))
+        SELECT row_number() OVER (ORDER BY number, rank, item) AS line_no, line FROM lines"""
+    ),
     "parse_replies": f"WITH {_MATERIAL_REPLIES}{_SHAPES} SELECT paper_id, {_MATERIAL_RECORD} FROM parsed",
     "parse_method_replies": f"WITH {_METHOD_REPLIES}{_SHAPES} SELECT paper_id, {_METHOD_RECORD} FROM parsed",
     "parse_chat_turns": f"""WITH turns AS (SELECT conv_id, turn,
