@@ -48,30 +48,39 @@ WORD_STEPS = (
 )
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-MOST_KEPT = 400_000
+MOST_KEPT = 1_000_000  # words and pieces that a worker remembers, some 170 bytes each
 
 _encoders: dict[bytes, Encoder] = {}
 
 
 class _Kept(dict):
-    """Values that are made when they are first asked for."""
+    """Values that are made when they are first asked for. Of those not asked for of late the older ones go."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable[[bytes], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
-    def __missing__(self, key):
-        self[key] = value = self.make(key)
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def trim(self, most: int) -> None:
+        if len(self) > most // 2:
+            self.older = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library.
 
     Tokenizers with the steps WORD_STEPS never join what ASCII white space separates, and in words of ASCII
     and Latin-1 letters they cut at fixed places. So a text has the ids of its words one after the other,
-    such a word those of its pieces, and the library's model reads every distinct piece once (up to MOST_KEPT
-    words and pieces are kept). Other words go through the whole tokenizer, as do whole texts of other tokenizers.
+    such a word those of its pieces, and the library's model reads every distinct piece once (words and pieces
+    share one table, of MOST_KEPT entries at most). Other words go through the whole tokenizer, as do whole
+    texts of other tokenizers.
     """
 
     def __init__(self, definition: bytes):
@@ -80,22 +89,30 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(definition)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         steps = json.loads(definition)
         self.by_words = (steps["normalizer"], steps["pre_tokenizer"]) == WORD_STEPS
-        self.special = [t["content"] for t in steps["added_tokens"]]
+        special = [t["content"] for t in steps["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.letters_only = any(s.isalpha() for s in special)
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
         self.words: dict[bytes, bytes] = _Kept(self._word)
-        self.pieces: dict[str, bytes] = _Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))]
-        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
+        tokens = self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))
+        return array(self.code, [t.id for t in tokens]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha() and not self.letters_only:  # of bytes: ASCII letters, one piece
+            small = word.lower()
+            return self._piece(word.decode()) if small == word else self.words[small]
         text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+        if PLAIN.fullmatch(text) and not self.special.search(text):
+            pieces = PIECES.findall(text.lower())
+            if len(pieces) == 1 and pieces[0] == text:
+                return self._piece(text)
+            return b"".join([self.words[p.encode()] for p in pieces])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, texts: list[str | None], end: int = END) -> list[bytes]:
@@ -106,10 +123,7 @@ class Encoder:
         for text in texts:
             words = (text or "").encode("utf-8", "replace").split()
             out.append(b"".join(map(self.words.__getitem__, words)) + last)
-            if len(self.words) > MOST_KEPT:
-                self.words.clear()
-            if len(self.pieces) > MOST_KEPT:
-                self.pieces.clear()
+            self.words.trim(MOST_KEPT)
         return out
 
 
@@ -155,8 +169,9 @@ def _counts(ids: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, open_ = np.zeros(vocabulary, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(open_.decompress(blob), kind), minlength=vocabulary)
+            for k in range(0, batch.num_rows, 1024):
+                found = b"".join([open_.decompress(blob) for blob in batch.column(0).slice(k, 1024).to_pylist()])
+                total += np.bincount(np.frombuffer(found, kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
