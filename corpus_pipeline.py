@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import decontaminate, mixing, simhash, token_files, toxicity
-from paperloom.llm.common import staged, table, tokenizer_definition
+from paperloom.llm.common import drop_staged, staged, staged_folders, table, tokenizer_definition
 
 ORACLE_SQL = None  # the classifier, the alignment and the codes are beyond SQL
 
@@ -45,8 +45,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each but the last is written and read again."""
+    """All stages over ``documents``; the result of each but the last is written and read again.
+
+    What a stage has staged, its input too, is deleted once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = staged_folders()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_staged(spark, [f for f in staged_folders()[:-1] if f not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
