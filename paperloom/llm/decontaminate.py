@@ -1,4 +1,4 @@
-"""Benchmark decontamination: gapped word triples as seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: the rarer gapped word triples of items as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -71,17 +71,40 @@ def _triples(hashes: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
 
 
 def _seeds(parts: DataFrame) -> DataFrame:
-    """``part, seed``: all triples of the parts, of all shapes."""
+    """``part, place, seed``: all triples of the parts, of all shapes, and the words at which they begin."""
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, tokens = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            words = [np.frombuffer(t, "<u4").astype(np.uint64) for t in tokens]
-            seeds = [np.unique(np.concatenate([_triples(w, shape) for shape in SHAPES])) for w in words]
-            sizes = np.array([len(x) for x in seeds], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)), pa.array(signed(np.concatenate([*seeds, np.zeros(0, np.uint64)])))], names=["part", "seed"])
+            keys, places, seeds = [], [], []
+            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for found in (_triples(np.frombuffer(tokens, "<u4").astype(np.uint64), shape) for shape in SHAPES):
+                    keys.append(np.full(len(found), key, np.int64))
+                    places.append(np.arange(len(found), dtype=np.int32))
+                    seeds.append(found)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(np.concatenate([*places, np.zeros(0, np.int32)])),
+                    pa.array(signed(np.concatenate([*seeds, np.zeros(0, np.uint64)]))),
+                ],
+                names=["part", "place", "seed"],
+            )
+
+    return parts.select("part", "tokens").mapInArrow(of_batches, "part long, place int, seed long").distinct()
+
+
+def _rare(seeds: DataFrame, items: DataFrame, passages: DataFrame) -> DataFrame:
+    """``part, place, seed``: the seeds that are looked up. ``items`` has ``part, least``.
 
-    return parts.select("part", "tokens").mapInArrow(of_batches, "part long, seed long").distinct()
+    An alignment that counts begins seeds at ``least`` words of the item or more. If half of these are asked for
+    (``asked``), as many of the item's words as the other half may be passed over, and those where the seeds are
+    most common in the corpus are. What is left is hit ``asked`` times all the same.
+    """
+    counts = passages.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
+    known = seeds.join(counts, "seed")
+    common = known.groupBy("part", "place").agg(F.sum("n").alias("n")).join(items.select("part", "least", "asked"), "part")
+    order = Window.partitionBy("part").orderBy(F.desc("n"), "place")  # a row for each word of a part, SEGMENT at most
+    looked_up = common.withColumn("turn", F.row_number().over(order)).where(F.col("turn") > F.ceil("least") - F.col("asked"))
+    return known.join(looked_up.select("part", "place"), ["part", "place"]).select("part", "place", "seed")
 
 
 def _hits(hashes: np.ndarray, first: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,13 +123,13 @@ def _hits(hashes: np.ndarray, first: np.ndarray, bits: np.ndarray) -> tuple[np.n
 
 
 def _passages(documents: DataFrame, seeds: DataFrame, least: float) -> DataFrame:
-    """``doc_id, word, tokens, seeds, places``: the passages of documents in which seeds begin at ``least`` words or more."""
+    """``doc_id, word, tokens, seeds``: the passages of documents in which seeds begin at ``least`` words or more."""
     sent = bitmap(seeds.select("seed").union(seeds.select(F.shiftrightunsigned("seed", 32))), "seed", FILTER_BITS)
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            rows, at, tokens, found, where = [], [], [], [], []
+            rows, at, tokens, found = [], [], [], []
             for low, hashes, first in _tokens(batch.column(1)):
                 places, grams, text = _hits(hashes, first, bits)
                 if not len(places):
@@ -128,19 +151,27 @@ def _passages(documents: DataFrame, seeds: DataFrame, least: float) -> DataFrame
                     rows.append(low + int(text[a]))
                     at.append(word)
                     tokens.append(hashes[begin:end].astype("<u4").tobytes())
-                    found.append(signed(grams[a:b]))
-                    where.append((places[a:b] - begin).astype(np.int32))
+                    found.append(signed(np.unique(grams[a:b])))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), pa.array(tokens, pa.binary()),
-                    pa.array(found, pa.list_(pa.int64())), pa.array(where, pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "word", "tokens", "seeds", "places"],
-            )
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), pa.array(tokens, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "word", "tokens", "seeds"],
+            )
 
     rows = documents.select("doc_id", F.col("text").cast("string"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(of_batches, f"doc_id {kind}, word long, tokens binary, seeds array<long>, places array<int>")
+    return rows.mapInArrow(of_batches, f"doc_id {kind}, word long, tokens binary, seeds array<long>")
+
+
+def places_met(item: bytes, passage: bytes) -> int:
+    """At how many words of a passage a seed of an item begins."""
+    a, b = np.frombuffer(item, "<u4").astype(np.uint64), np.frombuffer(passage, "<u4").astype(np.uint64)
+    wanted = np.unique(np.concatenate([_triples(a, shape) for shape in SHAPES]))
+    met = np.zeros(len(b), bool)
+    for shape in SHAPES:
+        triples = _triples(b, shape)
+        at = np.minimum(np.searchsorted(wanted, triples), len(wanted) - 1)
+        met[: len(triples)] |= wanted[at] == triples
+    return int(met.sum())
 
 
 def align(items: list[bytes], passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +208,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least_score: float = LEAST
     Words are compared in lower case without ASCII punctuation. Every three words of an item that stand within
     two edits of each other are a seed, and a document that reaches a score of 0.5 has some of them, however it
     was edited and however common its words are; see ``_least_places``. Documents are read in overlapping
-    passages; those with enough seeds of an item are aligned with it. From a ``least_score`` of 0.5 and 7 words
+    passages. Of an item only the rarer seeds are looked up, which still find each such passage (see ``_rare``), so
+    a phrase that many items and documents share brings no pairs; passages with enough seeds of an item are
+    aligned with it. From a ``least_score`` of 0.5 and 7 words
     on, the result is that of an alignment of all documents with all items. ``score`` is the alignment's score
     over that of an exact copy (items of more than SEGMENT words: the best of their parts), at least
     ``least_score``; ``word`` is where in the document it ends.
@@ -190,19 +223,21 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least_score: float = LEAST
     with_package(documents.sparkSession)
     parts = staged(_parts(benchmark, least_words).withColumn("part", F.xxhash64("item_id", "tokens")), "parts")
     seeds = staged(_seeds(parts), "seeds")
-    n = F.octet_length("tokens") / 4
-    shortest = parts.agg(F.min(n)).first()[0] or 0
-    passages = staged(_passages(documents, seeds, _least_places(shortest, least_score) - 1e-9).withColumn("passage", F.monotonically_increasing_id()), "passages")
-    met = passages.select("passage", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("place")))).join(seeds, "seed")
+    items = parts.withColumn("least", _least_places(F.octet_length("tokens") / 4, least_score) - 1e-9)
+    items = items.withColumn("asked", F.greatest(F.lit(1), F.ceil(F.ceil("least") / 2)))
+    shortest = items.agg(F.min("least")).first()[0] or 0.0
+    passages = staged(_passages(documents, seeds, shortest).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    met = passages.select("passage", F.explode("seeds").alias("seed")).join(_rare(seeds, items, passages), "seed")
     met = met.groupBy("passage", "part").agg(F.count_distinct("place").alias("places"))
-    items = parts.select("part", "item_id", F.col("tokens").alias("item"), (_least_places(n, least_score) - 1e-9).alias("least"))
-    pairs = met.join(items, "part").where("places >= least").drop("places", "least")
-    pairs = pairs.join(passages.select("passage", "doc_id", "word", "tokens"), "passage")
+    pairs = met.join(items.select("part", "item_id", F.col("tokens").alias("item"), "least", "asked"), "part").where("places >= asked")
+    pairs = pairs.select("passage", "item_id", "item", "least").join(passages.select("passage", "doc_id", "word", "tokens"), "passage")
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 some = batch.slice(k, 512)
+                enough = [places_met(i, p) >= n for i, p, n in zip(*(some.column(c).to_pylist() for c in (2, 3, 5)), strict=True)]
+                some = some.filter(pa.array(enough, pa.bool_()))
                 score, end = align(some.column(2).to_pylist(), some.column(3).to_pylist())
                 near = pa.array(np.flatnonzero(score >= least_score))
                 out = [some.column(0).take(near), some.column(1).take(near), pa.array(score).take(near)]
@@ -210,7 +245,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least_score: float = LEAST
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "item_id", "score", "word"])
 
     kinds = dict(pairs.dtypes)
-    found = pairs.select("doc_id", "item_id", "item", "tokens", "word").mapInArrow(
+    found = pairs.select("doc_id", "item_id", "item", "tokens", "word", "least").mapInArrow(
         scored, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, score double, word long"
     )
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "word")).alias("best"))

@@ -96,6 +96,26 @@ def test_heavily_edited_items_equal_alignment_of_all_with_all(spark):
     assert found == expected and len(found) > 100
 
 
+def test_a_phrase_that_all_share_brings_no_pairs(spark, monkeypatch):
+    """Items and documents that share six words only: no pair is aligned, and real leaks are still found."""
+    fresh = (f"v{k}" for k in range(10**6))
+    phrase = "which of the following best describes".split()
+    items = [[*phrase, *[next(fresh) for _ in range(14)]] for _ in range(150)]
+    texts = [" ".join([*[next(fresh) for _ in range(40)], *phrase, *[next(fresh) for _ in range(40)]]) for _ in range(1500)]
+    texts += [" ".join([next(fresh) if j in (9, 15) else w for j, w in enumerate(i)]) for i in items[:20]]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    parts = d._parts(benchmark, 8).withColumn("part", d.F.xxhash64("item_id", "tokens"))
+    seeds = d._seeds(parts)
+    looked_up = parts.withColumn("least", d._least_places(d.F.octet_length("tokens") / 4, 0.5)).withColumn("asked", d.F.lit(3))
+    passages = d._passages(documents, seeds, 1.0)
+    rare = d._rare(seeds, looked_up, passages)
+    common = {int(s) for shape in d.SHAPES for s in d.signed(d._triples(tokens(" ".join(phrase)).astype("uint64"), shape))}
+    assert common and rare.where(d.F.col("seed").isin(*common)).select("part", "place").distinct().groupBy("part").count().agg({"count": "max"}).first()[0] < 3
+    found = {(r.doc_id, r.item_id) for r in d.leaks(documents, benchmark).collect()}
+    assert found == {(1500 + k, k) for k in range(20)}
+
+
 def test_edge_cases(spark):
     docs = edge_cases.documents(spark)
     items = spark.createDataFrame([(1, "the same id TWICE one text of more"), (None, None), (2, ""), (None, "A text without an id it is read all the same"), (3, "word " * 100)], "item_id long, text string")
