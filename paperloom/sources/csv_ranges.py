@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from paperloom.sources.score_sink import store
 
 RANGE_BYTES = 64 << 20
-CHUNK = 4 << 20
+CHUNK = 4 << 20  # bytes read at a time
+HEADER_CHUNK = 64 << 10
 BATCH_BYTES = 4 << 20
 # Endings of compressed files, which are one range each.
 CODECS = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
@@ -57,7 +58,7 @@ def codec_of(path: str) -> str | None:
     return next((codec for ending, codec in CODECS.items() if path.lower().endswith(ending)), None)
 
 
-def lines(path: str, start: int = 0) -> Iterator[tuple[int, bytes]]:
+def lines(path: str, start: int = 0, chunk_bytes: int | None = None) -> Iterator[tuple[int, bytes]]:
     """Place and bytes of the lines of a file that begin at ``start`` or after it, without their line ends."""
     files, name = store(path)
     codec = codec_of(path)
@@ -67,7 +68,7 @@ def lines(path: str, start: int = 0) -> Iterator[tuple[int, bytes]]:
             stream.seek(start - 1)
             place, rest = start - 1, b""
         first = start > 0
-        while chunk := stream.read(CHUNK):
+        while chunk := stream.read(chunk_bytes or CHUNK):
             found = (rest + chunk).split(b"\n")
             rest = found.pop()
             for line in found:
@@ -92,10 +93,10 @@ def effect(path: str, start: int, end: int) -> tuple[bool, bool]:
     return outside, inside
 
 
-def records(path: str, start: int = 0, end: int | None = None, inside: bool = False) -> Iterator[bytes]:
+def records(path: str, start: int = 0, end: int | None = None, inside: bool = False, chunk_bytes: int | None = None) -> Iterator[bytes]:
     """The records that begin in a range, whole; empty lines are none."""
     skipping, waiting = inside, []
-    for place, line in lines(path, start):
+    for place, line in lines(path, start, chunk_bytes):
         if place == 0:
             line = line.removeprefix(MARK)
         if not inside and end is not None and place >= end:
@@ -139,7 +140,7 @@ def with_headers(files: DataFrame) -> DataFrame:
 
     def first_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [next(records(path), None) for path in batch["path"]]
+            found = [next(records(path, chunk_bytes=HEADER_CHUNK), None) for path in batch["path"]]
             batch["header"] = [None if r is None else json.dumps(column_names(r)) for r in found]
             yield batch
 
@@ -151,19 +152,21 @@ def _xor(one: Column, other: Column) -> Column:
     return one != other
 
 
-def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def _compressed() -> Column:
+    return F.coalesce(*[F.when(F.lower("path").endswith(ending), F.lit(True)) for ending in CODECS], F.lit(False))
+
+
+def ranges(files: DataFrame, n: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The files' ranges ``start`` to ``end`` with ``inside``, whether the range begins in a quoted cell.
 
     A range that ends alike however it begins fixes the state after it; one that swaps the states turns it
-    around. So the state is that of the last range that fixed it, turned by the number of swaps since.
+    around. So the state is that of the last range that fixed it, turned by the number of swaps since. Ranges are
+    looked through by ``n`` tasks.
     """
-    whole = F.lit(False)
-    for ending in CODECS:
-        whole = whole | F.lower("path").endswith(ending)
+    whole = _compressed()
     last = F.greatest(F.lit(0), F.col("length") - 1)
     starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last, F.lit(range_bytes).cast("long")))
     cut = files.withColumn("start", F.explode(starts)).withColumn("end", F.when(~whole, F.least(F.col("start") + range_bytes, F.col("length"))))
-    n = max(1, cut.count())
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,8 +186,7 @@ def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         .withColumn("since", F.col("swaps") - F.coalesce("fixed.at", F.lit(0)))
         .select("path", "start", _xor(F.coalesce("fixed.outside", F.lit(False)), F.col("since") % 2 == 1).alias("inside"))
     )
-    joined = cut.join(states, ["path", "start"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    return joined.repartition(n)
+    return cut.join(states, ["path", "start"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
 def read_csv_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -196,9 +198,12 @@ def read_csv_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
     """
     files = csv_files(spark, path)
     folders = [c for c in files.columns if c not in ("path", "length")]
-    known = with_headers(files)
+    known = with_headers(files).select("path", "header")
     headers = [json.loads(r.header) for r in known.select("header").distinct().orderBy("header").collect()]  # the different ones
-    cut = ranges(known, range_bytes)
+    # One task for each range; the listing has the lengths, no file is opened for them.
+    each = F.when(_compressed(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("length") / range_bytes)))
+    n = max(1, files.agg(F.sum(each)).first()[0] or 0)
+    cut = ranges(files, n, range_bytes).join(known, "path").repartition(n)
     types = dict(files.dtypes)
     carried = [f"{c}" for c in ("header", *folders)]
 
