@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.sources.score_sink import store
 
@@ -189,17 +190,20 @@ def ranges(files: DataFrame, n: int, range_bytes: int = RANGE_BYTES) -> DataFram
     return cut.join(states, ["path", "start"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def read_csv_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_csv_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, schema: T.StructType | None = None) -> DataFrame:
     """All records under a path or pattern as columns of text, by the names in each file's header.
 
     Files may have their columns in different order, or lack some, which are null then. Partition folders
     give columns of their own. A record is parsed by Spark's ``from_csv``. Lines end with a line feed, with a
-    carriage return before it or not. Small files share a task.
+    carriage return before it or not. With a schema the columns have its types; it must name them in the order of
+    every file, else it is an error.
     """
     files = csv_files(spark, path)
     folders = [c for c in files.columns if c not in ("path", "length")]
     known = with_headers(files).select("path", "header")
     headers = [json.loads(r.header) for r in known.select("header").distinct().orderBy("header").collect()]  # the different ones
+    if schema is not None and any(names != schema.names for names in headers):
+        raise ValueError(f"the schema names the columns {schema.names}, files have {headers}")
     # One task for each range; the listing has the lengths, no file is opened for them.
     each = F.when(_compressed(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("length") / range_bytes)))
     n = max(1, files.agg(F.sum(each)).first()[0] or 0)
@@ -219,12 +223,13 @@ def read_csv_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
                     same = [row.column(c).take(pa.array([0] * len(some))) for c in carried]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(some, pa.string())], names=[*carried, "record"])
 
-    schema = ", ".join([f"`{c}` {types.get(c, 'string')}" for c in carried] + ["record string"])
-    rows = cut.mapInArrow(of_batches, schema)
+    row = ", ".join([f"`{c}` {types.get(c, 'string')}" for c in carried] + ["record string"])
+    rows = cut.mapInArrow(of_batches, row)
     options = {"escape": '"', "multiLine": "true"}
     parsed = {}
     for k, names in enumerate(headers):
-        fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        kinds = schema.fields if schema is not None else [T.StructField(n, T.StringType()) for n in names]
+        fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kinds)
         text = F.when(F.col("header") == json.dumps(names), F.col("record"))
         parsed[f"_{k}"] = F.from_csv(text, F.lit(fields), options)
     columns: dict[str, list[Column]] = {}

@@ -21,12 +21,13 @@ def read_papers_csv(
 
     ``path`` is a file, a folder or a pattern. Columns go by name: files may have them in different order,
     or lack some, which are null then. Abstracts may hold line breaks; large files are read by many tasks all
-    the same (see ``csv_ranges``). A schema must name the columns in the order of every file, else reading
-    fails; it is read by Spark's own reader, a file by each task unless ``multi_line`` is off. So is everything
-    in a store that only Spark reaches, where all files must have the same header.
+    the same (see ``csv_ranges``). A schema must name the columns in the order of every file, else it is an
+    error. A store that only Spark reaches is read by Spark's own reader: all files must have the same header
+    there, and a file is one task unless ``multi_line`` is off.
     """
-    if schema is None and Folder(spark, path).scheme in csv_ranges.STORES:
-        found = csv_ranges.read_csv_ranges(spark, path)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if Folder(spark, path).scheme in csv_ranges.STORES:
+        found = csv_ranges.read_csv_ranges(spark, path, schema=schema)
         # Texts for a missing value are looked for in the columns of the files, not in names of folders.
         folders = csv_ranges.folder_columns(spark, path)
         return normalise_missing(found, columns=[c for c in found.columns if c not in folders])

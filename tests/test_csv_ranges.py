@@ -117,3 +117,13 @@ def test_files_without_records(spark, tmp_path):
     plain = spark.read.options(header="true", multiLine="true", escape='"').csv(str(tmp_path / "short.csv"))
     found = csv_ranges.read_csv_ranges(spark, str(tmp_path / "short.csv"))
     assert found.collect()[:2] == plain.collect()[:2]
+
+
+def test_a_schema_gives_types_and_must_fit_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,abstract,score\n1,"x\ny",1.5\n2,NA,\n3,z,bad\n')
+    found = scans.read_papers_csv(spark, str(tmp_path / "a.csv"), "id long, abstract string, score double")
+    assert found.dtypes == [("id", "bigint"), ("abstract", "string"), ("score", "double")]
+    assert sorted(map(tuple, found.collect())) == [(1, "x\ny", 1.5), (2, None, None), (3, "z", None)]
+    (tmp_path / "b.csv").write_text("abstract,id,score\nu,4,1\n")
+    with pytest.raises(ValueError, match="names the columns"):
+        scans.read_papers_csv(spark, str(tmp_path), "id long, abstract string, score double")
