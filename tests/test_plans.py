@@ -101,7 +101,7 @@ def test_pending_papers_are_shuffled_once(spark, stored):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
     # One shuffle for each side of the join; most copies fall away before it.
     assert len(re.findall(r"Exchange hashpartitioning\(paper_id", plan)) == 2
-    assert plan.index("Exchange hashpartitioning") < plan.index("_first_of_batch")
+    assert plan.index("Exchange hashpartitioning") < plan.index("first_of_batch")
 
 
 def test_hot_category_is_split_over_files(spark, tmp_path):
