@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import scratch_dir, ship_package
+from paperloom.session import drop_scratch, scratch_dir, ship_package
 
 # The white space that separates words in all contracts (space, tab to carriage return).
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
@@ -27,17 +27,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_staged: list[str] = []  # folders of this driver's staged tables that are still there
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends there.
 
-    A lost executor repeats nothing that was staged.
+    A lost executor repeats nothing that was staged. The folder stays until ``drop_staged``.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_folders() -> list[str]:
+    return list(_staged)
+
+
+def drop_staged(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for path in folders:
+        drop_scratch(spark, path)
+        _staged.remove(path)
+
+
 def tokenizer_definition(path: str | None = None) -> bytes:
     """A tokenizer's file, read by the driver; by default the public one that the contract names."""
     if path is None:
@@ -86,6 +101,27 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def once_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of the keys, of rows that are equal where their keys are and have few different keys.
+
+    Every task drops the copies that it meets itself, so few rows of a key with very many copies are shuffled. The
+    different keys must be bounded, as each task remembers them.
+    """
+    names = rows.columns
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            new = []
+            for k, key in enumerate(zip(*(batch.column(names.index(c)).to_pylist() for c in keys), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(k)
+            yield batch.take(pa.array(new, pa.int64()))
+
+    return rows.mapInArrow(of_batches, rows.schema).dropDuplicates(list(keys))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column as one array, and where each value starts; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

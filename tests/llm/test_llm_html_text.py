@@ -1,5 +1,8 @@
 import random
 import time
+from collections import Counter
+
+import odd_pages
 
 from paperloom.llm import html_text as h
 
@@ -97,3 +100,30 @@ def test_edge_cases(spark):
     by_id = {r.page_id: r for r in found}
     assert by_id[None].text == by_id[7].text == "" and by_id[8].n_chars == 249_999
     assert h.extract(frame.limit(0)).count() == 0
+
+
+def agreement(weights):
+    """Pages whose text is as wanted, and precision and recall of their blocks."""
+    right, kept, wanted, both = [], 0, 0, 0
+    for name, (page, text) in odd_pages.PAGES.items():
+        found = h.main_text(page, weights)
+        if found == text:
+            right.append(name)
+        a, b = Counter(found.split("\n\n") if found else []), Counter(text.split("\n\n") if text else [])
+        kept, wanted, both = kept + a.total(), wanted + b.total(), both + (a & b).total()
+    return right, both / kept, both / wanted
+
+
+def test_odd_pages_with_learned_and_with_fixed_weights(spark):
+    learned = h.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    for weights in (learned, h.Weights()):
+        right, precision, recall = agreement(weights)
+        assert set(odd_pages.PAGES) - set(right) == set()
+        assert precision == recall == 1.0
+
+
+def test_copies_of_one_page_are_one_page_of_the_sample(spark, monkeypatch):
+    rows = spark.createDataFrame(pages(spark, 20), "page_id long, url string, html string")
+    copies = rows.where("page_id < 2").crossJoin(spark.range(2000)).select("page_id", "url", "html")
+    one, many = h.learn(rows), h.learn(rows.unionAll(copies))
+    assert (one.word, one.linked, one.tags) == (many.word, many.linked, many.tags)

@@ -5,21 +5,36 @@ import pytest
 import __spark_entry__ as driver
 import corpus_pipeline
 from paperloom.llm import queries
+from paperloom.llm.common import drop_staged, staged_folders
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def test_each_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert {*queries.QUERIES, "pipeline"} <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query_runs_over_its_whole_table(spark, name):
     found = queries.QUERIES[name](spark, FOLDER)
-    table = "pages" if name.startswith("op9") else "documents"
-    if not name.startswith("op4"):
-        assert found.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
+    rows = {t: spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("documents", "pages", "embeddings", "benchmark")}
+    number = int(name[2:].split("_")[0])
+    if number in (4, 11):  # rows for what is found
+        assert 0 < found.count() <= 10 * rows["benchmark"] + rows["documents"]
+    else:
+        assert found.count() == {9: rows["pages"], 12: rows["pages"], 13: 8 * rows["embeddings"]}.get(number, rows["documents"])
+
+
+def test_a_run_deletes_what_its_stages_have_staged(spark):
+    import os
+
+    before = staged_folders()
+    assert corpus_pipeline.run(spark, FOLDER).count() > 0
+    left = [f for f in staged_folders() if f not in before]
+    assert all(os.path.exists(f) for f in left) and len(left) <= 2  # what the last stage reads
+    drop_staged(spark, left)
+    assert staged_folders() == before and not any(os.path.exists(f) for f in left)
 
 
 def test_stages_keep_columns_and_only_ever_drop_what_they_should(spark):
