@@ -177,7 +177,7 @@ def places_met(item: bytes, passage: bytes) -> int:
 def align(items: list[bytes], passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman scores of pairs of word sequences (32-bit hashes), and the word of the passage at which
     the best alignment ends. A score of 1 means that the whole item stands in the passage unchanged."""
-    sizes = np.array([len(x) // 4 for x in items])
+    sizes = np.array([len(x) // 4 for x in items], np.int64)
     a = np.full((len(items), sizes.max(initial=0)), -1, np.int64)
     b = np.full((len(items), max([0, *(len(x) // 4 for x in passages)])), -2, np.int64)
     for k, (x, y) in enumerate(zip(items, passages, strict=True)):
@@ -238,6 +238,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least_score: float = LEAST
                 some = batch.slice(k, 512)
                 enough = [places_met(i, p) >= n for i, p, n in zip(*(some.column(c).to_pylist() for c in (2, 3, 5)), strict=True)]
                 some = some.filter(pa.array(enough, pa.bool_()))
+                if not some.num_rows:
+                    continue
                 score, end = align(some.column(2).to_pylist(), some.column(3).to_pylist())
                 near = pa.array(np.flatnonzero(score >= least_score))
                 out = [some.column(0).take(near), some.column(1).take(near), pa.array(score).take(near)]

@@ -30,6 +30,7 @@ def test_alignment_equals_the_plain_recurrence():
 
     score, _ = d.align([np.array(a, "<u4").tobytes() for a, _ in pairs], [np.array(b, "<u4").tobytes() for _, b in pairs])
     assert [round(float(s), 9) for s in score] == [round(plain_score(a, b), 9) for a, b in pairs]
+    assert [len(x) for x in d.align([], [])] == [0, 0]
 
 
 def test_leaks_equal_alignment_of_all_with_all(spark):
@@ -116,6 +117,16 @@ def test_a_phrase_that_all_share_brings_no_pairs(spark, monkeypatch):
     assert found == {(1500 + k, k) for k in range(20)}
 
 
+def test_pairs_of_which_none_has_enough_seeds(spark):
+    """Some seeds of an item meet a passage, too few for a score; nothing is left to align."""
+    item = [f"i{k}" for k in range(40)]
+    texts = [" ".join([*[f"x{j}" for j in range(30)], *item[:9], *[f"y{j}" for j in range(30)]])] * 3
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert d.leaks(documents, benchmark).count() == 0
+    assert d.decontaminated(documents, benchmark).count() == 3
+
+
 def test_edge_cases(spark):
     docs = edge_cases.documents(spark)
     items = spark.createDataFrame([(1, "the same id TWICE one text of more"), (None, None), (2, ""), (None, "A text without an id it is read all the same"), (3, "word " * 100)], "item_id long, text string")
