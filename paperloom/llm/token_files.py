@@ -48,17 +48,17 @@ WORD_STEPS = (
 )
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-MOST_KEPT = 1_000_000  # words and pieces that a worker remembers, some 170 bytes each
+MOST_KEPT = 700_000  # words and pieces that a worker remembers, some 170 bytes each
 
 _encoders: dict[bytes, Encoder] = {}
 
 
 class _Kept(dict):
-    """Values that are made when they are first asked for. Of those not asked for of late the older ones go."""
+    """Values that are made when they are first asked for, or taken from the table before this one."""
 
-    def __init__(self, make: Callable[[bytes], bytes]):
+    def __init__(self, make: Callable[[bytes], bytes], older: dict[bytes, bytes]):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older = make, older
 
     def __missing__(self, key: bytes) -> bytes:
         value = self.older.get(key)
@@ -67,10 +67,10 @@ class _Kept(dict):
         self[key] = value
         return value
 
-    def trim(self, most: int) -> None:
-        if len(self) > most // 2:
-            self.older = dict(self)
-            self.clear()
+    def next(self) -> _Kept:
+        """An empty table that still knows this one's values, but not those of the table before it."""
+        self.older = {}
+        return _Kept(self.make, self)
 
 
 class Encoder:
@@ -97,7 +97,7 @@ class Encoder:
         self.letters_only = any(s.isalpha() for s in special)
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
-        self.words: dict[bytes, bytes] = _Kept(self._word)
+        self.words = _Kept(self._word, {})
 
     def _piece(self, piece: str) -> bytes:
         tokens = self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))
@@ -123,7 +123,8 @@ class Encoder:
         for text in texts:
             words = (text or "").encode("utf-8", "replace").split()
             out.append(b"".join(map(self.words.__getitem__, words)) + last)
-            self.words.trim(MOST_KEPT)
+            if len(self.words) > MOST_KEPT // 2:
+                self.words = self.words.next()
         return out
 
 
