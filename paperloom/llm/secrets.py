@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as ops
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import staged, text_or_empty
 
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: a Java regular expression, the group that must be long enough, and that length."""
@@ -40,6 +42,7 @@ ADDED = (
     Rule("basic", r"[a-z][a-z0-9+.-]{1,9}://[^\s:/@]{1,64}:[^\s/@]{3,64}@"),
 )
 
+CHUNK = 256  # matches of a rule in a text that are added up at a time
 MOST_STRINGS = 64  # of an exact part of a pattern; beyond it the part ends there, which asks for less, never more
 
 Query = list[list[frozenset[str]]]  # all of: one of: all these trigrams
@@ -127,6 +130,11 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return held.select("doc_id", "row_hash", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it inside other functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Places of the rule's matches, leftmost first and not overlapping: start, order of the rule, end, kind.
 
@@ -142,6 +150,10 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         lambda s, e: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), (F.length(e) >= rule.least).alias("keep")),
     )
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    numbers = F.array().cast("array<int>")
+
+    def next_start(state: Column, size: Column) -> Column:
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
 
     def add(state: Column, step: Column) -> Column:
         start = state["at"] + step["gap"]
@@ -149,7 +161,19 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(step["keep"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda state: state["spans"])
+    def of_chunk(chunk: Column, start: Column) -> Column:
+        return F.aggregate(chunk, F.struct(start.alias("at"), none.alias("spans")), add, lambda state: state["spans"])
+
+    def chunked(steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(steps), F.lit(CHUNK)), lambda at: F.slice(steps, at, F.lit(CHUNK)))
+
+    def placed(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda at, step: at + step["gap"] + step["size"]))
+        starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), next_start, lambda state: state["starts"])
+        return F.flatten(F.zip_with(chunks, starts, of_chunk))
+
+    # Adding to an array copies it, so matches are added up in chunks, and the chunks' sums to where they begin.
+    found = _once(_once(steps, chunked), placed)
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import edge_cases
@@ -60,3 +61,15 @@ def test_edge_cases(spark):
     found = secrets.digest(docs).collect()
     assert len(found) == len(edge_cases.ROWS) and {r.spans for r in found} == {""}
     assert secrets.digest(docs.limit(0)).count() == 0
+
+
+def test_many_secrets_in_one_text_take_linear_time(spark):
+    texts = {n: " ".join(f"token=abcdef{k % 97} some words" for k in range(n)) for n in (1, 255, 256, 257, 513, 10_000, 40_000)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert Counter(tuple(r)[:5] for r in secrets.digest(rows.where("doc_id < 1000")).collect()) == Counter(expected(n, t) for n, t in texts.items() if n < 1000)
+    took = {}
+    for n in (10_000, 40_000):
+        start = time.perf_counter()
+        assert tuple(secrets.digest(rows.where(f"doc_id = {n}")).first())[:5] == expected(n, texts[n])
+        took[n] = time.perf_counter() - start
+    assert took[40_000] < 8 * took[10_000] + 5
