@@ -57,7 +57,8 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
         F.col("source").cast("string").alias("source"),
         F.xxhash64("text").alias("row_hash"),
         words_in(F.col("text")).alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))).alias("turn"),
+        # The text counts too, so rows that share an id, or have none, are spread like others.
+        F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))), F.lit(seed))).alias("turn"),
     )
     rows = staged(rows, "mix")  # the texts are read once
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -65,6 +66,12 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
     buckets = 1 << (n // bucket_rows).bit_length()
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("turn", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
 
+    shares = targets(sources.select("source", "source_size"), weights, repeats)
+    # Documents without words take no time and pass the queue by.
+    empty = rows.where("size = 0").join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    empty = empty.select("*", F.lit(0).alias("seat"), F.lit(0).alias("copy"), F.lit(0.0).alias("finish"), F.lit(True).alias("taken"))
+    rows = rows.where("size > 0")
+
     order = ["turn", "doc_id", "size", "row_hash"]
     inside = Window.partitionBy("source", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +79,7 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
     offsets = offsets.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")
     )
-    shares = targets(sources.select("source", "source_size"), weights, repeats).withColumnRenamed("source", "s")
+    shares = shares.withColumnRenamed("source", "s")
     finish = (F.col("copy") * F.col("source_size") + F.col("offset") + F.col("within")) / F.col("target")
     copies = (
         rows.withColumn("within", F.sum("size").over(inside))
@@ -81,8 +88,8 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
         .drop("s", "b")
         .join(shares, F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("size") > 0, F.lit(repeats - 1)).otherwise(F.lit(0)))))
-        .withColumn("finish", F.when(F.col("size") > 0, finish).otherwise(F.lit(0.0)))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        .withColumn("finish", finish)
         # All targets are met at the time 1, so the cut lies near it; late copies have wider slots.
         .withColumn("slot", F.floor(buckets * F.when(F.col("finish") < 4, F.col("finish")).otherwise(F.log2("finish") + 2)).cast("int"))
     )
@@ -92,10 +99,11 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
     queue = Window.partitionBy("slot").orderBy("finish", "source_rank", "copy", *order).rowsBetween(Window.unboundedPreceding, 0)
     timed = copies.join(slots, F.col("slot") == F.col("at")).drop("at")
     # Only slots that begin within the budget need the order of their rows.
-    sure_not = timed.where(F.col("earlier") >= F.lit(budget)).where("size > 0").withColumn("taken", F.lit(False))
-    ordered = timed.where((F.col("earlier") < F.lit(budget)) | (F.col("size") == 0))
+    sure_not = timed.where(F.col("earlier") >= F.lit(budget)).withColumn("taken", F.lit(False))
+    ordered = timed.where(F.col("earlier") < F.lit(budget))
     ordered = ordered.withColumn("taken", F.col("earlier") + F.sum("size").over(queue) <= F.lit(budget))
-    return ordered.unionByName(sure_not)
+    columns = ["doc_id", "source", "row_hash", "size", "bucket", "seat", "source_size", "target", "copy", "finish", "taken"]
+    return ordered.select(columns).unionByName(sure_not.select(columns)).unionByName(empty.select(columns))
 
 
 def mix(
@@ -107,7 +115,7 @@ def mix(
 ) -> DataFrame:
     """One row for each copy that the mix takes, with ``finish``, its virtual finish time.
 
-    Every source is shuffled by a hash of the document and the seed, and its documents queue up to
+    Every source is shuffled by a hash of the id, the text and the seed, and its documents queue up to
     ``repeats`` times. A copy's finish time is the cumulative number of words of its source divided by
     the source's target; sorting all copies by it interleaves the sources in proportion, and the mix is
     cut where the words reach the total of all documents. Copies are dealt to tasks by ranges of the
@@ -118,8 +126,9 @@ def mix(
     nothing. Null texts have no words; null sources and ids are a source and an id of their own; equal
     rows queue as separate documents; an empty table gives an empty mix. Other columns are ignored.
     Running sums are taken in two steps, within buckets of about ``bucket_rows`` rows and over the
-    buckets, so a source with most of the rows is spread over many tasks. Only the numbers of documents
-    and words reach the driver.
+    buckets, so a source with most of the rows is spread over many tasks; rows that are equal in id and text
+    stand in one bucket. One task orders the sources, another the buckets of a source and the slots of
+    time, a row each. Only the numbers of documents and words reach the driver.
     """
     queue = _queue(documents, weights, repeats, seed, bucket_rows)
     return queue.where("taken").select("doc_id", "row_hash", "size", "source", "source_size", "target", "copy", "finish")
@@ -134,11 +143,11 @@ def words_taken(
 ) -> DataFrame:
     """Every document with doc_id, source, size, source_size, target, copies and ``taken``, its words in the mix."""
     queue = _queue(documents, weights, repeats, seed, bucket_rows)
-    return (
-        queue.groupBy("source", "bucket", "seat", "doc_id", "size", "source_size", "target")
-        .agg(F.sum(F.when(F.col("taken"), 1).otherwise(0)).alias("copies"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    counted = queue.where("size > 0").groupBy("bucket", "seat", *columns).agg(F.sum(F.when(F.col("taken"), 1).otherwise(0)).alias("copies"))
+    empty = queue.where("size = 0").withColumn("copies", F.lit(1).cast("long"))
+    found = counted.select(*columns, "copies").unionByName(empty.select(*columns, "copies"))
+    return found.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(documents: DataFrame, **parameters) -> DataFrame:

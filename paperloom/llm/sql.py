@@ -3,7 +3,7 @@
 OP3_MIX_SOURCES = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(COALESCE(doc_id::VARCHAR, 'null') || ':mix') AS turn
+         md5(COALESCE(doc_id::VARCHAR, 'null') || ':' || md5(COALESCE(text, '')) || ':mix') AS turn
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS source_rank

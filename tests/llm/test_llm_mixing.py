@@ -1,6 +1,7 @@
 from collections import Counter
 
 import edge_cases
+from pyspark.sql import functions as F
 
 from paperloom.llm import mixing
 
@@ -52,6 +53,23 @@ def test_a_mix_in_finish_order_keeps_the_proportions(spark):
     assert abs(head["a"] - 150) <= 2
 
 
+def test_rows_without_words_or_with_one_id_are_spread(spark):
+    """30,000 rows without an id, 30,000 with one id and 30,000 without words: no bucket and no slot has them all."""
+    text = F.concat(F.lit("words of "), F.col("id").cast("string"))
+    rows = spark.range(90_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"),
+        F.when(F.col("id") % 3 == 2, F.lit(" ")).otherwise(text).alias("text"), F.lit("a").alias("source"),
+    )
+    queue = mixing._queue(rows, **(mixing.DEFAULTS | {"bucket_rows": 2000}))
+    full = queue.where("size > 0 AND copy = 0").groupBy("bucket").count()
+    assert full.agg(F.max("count")).first()[0] < 3 * 60_000 / full.count()
+    slots = queue.where("taken AND size > 0").groupBy(F.floor(F.col("finish") * 64)).count()
+    assert slots.agg(F.max("count")).first()[0] < 3 * 60_000 / 64
+    taken = mixing.words_taken(rows, bucket_rows=2000)
+    assert taken.count() == 90_000 and taken.where("size = 0 AND copies = 1 AND taken = 0").count() == 30_000
+    assert mixing.mixed_documents(rows).where("text = ' '").count() == 30_000
+
+
 def test_edge_cases(spark):
     docs = edge_cases.documents(spark)
     taken = mixing.words_taken(docs).collect()
