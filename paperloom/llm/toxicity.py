@@ -11,13 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import RangeHash, flat, fresh, slices, staged, with_package, words
+from paperloom.llm.common import RangeHash, flat, fresh, once_each, slices, staged, with_package, words
 
 BITS = 18  # features are hashed to 2**BITS places
 PREFIXES = (4, 5, 6, 8)  # beginnings of words, in bytes, that count as features beside the whole word
 CHOSEN = 1024
 THRESHOLD = 0.7
-MOST_TOXIC, MOST_UNLABELLED = 2000, 6000  # rows that the classifier is fitted on, at most
+MOST_TOXIC, MOST_UNLABELLED = 2000, 6000  # documents that the classifier is fitted on, at most
+SLICE = 1 << 20  # bytes of text at a time: there are five features for a word
 
 
 @dataclass
@@ -32,7 +33,7 @@ class Model:
 def _raw(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice of a text column: its first row, number of rows, row and feature of each occurrence, words per row."""
     data, offsets = flat(pc.utf8_lower(column.cast(pa.large_string())))
-    for low, high in slices(offsets):
+    for low, high in slices(offsets, SLICE):
         starts, ends, first = words(data, offsets, low, high, bare=True)
         count = np.diff(first)
         if not len(starts):
@@ -107,12 +108,12 @@ def _matrix(bags: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 out.append(row.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["toxic", "row"])
 
-    found = bags.mapInArrow(of_batches, "toxic boolean, row binary").toArrow()
-    toxic = found.column(0).to_numpy()
-    rows = np.frombuffer(b"".join(found.column(1).to_pylist()), np.float32).reshape(-1, 2 * m)
-    order = np.lexsort(rows.T[:64])  # the same order in each run, whatever the order of tasks
-    rows, toxic = rows[order], toxic[order]
-    return rows[toxic], rows[~toxic]
+    found = bags.mapInArrow(of_batches, "toxic boolean, row binary").toArrow()  # a row for each document of the sample
+    sides = []
+    for toxic in (True, False):
+        rows = sorted(found.filter(pc.equal(found.column(0), toxic)).column(1).to_pylist())  # the same order in each run
+        sides.append(np.frombuffer(b"".join(rows), np.float32).reshape(-1, 2 * m))
+    return sides[0], sides[1]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -158,16 +159,20 @@ def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, m
     """A classifier from confirmed toxic texts and texts without marks; None where none is confirmed.
 
     Labels are read only where crc32 of the doc_id as text, modulo 3, is not 1. The prior is the toxic share
-    of all those labels; the texts are at most ``most_toxic`` confirmed and ``most_unlabelled`` others, the
-    first by a hash of the id. That sample is all the fit sees, so it takes the same time at any size.
+    of all those labels; the texts are those of at most ``most_toxic`` confirmed documents and
+    ``most_unlabelled`` others, the first by a hash of the id, each id once: of rows with one id the text with
+    the smallest hash. That sample is all the fit sees, so it takes the same time at any size.
     """
     with_package(documents.sparkSession)
     marks = labels.where(learnable("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null and doc_id is not null")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     confirmed = marks.where("toxic = 1").select("doc_id").orderBy(*order).limit(most_toxic).withColumn("toxic", F.lit(True))
-    others = documents.where(learnable("doc_id")).select("doc_id").where("doc_id is not null").orderBy(*order).limit(most_unlabelled)
-    ids = confirmed.union(others.distinct().withColumn("toxic", F.lit(False)))  # bounded by the two limits
-    sample = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("toxic", "text")
+    others = documents.where(learnable("doc_id")).select("doc_id").where("doc_id is not null").distinct().orderBy(*order).limit(most_unlabelled)
+    ids = confirmed.union(others.withColumn("toxic", F.lit(False)))  # bounded by the two limits
+    texts = documents.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("row_hash"))
+    first = texts.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("row_hash").alias("row_hash"))
+    first = staged(ids.join(first, "doc_id"), "sample")  # as many rows as ids
+    sample = once_each(texts.join(F.broadcast(first), ["doc_id", "row_hash"]), "doc_id", "toxic").select("toxic", "text")
     bags = staged(_bags(sample), "bags")
     prior = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     sizes = {r.toxic: r.n for r in bags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

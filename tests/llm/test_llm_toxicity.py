@@ -3,6 +3,7 @@ import zlib
 
 import edge_cases
 import numpy as np
+from pyspark.sql import functions as F
 
 from paperloom.llm import toxicity
 
@@ -67,3 +68,23 @@ def test_edge_cases(spark):
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     assert toxicity.clean_documents(docs, marks).columns == docs.columns
     assert toxicity.scored(docs.limit(0), marks).count() == 0
+
+
+def test_copies_of_one_document_are_one_document_of_the_sample(spark, monkeypatch):
+    """50,000 rows of one id and 500 of another: what reaches the driver stays within the bounds."""
+    reached = []
+    real = toxicity._matrix
+    monkeypatch.setattr(toxicity, "_matrix", lambda bags, chosen: (lambda out: (reached.extend(map(len, out)), out)[1])(real(bags, chosen)))
+    ids = F.when(F.col("id") < 50_000, F.lit(1)).when(F.col("id") < 50_500, F.lit(3)).otherwise(F.col("id"))
+    bad = F.concat(F.lit("vile nasty awful scum "), F.col("id").cast("string"))
+    docs = spark.range(51_000).select(ids.alias("doc_id"), F.when(F.col("id") % 2 == 0, bad).otherwise("a kind word about the garden").alias("text"))
+    marked = docs.groupBy("doc_id").agg(F.max((F.col("text") != "a kind word about the garden").cast("int")).alias("toxic"))
+    toxicity.fit(docs, marked, most_toxic=20, most_unlabelled=50)
+    assert reached and reached[0] <= 20 and reached[1] <= 50
+
+
+def test_the_order_of_rows_is_fixed(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), (F.col("id") % 7).cast("string"), F.when(F.col("id") % 3 == 0, " vile scum").otherwise("")).alias("text"))
+    marked = docs.select("doc_id", F.col("text").contains("vile").cast("int").alias("toxic"))
+    one, two = toxicity.fit(docs.repartition(7), marked), toxicity.fit(docs.repartition(3, "text"), marked)
+    assert (one.features == two.features).all() and (one.weights == two.weights).all() and one.bias == two.bias
