@@ -81,6 +81,18 @@ def plausible(kind: int, text: str) -> bool:
     return 9 <= len(number) <= 15 and len(number) < len(text)
 
 
+def whole(kind: int, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The span with a bracket that it lacks, or None where it is only a piece of a longer number or address."""
+    before, after = text[start - 1 : start], text[end : end + 1]
+    if kind == 3 and before == "(" and ")" in text[start:end] and "(" not in text[start:end]:
+        start, before = start - 1, text[start - 2 : start - 1]
+    if before.isalnum() and text[start].isalnum() or after.isalnum() and text[end - 1].isalnum():
+        return None
+    if kind in (1, 2) and (re.match(r"[.-]?[0-9]", text[end : end + 2]) or re.search(r"[0-9][.-]?\Z", text[max(0, start - 2) : start])):
+        return None
+    return start, end
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of the text around digits and @, without which it holds no personal data of these kinds."""
     out: list[list[int]] = []
@@ -106,7 +118,8 @@ def tags_of(spans: list[Span], low: int, high: int) -> np.ndarray:
 
 
 def _windows(documents: DataFrame, most: int) -> list[tuple[str, bytes]]:
-    """Bounded training data: windows with spans of the base patterns and their tags, the first by a hash."""
+    """Bounded training data: windows with spans of the base patterns and their tags, the first by a hash; a quarter
+    of them without spans, so that numbers that are not personal are seen too."""
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,14 +131,25 @@ def _windows(documents: DataFrame, most: int) -> list[tuple[str, bytes]]:
                 for low, high in stretches(text):
                     for a in range(low, high, WINDOW):
                         own = tags_of(spans, a, min(a + WINDOW, high))
-                        if own.any():
-                            texts.append(text[a : min(a + WINDOW, high)])
-                            tags.append(own.tobytes())
+                        texts.append(text[a : min(a + WINDOW, high)])
+                        tags.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(tags, pa.binary())], names=["window", "tags"])
 
-    rows = documents.select(F.col("text").cast("string")).mapInArrow(of_batches, "window string, tags binary")
-    first = rows.distinct().orderBy(F.xxhash64("window"), "window").limit(most)
-    return sorted((r.window, bytes(r.tags)) for r in first.collect())
+    rows = documents.select(F.col("text").cast("string")).mapInArrow(of_batches, "window string, tags binary").distinct()
+    without = F.rtrim(F.hex("tags"), F.lit("0")) == ""
+    order = [F.xxhash64("window"), F.col("window")]
+    first = rows.where(~without).orderBy(*order).limit(most - most // 4)
+    others = rows.where(without).orderBy(*order).limit(most // 4)
+    return sorted((r.window, bytes(r.tags)) for r in first.union(others).collect())
+
+
+def _at_home(phone: str, form: int) -> str:
+    """A phone number without its plus (form 0), or in one of three forms without the country's number."""
+    found = digits(phone)
+    if form == 0 or len(found) < 9:
+        return phone[1:]
+    area, first, last = found[-10:-7], found[-7:-4], found[-4:]
+    return (f"({area}) {first}-{last}", f"{area} {first} {last}", f"{area}-{first}-{last}")[form - 1]
 
 
 def _examples(windows: list[tuple[str, bytes]], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +170,13 @@ def _examples(windows: list[tuple[str, bytes]], seed: int = 0) -> tuple[np.ndarr
         if not len(starts):
             continue
         s = int(starts[0])
-        if draw.random() < 0.5 and y[s] == 7 and text[s] == "+":  # a phone number without its plus
-            changed = y.copy()
-            if s + 1 < len(y):
-                changed[s + 1] = y[s]
-            pairs.append((text[:s] + text[s + 1 :], np.delete(changed, s)))
+        if y[s] == 7 and text[s] == "+" and draw.random() < 0.6:  # a phone number without its plus, or as it is written at home
+            e = s + 1
+            while e < len(y) and y[e] == 8:
+                e += 1
+            other = _at_home(text[s:e], int(draw.integers(4)))
+            mark = np.array([7, *[8] * (len(other) - 1)], np.uint8)
+            pairs.append((text[:s] + other + text[e:], np.concatenate([y[:s], mark, y[e:]])))
         else:  # another span before the first, after a blank
             kind, other = spans[int(draw.integers(len(spans)))]
             mark = np.array([1 + 2 * kind, *[2 + 2 * kind] * (len(other) - 1), 0], np.uint8)
@@ -164,10 +190,11 @@ def _examples(windows: list[tuple[str, bytes]], seed: int = 0) -> tuple[np.ndarr
 
 def train(documents: DataFrame, most_windows: int = MOST_WINDOWS, epochs: int = 20) -> Tagger | None:
     """A tagger from the labelled spans of the base patterns, on at most ``most_windows`` windows of the corpus
-    (the first by a hash) and as many changed ones; None where the corpus has no such span."""
+    (the first by a hash, a quarter of them without spans) and as many changed ones; None where the corpus has no such
+    span."""
     with_package(documents.sparkSession)
     windows = _windows(documents, most_windows)
-    if not windows:
+    if not any(any(tags) for _, tags in windows):
         return None
     tagger = Tagger(1 + 2 * len(KINDS))
     tagger.fit(*_examples(windows), epochs=epochs)
@@ -240,9 +267,9 @@ def find(texts: list[str | None], tagger: Tagger | None) -> list[tuple[list[Span
         for kind, s, e in spans:
             text = texts[k][a + s : a + e]
             s, e = s + len(text) - len(text.lstrip()), e - len(text) + len(text.rstrip())
-            clash = any(x[1] < a + e and a + s < x[2] for x in base[k])
-            if s < e and not clash and plausible(kind, texts[k][a + s : a + e]):
-                more[k].append((kind, a + s, a + e))
+            place = whole(kind, texts[k], a + s, a + e) if s < e else None
+            if place and not any(x[1] < place[1] and place[0] < x[2] for x in base[k]) and plausible(kind, texts[k][slice(*place)]):
+                more[k].append((kind, *place))
     return [(b, sorted({*b, *m})) for b, m in zip(base, more, strict=True)]
 
 
@@ -271,7 +298,8 @@ def detect(documents: DataFrame, most_windows: int = MOST_WINDOWS, epochs: int =
     """Personal data in every row's text; see ``train`` and ``spans_in``.
 
     The base patterns give the labelled spans; the tagger adds what they miss, such as numbers that run into
-    each other or lack a mark. Its additions must not overlap a base span and must be of a possible form.
+    each other or lack a mark. Its additions must not overlap a base span, must be of a possible form, and must not
+    be a piece of a longer number.
     Null and empty texts have no spans; repeated rows come back repeated; rows without an id are read too; an
     empty table gives an empty result; other columns are ignored. Time is linear in the text, of which only
     the parts around digits and @ go through the network.

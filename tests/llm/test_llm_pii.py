@@ -88,6 +88,29 @@ def test_tagger_learns_the_labelled_spans_and_finds_more(spark):
         assert set(base) == set(brute_force(text)) <= set(spans)
 
 
+def test_pieces_of_longer_numbers_are_no_spans():
+    for kind, text, part, wanted in (
+        (1, "at 10.0.0.300 now", "10.0.0.30", None), (1, "at 10.0.0.30 now", "10.0.0.30", "10.0.0.30"), (1, "v1.10.0.0.3", "10.0.0.3", None),
+        (2, "94111111111111111", "4111111111111111", None), (3, "call (415) 555-0132.", "415) 555-0132", "(415) 555-0132"),
+        (3, "call 415 555 01329", "415 555 0132", None), (0, "xjo@a.example", "jo@a.example", None),
+    ):
+        start = text.index(part)
+        found = pii.whole(kind, text, start, start + len(part))
+        assert (text[slice(*found)] if found else None) == wanted, text
+
+
+def test_numbers_that_are_not_personal_are_left_and_home_numbers_found(spark):
+    draw = random.Random(8)
+    rows = [(k, t + f" in {draw.randrange(1000, 9999)} and room {draw.randrange(100, 999)}-{draw.randrange(10, 99)}, {draw.randrange(100, 999)} {draw.randrange(100, 999)} items") for k, t in corpus(draw, 320)]
+    tagger = pii.train(spark.createDataFrame(rows, "doc_id long, text string"), epochs=25)
+    calm = [f"of {draw.randrange(1000, 9999)} houses and {draw.randrange(100, 999)} {draw.randrange(100, 999)} more numbers" for _ in range(60)]
+    assert sum(len(spans) for _, spans in pii.find(calm, tagger)) <= 3
+    number = lambda m: "".join(str(draw.randrange(10)) for _ in range(m))
+    homes = [f"many words and ({number(3)}) {number(3)}-{number(4)} of the house" for _ in range(30)] + [f"the house {number(3)} {number(3)} {number(4)} and more" for _ in range(30)]
+    hits = sum(any(k == 3 for k, *_ in spans) for _, spans in pii.find(homes, tagger))
+    assert hits >= 30
+
+
 def test_a_long_stretch_is_tagged_as_a_whole():
     tagger = Tagger(9)
     text = "1 " * 5000
