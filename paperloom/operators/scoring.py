@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from paperloom.sources.scores import PARTS, new_run, read_scores, score_schema
 Batches = Iterator[pd.DataFrame]
 Scorer = Callable[[Batches], Batches]
 
+REMEMBERED = 10_000  # ids, without their texts, that a task compares the next ones to
+
 
 @dataclass(frozen=True)
 class Task:
@@ -75,24 +78,33 @@ def calls_at_once(scorer: Scorer) -> int:
     return getattr(scorer, "calls", 1)
 
 
-def first_of_batch(batches: Batches) -> Batches:
-    """Each paper once in each batch."""
+def first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each paper once among those of a batch and the ``REMEMBERED`` ids before it.
+
+    The prompts stay in Arrow: a worker holds a batch and, of one with copies, what is left of it.
+    """
+    seen = None
     for batch in batches:
-        yield batch.drop_duplicates("paper_id")
+        ids = batch.column("paper_id").to_pandas()
+        ids = ids if seen is None else pd.concat([seen, ids])
+        copies = ids.duplicated().to_numpy()
+        new = ~copies[len(ids) - batch.num_rows :]
+        seen = ids[~copies][-REMEMBERED:]
+        yield batch if new.all() else batch.filter(pa.array(new))
 
 
 def pending_papers(papers: DataFrame, scores: DataFrame, retry_errors: bool = False, partitions: int | None = None) -> DataFrame:
     """``paper_id, prompt`` of papers without a score yet. Errors count as scored unless they are to be retried.
 
-    Most copies of a paper fall away batch by batch, before the shuffle, so one with very many copies does
-    not gather in one task; of the others ``score`` takes the first. The text moves once: the join and
+    Most copies of a paper fall away before the shuffle (see ``first_of_batch``), so one with very many copies
+    does not gather in one task; of the others ``score`` takes the first. The text moves once: the join and
     the scorer use the same partitions, and the join neither sorts nor gathers it. A paper without an id
     is an error, as its score could never be found again.
     """
     done = scores.where(F.col("error").isNull()) if retry_errors else scores
     no_id = F.raise_error(F.lit("paper_id is null; see with_paper_id"))
     prompts = render_prompts(papers).withColumn("paper_id", F.when(F.col("paper_id").isNull(), no_id).otherwise(F.col("paper_id")))
-    prompts = prompts.mapInPandas(first_of_batch, prompts.schema)
+    prompts = prompts.mapInArrow(first_of_batch, prompts.schema)
     prompts = prompts.repartition(partitions, "paper_id") if partitions else prompts.repartition("paper_id")
     return prompts.join(done.select("paper_id").hint("shuffle_hash"), "paper_id", "left_anti")
 

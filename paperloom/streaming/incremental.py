@@ -52,7 +52,7 @@ def unscored(papers: DataFrame, results_path: str, only_relevant: bool, stream:
     others = sorted({name.rsplit("-", 1)[0] for name in folder.names(PARTS) if name.startswith("s-")} - {f"s-{stream}"})
     places = ",".join(["snapshot-*", f"{PARTS}/p-*", *(f"{PARTS}/{name}-*" for name in others)])
     known = spark.readStream.schema(score_schema(id_type)).option("recursiveFileLookup", "true").parquet(f"{folder.path}/{{{places}}}")
-    asked = asked.mapInPandas(first_of_batch, asked.schema)  # most copies fall away before the shuffle
+    asked = asked.mapInArrow(first_of_batch, asked.schema)  # most copies fall away before the shuffle
     rows = asked.unionByName(known.select("paper_id", F.lit(None).cast("string").alias("prompt")))
     schema = T.StructType([T.StructField("paper_id", id_type), T.StructField("prompt", T.StringType())])
     return rows.groupBy("paper_id").applyInPandasWithState(_new_papers, schema, "known boolean", "append", GroupStateTimeout.NoTimeout)

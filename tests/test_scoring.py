@@ -293,6 +293,24 @@ def test_copies_are_scored_once_and_all_filled(spark, tmp_path):
     assert attempts(spark, path).agg(F.max("count"), F.count("*")).first() == (1, 21)
 
 
+def test_most_copies_fall_away_before_the_shuffle_and_without_pandas(spark):
+    """Also those that are a few batches apart; the texts do not become objects of Python."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "7")
+    try:
+        df = papers(spark, 300).withColumn("paper_id", F.col("paper_id") % 20).coalesce(1)
+        none = spark.createDataFrame([], "paper_id long, error string")
+        pending = scoring.pending_papers(df, none)
+        found = tuples(pending)
+        plan = pending._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(rows, before)
+    assert [r[0] for r in found] == list(range(20))
+    assert [r[1].split("\n")[0] for r in found] == [f"Title: title {k}" for k in range(20)]  # the first of each
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
 def test_merge_keeps_own_values(spark):
     new = spark.createDataFrame([(1, 1), (2, None), (3, None)], "paper_id int, is_relevant int")
     old = spark.createDataFrame([(1, 0), (2, 0)], "paper_id int, is_relevant int")
