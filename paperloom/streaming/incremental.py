@@ -20,10 +20,16 @@ from paperloom.sources.scores import PARTS, score_attempts, score_schema
 
 # Kept on disk by every executor, so the number of papers is not bound by memory.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Spark makes data frames of every paper's row and state, some 20 KB together, and holds those of a batch at once.
+BATCH_PAPERS = 1_000
 
 
 def _new_papers(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first prompt of a paper that has no score yet; rows without a prompt are scores made elsewhere."""
+    """The first prompt of a paper that has no score yet, null for others; rows without a prompt are scores made elsewhere.
+
+    Spark gathers what is known of papers in a worker until they have given as many rows as a batch holds. So
+    every paper gives one: a worker's memory is that of a batch, however many papers had been scored.
+    """
     prompt, scored = None, state.exists
     for batch in rows:
         scored = scored or batch["prompt"].isna().any()
@@ -31,8 +37,7 @@ def _new_papers(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) ->
             prompt = batch["prompt"].iloc[0]
     if not state.exists:
         state.update((True,))
-    if not scored:
-        yield pd.DataFrame({"paper_id": [key[0]], "prompt": [prompt]})
+    yield pd.DataFrame({"paper_id": [key[0]], "prompt": [None if scored else prompt]})
 
 
 def unscored(papers: DataFrame, results_path: str, only_relevant: bool, stream: str = "") -> DataFrame:
@@ -55,7 +60,8 @@ def unscored(papers: DataFrame, results_path: str, only_relevant: bool, stream:
     asked = asked.mapInArrow(first_of_batch, asked.schema)  # most copies fall away before the shuffle
     rows = asked.unionByName(known.select("paper_id", F.lit(None).cast("string").alias("prompt")))
     schema = T.StructType([T.StructField("paper_id", id_type), T.StructField("prompt", T.StringType())])
-    return rows.groupBy("paper_id").applyInPandasWithState(_new_papers, schema, "known boolean", "append", GroupStateTimeout.NoTimeout)
+    found = rows.groupBy("paper_id").applyInPandasWithState(_new_papers, schema, "known boolean", "append", GroupStateTimeout.NoTimeout)
+    return found.where("prompt is not null")
 
 
 def score_stream(
@@ -88,10 +94,18 @@ def score_stream(
         left = batch.join(kept, "paper_id", "left_anti") if kept.inputFiles() else batch
         store_scored(left, scorer, f"{root}/{PARTS}/{run}", papers_per_commit, max_calls, sink)
 
-    return (
+    writer = (
         unscored(papers, results_path, task.only_relevant, stream)
         .writeStream.foreachBatch(score_batch)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
-        .start()
     )
+    # The stream takes the settings that hold when it starts.
+    batch_rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch_rows)
+    if not 0 < int(before) <= BATCH_PAPERS:
+        spark.conf.set(batch_rows, str(BATCH_PAPERS))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(batch_rows, before)

@@ -1,6 +1,7 @@
 import json
 import sys
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
@@ -14,6 +15,7 @@ from paperloom.sources import score_sink
 from paperloom.sources import scores as tables
 from paperloom.sources.folders import Folder
 from paperloom.sources.scores import append_scores, compact_scores, drop_old_scores, read_scores, score_attempts
+from paperloom.streaming import incremental
 from paperloom.streaming.incremental import score_stream
 
 # Workers cannot import test modules.
@@ -379,6 +381,40 @@ def test_a_micro_batch_reads_scores_of_others_once_and_none_of_its_own(spark, tm
     assert {r.paper_id for r in attempts(spark, path).collect()} == {r.paper_id for r in df.collect()} | set(range(10)) | set(range(26, 30))
 
 
+def test_a_stream_holds_few_papers_in_a_worker(spark, tmp_path, monkeypatch):
+    """New papers come in small batches; those with a score count in them too and are not asked for."""
+    monkeypatch.setattr(incremental, "BATCH_PAPERS", 10)
+    source, path, sizes = str(tmp_path / "in"), str(tmp_path / "scores"), tmp_path / "sizes"
+    sizes.mkdir()
+    papers(spark, 600).write.parquet(source)
+    append_scores(scored(spark, 0, 300), path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+
+    def scorer(batches):
+        for batch in batches:
+            (sizes / f"{len(batch)}-{batch['paper_id'].iloc[0]}").touch()
+            yield batch[["paper_id"]].assign(reply="1", tokens=1, error=None)
+
+    stream = spark.readStream.schema(papers(spark).schema).parquet(source)
+    score_stream(stream, scorer, scoring.RELEVANCE, path, str(tmp_path / "state")).awaitTermination()
+    found = [int(p.name.split("-")[0]) for p in sizes.iterdir()]
+    assert sum(found) == 300 and max(found) <= 10
+    assert spark.conf.get(rows) == before
+    assert attempts(spark, path).agg(F.count("*"), F.max("count")).first() == (600, 1)
+
+
+def test_every_paper_of_a_stream_gives_a_row():
+    """Spark flushes by the rows that papers give: without one, the states of scored papers would pile up in the worker."""
+
+    class State:
+        exists = True
+
+    again = pd.DataFrame({"paper_id": [1], "prompt": ["p"]})
+    (found,) = incremental._new_papers((1,), iter([again]), State())
+    assert found.to_dict("records") == [{"paper_id": 1, "prompt": None}]
+
+
 def test_a_micro_batch_that_failed_keeps_its_replies(spark, tmp_path):
     source, path, state = (str(tmp_path / d) for d in ("in", "scores", "state"))
     papers(spark, 60).coalesce(1).write.parquet(source)
