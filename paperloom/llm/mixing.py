@@ -66,7 +66,9 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
     buckets = 1 << (n // bucket_rows).bit_length()
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("turn", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
 
-    shares = targets(sources.select("source", "source_size"), weights, repeats)
+    # What comes next reads these tables from the shared folder: in one plan they would stand in it many times,
+    # and the driver's memory goes by the size of its plans.
+    shares = staged(targets(sources.select("source", "source_size"), weights, repeats), "mix-shares")
     # Documents without words take no time and pass the queue by.
     empty = rows.where("size = 0").join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     empty = empty.select("*", F.lit(0).alias("seat"), F.lit(0).alias("copy"), F.lit(0.0).alias("finish"), F.lit(True).alias("taken"))
@@ -79,6 +81,7 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
     offsets = offsets.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")
     )
+    offsets = staged(offsets, "mix-offsets")  # a row a bucket
     shares = shares.withColumnRenamed("source", "s")
     finish = (F.col("copy") * F.col("source_size") + F.col("offset") + F.col("within")) / F.col("target")
     copies = (
@@ -93,9 +96,11 @@ def _queue(documents: DataFrame, weights: Sequence[float], repeats: int, seed: s
         # All targets are met at the time 1, so the cut lies near it; late copies have wider slots.
         .withColumn("slot", F.floor(buckets * F.when(F.col("finish") < 4, F.col("finish")).otherwise(F.log2("finish") + 2)).cast("int"))
     )
+    copies = staged(copies, "mix-copies")
     earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = copies.groupBy("slot").agg(F.sum("size").alias("words"))
     slots = slots.select(F.col("slot").alias("at"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier"))
+    slots = staged(slots, "mix-slots")
     queue = Window.partitionBy("slot").orderBy("finish", "source_rank", "copy", *order).rowsBetween(Window.unboundedPreceding, 0)
     timed = copies.join(slots, F.col("slot") == F.col("at")).drop("at")
     # Only slots that begin within the budget need the order of their rows.

@@ -79,3 +79,11 @@ def test_edge_cases(spark):
     assert mixed.columns == docs.columns
     assert sum(len((r.text or "").encode().split()) for r in mixed.collect()) == sum(r.taken for r in taken)
     assert mixing.words_taken(docs.limit(0)).count() == mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_the_plan_of_a_mix_is_small(spark):
+    """The driver holds the plan and its code, so no step stands in it more than once."""
+    docs = spark.createDataFrame([(k, "w w", f"s{k % 5}") for k in range(100)], "doc_id long, text string, source string")
+    for mixed, windows in ((mixing.words_taken(docs), 1), (mixing.mixed_documents(docs), 2)):
+        plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window ") <= windows and plan.count("Join ") <= 6
