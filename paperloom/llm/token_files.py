@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,10 +136,19 @@ def encoder(definition: bytes) -> Encoder:
     return _encoders[definition]
 
 
-def _staged_ids(documents: DataFrame, definition: bytes, end: int, ranges: int | None) -> DataFrame:
+def _numbers(spark: SparkSession, sent: Broadcast) -> tuple[str, int]:
+    """How the ids of a tokenizer are kept, and how many there are. A task reads the tokenizer, as the driver has no use for it."""
+
+    def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            own = encoder(sent.value)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([own.kind]), "n": pa.array([own.tokenizer.get_vocab_size(with_added_tokens=True)], pa.int64())})
+
+    return tuple(spark.range(0, 1, 1, 1).mapInArrow(of_batches, "kind string, n long").first())
+
+
+def _staged_ids(documents: DataFrame, sent: Broadcast, end: int, ranges: int | None) -> DataFrame:
     """``range, offset, doc_id, ids, packed``: the ids of every document, in the order of the file within each range."""
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(definition)  # of the tokenizer's size
 
     def packed(texts: list) -> list[bytes]:
         press = zstandard.ZstdCompressor(level=1)
@@ -176,10 +186,9 @@ def _counts(ids: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    found = ids.select("packed").mapInArrow(of_batches, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = ids.select("packed").mapInArrow(of_batches, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary, np.int64)
-    for r in found:
-        counts[r.id] = r.n
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return counts
 
 
@@ -236,10 +245,10 @@ def write(documents: DataFrame, definition: bytes, path: str, end: int = END, mo
     """
     spark = documents.sparkSession
     with_package(spark)
-    ids = _staged_ids(documents, definition, end, ranges)
-    own = encoder(definition)
-    kind, vocabulary = own.kind, max(own.tokenizer.get_vocab_size(with_added_tokens=True), end + 1)
-    lengths = code_lengths(_counts(ids, kind, vocabulary), most_bits)
+    sent = spark.sparkContext.broadcast(definition)  # of the tokenizer's size
+    ids = _staged_ids(documents, sent, end, ranges)
+    kind, vocabulary = _numbers(spark, sent)
+    lengths = code_lengths(_counts(ids, kind, max(vocabulary, end + 1)), most_bits)
     codes = canonical(lengths)
     used = np.flatnonzero(lengths)
     code = pa.table({"id": pa.array(used), "bits": pa.array(lengths[used].astype(np.int64))})
@@ -277,10 +286,10 @@ def write(documents: DataFrame, definition: bytes, path: str, end: int = END, mo
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files of ``write``."""
     with_package(spark)
-    code = spark.read.parquet(f"{path}/code").collect()  # a row for each id of the vocabulary
-    lengths = np.zeros(max([0, *(r.id for r in code)]) + 1, np.uint8)
-    for r in code:
-        lengths[r.id] = r.bits
+    code = spark.read.parquet(f"{path}/code").toArrow()  # a row for each id of the vocabulary
+    ids = code.column("id").to_numpy()
+    lengths = np.zeros(ids.max(initial=0) + 1, np.uint8)
+    lengths[ids] = code.column("bits").to_numpy()
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)

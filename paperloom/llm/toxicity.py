@@ -91,7 +91,39 @@ def _choose(bags: DataFrame, prior: float, toxic: int, pool: int) -> np.ndarray:
     return np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64))
 
 
-def _matrix(bags: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class SampleRows:
+    """Rows of the bounded sample in the chosen features: presence, then density. Only the rows asked for are made dense.
+
+    ``packed`` has a row each: the bits of the features that it has, then their densities. In the order of these
+    bytes the rows are in the order of their dense bytes too.
+    """
+
+    def __init__(self, packed: list[bytes], features: int):
+        self.shape = (len(packed), 2 * features)
+        wide = (features + 7) // 8
+        bits = np.frombuffer(b"".join([x[:wide] for x in packed]), np.uint8).reshape(len(packed), wide)
+        row, self.place = np.nonzero(np.unpackbits(bits, axis=1, count=features))
+        self.density = np.frombuffer(b"".join([x[wide:] for x in packed]), np.float32)
+        self.first = np.searchsorted(row, np.arange(len(packed) + 1))
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        count = self.first[rows + 1] - self.first[rows]
+        row = np.repeat(np.arange(len(rows)), count)
+        at = np.arange(len(row)) + np.repeat(self.first[rows] - np.cumsum(count) + count, count)
+        out = np.zeros((len(rows), self.shape[1]), np.float32)
+        out[row, self.place[at]] = 1
+        out[row, self.shape[1] // 2 + self.place[at]] = self.density[at]
+        return out
+
+    def values(self, w: np.ndarray, b: float) -> np.ndarray:
+        parts = [np.arange(k, min(k + 512, len(self))) for k in range(0, len(self), 512)]
+        return np.concatenate([*(self[part] @ w + b for part in parts), np.zeros(0)])
+
+
+def _matrix(bags: DataFrame, chosen: np.ndarray) -> tuple[SampleRows, SampleRows]:
     """The bounded sample in the chosen features, toxic rows and unlabelled rows."""
     m = len(chosen)
 
@@ -99,20 +131,20 @@ def _matrix(bags: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for batch in batches:
             out = []
             for features, counts, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                row = np.zeros(2 * m, np.float32)
                 features = np.array(features, np.int64)
                 at = np.minimum(np.searchsorted(chosen, features), m - 1)
                 has = chosen[at] == features
-                row[at[has]] = 1
-                row[m + at[has]] = _density(np.array(counts, np.int64)[has], n)
-                out.append(row.tobytes())
+                bits = np.zeros(m, np.uint8)
+                bits[at[has]] = 1
+                density = _density(np.array(counts, np.int64)[has], n).astype(np.float32)  # features ascend in a row
+                out.append(np.packbits(bits).tobytes() + density.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["toxic", "row"])
 
     found = bags.mapInArrow(of_batches, "toxic boolean, row binary").toArrow()  # a row for each document of the sample
     sides = []
     for toxic in (True, False):
         rows = sorted(found.filter(pc.equal(found.column(0), toxic)).column(1).to_pylist())  # the same order in each run
-        sides.append(np.frombuffer(b"".join(rows), np.float32).reshape(-1, 2 * m))
+        sides.append(SampleRows(rows, m))
     return sides[0], sides[1]
 
 
@@ -183,7 +215,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, m
         return None
     toxic, pool = _matrix(bags, chosen)
     w, b = nn_pu(toxic, pool, prior)
-    shift = _cut(toxic @ w + b, pool @ w + b, prior) - np.log(THRESHOLD / (1 - THRESHOLD))
+    shift = _cut(toxic.values(w, b), pool.values(w, b), prior) - np.log(THRESHOLD / (1 - THRESHOLD))
     return Model(chosen, w, float(b - shift))
 
 

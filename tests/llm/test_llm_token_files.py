@@ -80,3 +80,10 @@ def test_edge_cases(spark, definition):
     assert [s for _, s in by_id] == sorted(s for _, s in by_id)
     assert {r.n_tokens for r in found if r.doc_id in (2, 3, 7)} == {1}
     assert token_files.round_trip(edge_cases.documents(spark).limit(0), definition).count() == 0
+
+
+def test_the_driver_keeps_no_tokenizer(spark, definition, monkeypatch):
+    monkeypatch.setattr(token_files, "_encoders", {})  # of this process; tasks have their own
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    assert token_files.round_trip(docs, definition).count() == 2
+    assert not token_files._encoders

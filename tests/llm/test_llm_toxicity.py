@@ -88,3 +88,33 @@ def test_the_order_of_rows_is_fixed(spark):
     marked = docs.select("doc_id", F.col("text").contains("vile").cast("int").alias("toxic"))
     one, two = toxicity.fit(docs.repartition(7), marked), toxicity.fit(docs.repartition(3, "text"), marked)
     assert (one.features == two.features).all() and (one.weights == two.weights).all() and one.bias == two.bias
+
+
+def test_the_sample_is_dense_only_in_the_rows_asked_for(spark):
+    """2,000 rows of few features out of 1,000: dense they take 16 MB, on the driver twice."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    has = [np.sort(draw.choice(1200, 6, replace=False)) for _ in range(40)] + [np.zeros(0, np.int64)]
+    rows = [(k % 5 == 0, has[k % 41].tolist(), [1 + k % 3] * len(has[k % 41]), 50) for k in range(2000)]
+    bags = spark.createDataFrame(rows, "toxic boolean, features array<long>, counts array<long>, words long").repartition(4)
+    chosen = np.arange(3, 1003)
+    tracemalloc.start()
+    sides = toxicity._matrix(bags, chosen)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8e6
+    for side, toxic in zip(sides, (True, False), strict=True):
+        dense = []
+        for t, features, counts, n in rows:
+            if t == toxic:
+                row = np.zeros(2000, np.float32)
+                known = [(f - 3, c) for f, c in zip(features, counts, strict=True) if 3 <= f < 1003]
+                row[[f for f, _ in known]] = 1
+                row[[1000 + f for f, _ in known]] = toxicity._density(np.array([c for _, c in known]), n)
+                dense.append(row.tobytes())
+        dense = np.frombuffer(b"".join(sorted(dense)), np.float32).reshape(-1, 2000)
+        some = draw.permutation(len(side))[:300]
+        assert len(side) == len(dense) and (side[some] == dense[some]).all()
+        w = draw.random(2000)
+        assert np.allclose(side.values(w, 0.5), dense @ w + 0.5, rtol=1e-12)
